@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.numeric import py_round
 from ..functions.calendar import cyclic, festival_flag, season_code, weekday_mon0
 from ..sources.tpch import as_of_lit, as_of_ts
 
@@ -70,7 +71,7 @@ def fill_missing_dates(sales: DataFrame) -> DataFrame:
 
 
 def demand_features(filled: DataFrame, festival_dates: list[str] | None = None,
-                    codes: DataFrame | None = None) -> DataFrame:
+                    codes: DataFrame | None = None, drop_warmup: bool = True) -> DataFrame:
     """D-2 … D-9: lags (rows), rolling means/std of the previous rows,
     calendar encodings, festival week, season and category codes; warm-up
     rows (any lag or rolling mean null) dropped.  One window spec → one
@@ -108,6 +109,8 @@ def demand_features(filled: DataFrame, festival_dates: list[str] | None = None,
             .withColumn("product_category_enc", F.coalesce("product_category_enc", F.lit(-1)))
             .withColumn("depot_region_enc", F.coalesce("depot_region_enc", F.lit(-1)))
             .withColumn("is_cold_chain", F.col("is_cold_chain").cast("int")))
+    if not drop_warmup:
+        return df
     return df.dropna(subset=["lag_1", "lag_7", "lag_14", "lag_30", "rolling_avg_7", "rolling_avg_30"])
 
 
@@ -166,11 +169,13 @@ def forecast_fallback(sales: DataFrame, horizon_days: int = 14, tail_days: int =
     sxx = (n - 1) * n * (2 * n - 1) / 6
     slope = (n * F.col("sxy") - sx * F.col("sy")) / (n * sxx - sx * sx)
     rate = F.greatest(F.col("tail_sum") / F.least(n, F.lit(float(tail_days))), F.lit(0.0))
-    return g.select(
+    raw = g.select("product_id", "depot_id", (rate * horizon_days).alias("u14"), rate.alias("rate"),
+                   F.when(n < 5, F.lit(0.0)).otherwise(slope).alias("slope"))
+    return raw.select(
         "product_id", "depot_id",
-        F.round(rate * horizon_days, 2).alias("predicted_units_14d"),
-        F.round(rate, 4).alias("predicted_daily_rate"),
-        F.round(F.when(n < 5, F.lit(0.0)).otherwise(slope), 4).alias("demand_trend_slope"),
+        py_round("u14", 2).alias("predicted_units_14d"),
+        py_round("rate", 4).alias("predicted_daily_rate"),
+        py_round("slope", 4).alias("demand_trend_slope"),
     )
 
 

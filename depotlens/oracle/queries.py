@@ -1,8 +1,40 @@
 """Oracle SQL (DuckDB) per registered query."""
 from __future__ import annotations
 
+import re
+
+from ..functions.numeric import sql_py_round
 from .cte import AS_OF, AS_OF_TS, with_tables
 
+
+def _rewrite_round(sql: str) -> str:
+    """Replace every ``round(expr, n)`` by Python-exact rounding SQL (see
+    ``functions.numeric``), innermost calls first."""
+    out, i = [], 0
+    pat = re.compile(r"(?<![A-Za-z0-9_])round\(", re.I)
+    while True:
+        m = pat.search(sql, i)
+        if not m:
+            out.append(sql[i:])
+            return "".join(out)
+        out.append(sql[i:m.start()])
+        depth, j, args, start = 1, m.end(), [], m.end()
+        while depth:
+            ch = sql[j]
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                depth -= 1
+                if depth == 0:
+                    args.append(sql[start:j])
+            elif ch == "," and depth == 1:
+                args.append(sql[start:j])
+                start = j + 1
+            j += 1
+        n = int(args[1].strip()) if len(args) > 1 else 0
+        out.append(sql_py_round(_rewrite_round(args[0]), n))
+        i = j
+
 ORACLE: dict[str, str] = {}
 
 DAILY_DEMAND = f"""
@@ -35,3 +67,309 @@ SELECT product_id, depot_id,
        round(greatest(avg(units_sold) FILTER (WHERE rd <= 30), 0), 4) AS predicted_daily_rate,
        round(CASE WHEN count(*) < 5 THEN 0 ELSE coalesce(regr_slope(units_sold, x), 0) END, 4) AS demand_trend_slope
 FROM idx GROUP BY product_id, depot_id"""
+
+
+def R6(sql: str, cols: list[str]) -> str:
+    """Round the listed double columns to 6 decimals (mirrors ``rounded``)."""
+    if not cols:
+        return sql
+    rep = ", ".join(f"round({c}, 6) AS {c}" for c in cols)
+    return f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n) r6"
+
+
+SALES_CTES = [("sales", DAILY_DEMAND)]
+
+# ---------------------------------------------------------------- demand
+ORACLE["daily_demand"] = R6(with_tables("products", "depots", "stock_movements", extra=SALES_CTES)
+                            + "SELECT * FROM sales", ["units_sold"])
+ORACLE["fill_missing_dates"] = R6(with_tables("products", "depots", "stock_movements",
+                                              extra=SALES_CTES + [("filled", FILLED)])
+                                  + "SELECT * FROM filled", ["units_sold"])
+
+FESTIVALS = ", ".join(f"(DATE '{d}')" for d in [
+    "2025-10-02", "2025-10-12", "2025-10-20", "2025-10-23", "2025-11-05", "2025-11-15",
+    "2025-12-25", "2026-01-14", "2026-01-26", "2026-03-14", "2026-04-06", "2026-04-14",
+    "2026-06-13", "2026-08-15", "2026-09-29", "2026-10-20", "2026-11-08"])
+
+DEMAND_FEATURE_COLS = ["lag_1", "lag_7", "lag_14", "lag_30", "rolling_avg_7", "rolling_avg_30", "rolling_std_7",
+                       "month_sin", "month_cos", "day_of_week_sin", "day_of_week_cos", "is_festival_week",
+                       "season_code", "product_category_enc", "depot_region_enc", "is_cold_chain"]
+DEMAND_DOUBLES = ["units_sold", "lag_1", "lag_7", "lag_14", "lag_30", "rolling_avg_7", "rolling_avg_30",
+                  "rolling_std_7", "month_sin", "month_cos", "day_of_week_sin", "day_of_week_cos"]
+
+FEATURES_ALL = f"""
+    SELECT f.product_id, f.depot_id, f.date, f.units_sold,
+           lag(units_sold, 1) OVER w AS lag_1, lag(units_sold, 7) OVER w AS lag_7,
+           lag(units_sold, 14) OVER w AS lag_14, lag(units_sold, 30) OVER w AS lag_30,
+           CASE WHEN count(units_sold) OVER w7 >= 3 THEN avg(units_sold) OVER w7 END AS rolling_avg_7,
+           CASE WHEN count(units_sold) OVER w30 >= 10 THEN avg(units_sold) OVER w30 END AS rolling_avg_30,
+           CASE WHEN count(units_sold) OVER w7 >= 3 THEN coalesce(stddev_samp(units_sold) OVER w7, 0.0)
+                ELSE 0.0 END AS rolling_std_7,
+           sin(6.283185307179586 * month(f.date) / 12) AS month_sin,
+           cos(6.283185307179586 * month(f.date) / 12) AS month_cos,
+           sin(6.283185307179586 * (isodow(f.date) - 1) / 7) AS day_of_week_sin,
+           cos(6.283185307179586 * (isodow(f.date) - 1) / 7) AS day_of_week_cos,
+           CAST(EXISTS (SELECT 1 FROM (VALUES {FESTIVALS}) fx(d) WHERE abs(date_diff('day', fx.d, f.date)) <= 7)
+                AS INTEGER) AS is_festival_week,
+           CASE WHEN month(f.date) IN (11, 12, 1, 2) THEN 0 WHEN month(f.date) IN (3, 4, 5) THEN 1
+                WHEN month(f.date) IN (6, 7, 8, 9) THEN 2 ELSE 3 END AS season_code,
+           coalesce(cc.code, -1) AS product_category_enc, coalesce(rc.code, -1) AS depot_region_enc,
+           CAST(f.is_cold_chain AS INTEGER) AS is_cold_chain
+    FROM filled f
+    LEFT JOIN (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS code
+               FROM (SELECT DISTINCT product_category AS v FROM filled WHERE product_category IS NOT NULL)) cc
+           ON cc.v = f.product_category
+    LEFT JOIN (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS code
+               FROM (SELECT DISTINCT depot_region AS v FROM filled WHERE depot_region IS NOT NULL)) rc
+           ON rc.v = f.depot_region
+    WINDOW w AS (PARTITION BY f.product_id, f.depot_id ORDER BY f.date),
+           w7 AS (PARTITION BY f.product_id, f.depot_id ORDER BY f.date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING),
+           w30 AS (PARTITION BY f.product_id, f.depot_id ORDER BY f.date ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)"""
+
+_FEAT_BASE = with_tables("products", "depots", "stock_movements",
+                         extra=SALES_CTES + [("filled", FILLED), ("feats", FEATURES_ALL)])
+ORACLE["demand_features"] = R6(_FEAT_BASE + """
+    SELECT * FROM feats WHERE lag_1 IS NOT NULL AND lag_7 IS NOT NULL AND lag_14 IS NOT NULL
+      AND lag_30 IS NOT NULL AND rolling_avg_7 IS NOT NULL AND rolling_avg_30 IS NOT NULL""", DEMAND_DOUBLES)
+
+_med = ", ".join(f"coalesce(CAST({c} AS DOUBLE), (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.5) FROM feats)) AS {c}"
+                 for c in DEMAND_FEATURE_COLS)
+ORACLE["inference_median_fill"] = R6(_FEAT_BASE + f"SELECT product_id, depot_id, date, units_sold, {_med} FROM feats",
+                                     DEMAND_DOUBLES + ["is_festival_week", "season_code", "product_category_enc",
+                                                       "depot_region_enc", "is_cold_chain"])
+
+ORACLE["trend_slope"] = R6(with_tables("products", "depots", "stock_movements", extra=SALES_CTES) + """
+    SELECT product_id, depot_id,
+           CASE WHEN count(*) < 5 THEN 0.0 ELSE coalesce(regr_slope(units_sold, x), 0.0) END AS demand_trend_slope
+    FROM (SELECT *, CAST(row_number() OVER (PARTITION BY product_id, depot_id ORDER BY date) - 1 AS DOUBLE) AS x
+          FROM sales) GROUP BY product_id, depot_id""", ["demand_trend_slope"])
+
+FORECAST = ORACLE["demand_forecast"].split("WITH ", 1)[1]  # reused as a CTE body below
+FORECAST_CTES = SALES_CTES + [("filled", FILLED), (
+    "idx", """SELECT *, row_number() OVER (PARTITION BY product_id, depot_id ORDER BY date) - 1 AS x,
+                    row_number() OVER (PARTITION BY product_id, depot_id ORDER BY date DESC) AS rd
+             FROM filled"""), ("forecast", """
+    SELECT product_id, depot_id,
+       round(greatest(avg(units_sold) FILTER (WHERE rd <= 30), 0) * 14, 2) AS predicted_units_14d,
+       round(greatest(avg(units_sold) FILTER (WHERE rd <= 30), 0), 4) AS predicted_daily_rate,
+       round(CASE WHEN count(*) < 5 THEN 0 ELSE coalesce(regr_slope(units_sold, x), 0) END, 4) AS demand_trend_slope
+    FROM idx GROUP BY product_id, depot_id""")]
+
+# ---------------------------------------------------------------- ledger
+BALANCE = """(coalesce(sum(CASE WHEN movement_type IN ('IN', 'RETURN') THEN quantity ELSE 0.0 END), 0.0)
+            - coalesce(sum(CASE WHEN movement_type IN ('OUT', 'WRITE_OFF') THEN quantity ELSE 0.0 END), 0.0))"""
+ORACLE["current_stock"] = with_tables("stock_movements") + f"""
+    SELECT depot_id, product_id, CAST(trunc({BALANCE}) AS BIGINT) AS current_stock
+    FROM stock_movements GROUP BY depot_id, product_id"""
+ORACLE["batch_stock"] = with_tables("stock_movements") + f"""
+    SELECT batch_id, CAST(trunc({BALANCE}) AS BIGINT) AS batch_stock FROM stock_movements GROUP BY batch_id"""
+
+SOLD = ("sold", "SELECT batch_id, sum(quantity) AS sold_qty FROM stock_movements "
+                "WHERE movement_type = 'OUT' GROUP BY batch_id")
+LEDGER = f"""
+    SELECT b.depot_id, b.batch_id, b.batch_number, b.product_id, p.canonical_name, p.product_category,
+           b.expiry_date, b.quantity_received - coalesce(s.sold_qty, 0.0) AS quantity_remaining,
+           CASE WHEN b.expiry_date < {AS_OF} THEN 'expired'
+                WHEN b.expiry_date < {AS_OF} + 30 THEN 'expiring_soon' ELSE 'active' END AS status
+    FROM batches b JOIN products p ON p.product_id = b.product_id LEFT JOIN sold s ON s.batch_id = b.batch_id
+    WHERE b.quantity_received - coalesce(s.sold_qty, 0.0) > 0"""
+ORACLE["stock_ledger"] = R6(with_tables("batches", "products", extra=[SOLD]) + LEDGER, ["quantity_remaining"])
+ORACLE["stock_by_product"] = R6(with_tables("batches", "products", extra=[SOLD, ("ledger", LEDGER)]) + """
+    SELECT l.*, t.product_total, t.product_batches FROM ledger l JOIN (
+        SELECT depot_id, product_id, sum(quantity_remaining) AS product_total, count(*) AS product_batches
+        FROM ledger GROUP BY depot_id, product_id) t ON t.depot_id = l.depot_id AND t.product_id = l.product_id""",
+                                ["quantity_remaining", "product_total"])
+ORACLE["batch_timeline"] = R6(with_tables("batches", "products") + """
+    SELECT h.batch_id, h.batch_number, h.product_id, h.canonical_name, h.expiry_date, h.quantity_received,
+           h.quantity_sold, h.quantity_received - h.quantity_sold AS quantity_remaining,
+           CASE WHEN h.quantity_received - h.quantity_sold > 0 THEN 'active' ELSE 'depleted' END AS status,
+           m.movement_id, m.movement_type, m.quantity, m.created_at AS moved_at
+    FROM (SELECT b.*, p.canonical_name, coalesce(s.quantity_sold, 0.0) AS quantity_sold
+          FROM batches b JOIN products p ON p.product_id = b.product_id
+          LEFT JOIN (SELECT batch_id, sum(CASE WHEN movement_type = 'OUT' THEN quantity ELSE 0.0 END) AS quantity_sold
+                     FROM stock_movements GROUP BY batch_id) s ON s.batch_id = b.batch_id) h
+    LEFT JOIN stock_movements m ON m.batch_id = h.batch_id""",
+                              ["quantity_sold", "quantity_remaining", "quantity"])
+
+# ---------------------------------------------------------------- expiry
+ACTIVE = f"""
+    SELECT b.batch_id, b.product_id, b.depot_id, b.expiry_date, b.quantity_received,
+           b.quantity_received - coalesce(s.sold_qty, 0.0) AS quantity_remaining,
+           p.product_category, p.is_cold_chain, p.default_shelf_life_days, p.ptr, b.created_at
+    FROM batches b JOIN products p ON p.product_id = b.product_id LEFT JOIN sold s ON s.batch_id = b.batch_id
+    WHERE b.expiry_date > {AS_OF} AND b.quantity_received - coalesce(s.sold_qty, 0.0) > 0"""
+ACTIVE_CTES = [SOLD, ("active", ACTIVE)]
+ORACLE["active_batches"] = R6(with_tables("batches", "products", extra=ACTIVE_CTES)
+                              + "SELECT * EXCLUDE (ptr) FROM active", ["quantity_remaining"])
+
+VELOCITY = f"""
+    SELECT b.batch_id,
+           CASE WHEN coalesce(v.recent_out, 0.0) / (30.0 / 7.0) = 0.0
+                THEN coalesce(v.total_out, 0.0) / greatest(
+                     floor((epoch(CAST(least(b.expiry_date, {AS_OF}) AS TIMESTAMP)) - epoch(b.created_at)) / 86400) / 7.0, 1.0)
+                ELSE coalesce(v.recent_out, 0.0) / (30.0 / 7.0) END AS sales_velocity_weekly
+    FROM batches b LEFT JOIN (
+        SELECT batch_id, sum(CASE WHEN created_at >= {AS_OF_TS} - INTERVAL 30 DAY THEN quantity ELSE 0.0 END) AS recent_out,
+               sum(quantity) AS total_out
+        FROM stock_movements WHERE movement_type = 'OUT' GROUP BY batch_id) v ON v.batch_id = b.batch_id"""
+ORACLE["sales_velocity"] = R6(with_tables("batches") + VELOCITY, ["sales_velocity_weekly"])
+
+CAT_RISK = ("CASE lower(product_category) WHEN 'antibiotic' THEN 0.25 WHEN 'cold_chain' THEN 0.40 "
+            "WHEN 'seasonal_otc' THEN 0.35 WHEN 'vitamin' THEN 0.15 WHEN 'pain_relief' THEN 0.10 "
+            "WHEN 'antidiabetic' THEN 0.20 WHEN 'cardiac' THEN 0.20 WHEN 'gi' THEN 0.18 "
+            "WHEN 'respiratory' THEN 0.22 WHEN 'thyroid' THEN 0.12 ELSE 0.20 END")
+# month of 2001-08-01 is 8: peak for all-year categories, not for antibiotic/vitamin/respiratory/otc_cold
+PEAK = ("CASE WHEN replace(lower(coalesce(product_category, '')), ' ', '_') IN "
+        "('antibiotic','otc_cold','vitamin','respiratory') THEN "
+        "CAST(month(" + AS_OF + ") IN (SELECT unnest(CASE replace(lower(product_category), ' ', '_') "
+        "WHEN 'antibiotic' THEN [10,11,12,1,2,3] WHEN 'otc_cold' THEN [10,11,12,1,2] "
+        "WHEN 'vitamin' THEN [10,11,12,1] ELSE [10,11,12,1,2] END)) AS INTEGER) "
+        "WHEN replace(lower(coalesce(product_category, '')), ' ', '_') = 'ors' THEN CAST(month(" + AS_OF + ") IN (6,7,8,9) AS INTEGER) "
+        "WHEN replace(lower(coalesce(product_category, '')), ' ', '_') = 'gi' THEN CAST(month(" + AS_OF + ") IN (4,5,6,7,8,9) AS INTEGER) "
+        "ELSE 1 END")
+EXPIRY_FEATURES = f"""
+    SELECT x.batch_id, x.product_id, x.depot_id,
+           CAST(coalesce(x.sales_velocity_weekly, 0.0) AS DOUBLE) AS sales_velocity_weekly,
+           CAST(coalesce(x.days_till_expiry, 0) AS DOUBLE) AS days_till_expiry,
+           CAST(coalesce(least(greatest(x.days_till_expiry / x.shelf_life_days, 0.0), 1.0), 0.0) AS DOUBLE) AS pct_life_remaining,
+           CAST(coalesce(x.seasonality_flag, 0) AS DOUBLE) AS seasonality_flag,
+           CAST(coalesce(x.demand_trend_slope, 0.0) AS DOUBLE) AS demand_trend_slope,
+           CAST(coalesce(least(x.sales_velocity_weekly / greatest(coalesce(c.avg_cat_velocity, 1.0), 0.1), 5.0), 0.0) AS DOUBLE) AS velocity_ratio,
+           CAST(coalesce(x.category_risk_score, 0.0) AS DOUBLE) AS category_risk_score,
+           CAST(coalesce(x.is_cold_chain, 0) AS DOUBLE) AS is_cold_chain,
+           CAST(coalesce(x.shelf_life_days, 0) AS DOUBLE) AS shelf_life_days,
+           x.label
+    FROM (
+        SELECT b.batch_id, b.product_id, b.depot_id, p.product_category,
+               coalesce(v.sales_velocity_weekly, 0.0) AS sales_velocity_weekly,
+               date_diff('day', {AS_OF}, b.expiry_date) AS days_till_expiry,
+               greatest(p.default_shelf_life_days, 1) AS shelf_life_days,
+               {PEAK} AS seasonality_flag,
+               coalesce(f.demand_trend_slope, 0.0) AS demand_trend_slope,
+               {CAT_RISK} AS category_risk_score,
+               CAST(p.is_cold_chain AS INTEGER) AS is_cold_chain,
+               CASE WHEN b.expiry_date < {AS_OF} THEN CAST(b.quantity_remaining > 0 AS INTEGER) END AS label
+        FROM batches b JOIN products p ON p.product_id = b.product_id
+        LEFT JOIN velocity v ON v.batch_id = b.batch_id
+        LEFT JOIN forecast f ON f.product_id = b.product_id AND f.depot_id = b.depot_id) x
+    LEFT JOIN (SELECT product_category, avg(sales_velocity_weekly) AS avg_cat_velocity
+               FROM (SELECT p.product_category, coalesce(v.sales_velocity_weekly, 0.0) AS sales_velocity_weekly
+                     FROM batches b JOIN products p ON p.product_id = b.product_id
+                     LEFT JOIN velocity v ON v.batch_id = b.batch_id) WHERE product_category IS NOT NULL
+               GROUP BY product_category) c ON c.product_category = x.product_category"""
+EXPIRY_FEATURE_DOUBLES = ["sales_velocity_weekly", "days_till_expiry", "pct_life_remaining", "seasonality_flag",
+                          "demand_trend_slope", "velocity_ratio", "category_risk_score", "is_cold_chain",
+                          "shelf_life_days"]
+ORACLE["expiry_features"] = R6(with_tables("batches", "products", "depots", extra=FORECAST_CTES + [
+    ("velocity", VELOCITY)]) + EXPIRY_FEATURES, EXPIRY_FEATURE_DOUBLES)
+
+FORMULA = f"""
+    SELECT batch_id, product_id, depot_id,
+           round(least(least(greatest(1.0 - greatest(date_diff('day', {AS_OF}, expiry_date), 0)
+                                        / greatest(coalesce(default_shelf_life_days, 365), 1), 0.0), 1.0) * 0.6
+                       + 0.5 * 0.4, 1.0), 3) AS expiry_risk_score,
+           CAST({AS_OF} + CAST(floor(greatest(quantity_remaining, 0.0) / (1.0 / 7.0)) AS INTEGER) + 14 AS DATE)
+               AS recommended_liquidation_date,
+           'formula' AS method
+    FROM active"""
+ORACLE["expiry_risk_formula"] = with_tables("batches", "products", extra=ACTIVE_CTES) + FORMULA
+
+ORACLE["expiry_model_gate"] = with_tables("batches") + f"""
+    SELECT depot_id, expired_count, data_days, expired_count >= 50 AND data_days >= 180 AS use_model
+    FROM (SELECT depot_id,
+                 count(*) FILTER (WHERE expiry_date < {AS_OF} AND quantity_remaining > 0) AS expired_count,
+                 CAST(coalesce(floor((epoch({AS_OF_TS}) - epoch(min(created_at))) / 86400), 0) AS BIGINT) AS data_days
+          FROM batches GROUP BY depot_id)"""
+
+# ---------------------------------------------------------------- stock-out, FEFO
+ORACLE["stockout_risk"] = with_tables("products", "depots", "stock_movements", extra=FORECAST_CTES) + f"""
+    SELECT s.depot_id, s.product_id, round(greatest(s.stock, 0.0), 2) AS current_stock,
+           round(greatest(s.stock, 0.0) / greatest(coalesce(f.predicted_daily_rate, 0.0), 0.01), 1) AS days_until_stockout,
+           CAST(coalesce(p.lead_time_days, 7) AS DOUBLE) AS lead_time_days,
+           greatest(s.stock, 0.0) / greatest(coalesce(f.predicted_daily_rate, 0.0), 0.01)
+               < CAST(coalesce(p.lead_time_days, 7) AS DOUBLE) AS will_stockout
+    FROM (SELECT depot_id, product_id, {BALANCE} AS stock FROM stock_movements GROUP BY depot_id, product_id) s
+    JOIN products p ON p.product_id = s.product_id
+    LEFT JOIN forecast f ON f.depot_id = s.depot_id AND f.product_id = s.product_id
+    WHERE s.stock >= 0"""
+ORACLE["stockout_risk_offline"] = with_tables("products", "depots", "stock_movements", extra=FORECAST_CTES) + f"""
+    SELECT s.depot_id, s.product_id, round(greatest(s.stock, 0.0), 2) AS current_stock,
+           round(greatest(s.stock, 0.0) / greatest(coalesce(f.predicted_daily_rate, 0.01), 0.01), 1) AS days_until_stockout,
+           CAST(coalesce(p.lead_time_days, 7) AS DOUBLE) AS lead_time_days,
+           greatest(s.stock, 0.0) / greatest(coalesce(f.predicted_daily_rate, 0.01), 0.01)
+               < CAST(coalesce(p.lead_time_days, 7) AS DOUBLE) AS will_stockout
+    FROM (SELECT depot_id, product_id, CAST(CAST(trunc({BALANCE}) AS BIGINT) AS DOUBLE) AS stock
+          FROM stock_movements GROUP BY depot_id, product_id) s
+    JOIN products p ON p.product_id = s.product_id
+    LEFT JOIN forecast f ON f.depot_id = s.depot_id AND f.product_id = s.product_id"""
+
+FEFO = """
+    SELECT *, CAST(row_number() OVER (PARTITION BY depot_id ORDER BY priority_score, batch_id) AS INTEGER) AS priority_rank
+    FROM (SELECT a.batch_id, a.product_id, a.depot_id, a.expiry_date, CAST(a.quantity_remaining AS DOUBLE) AS remaining_qty,
+                 round(coalesce(e.expiry_risk_score, 0.0), 3) AS expiry_risk_score,
+                 coalesce(e.expiry_risk_score, 0.0) > 0.6 AS ml_override,
+                 date_diff('day', DATE '2001-08-01', a.expiry_date) AS days_till_expiry,
+                 round(CASE WHEN coalesce(e.expiry_risk_score, 0.0) > 0.6 THEN -(coalesce(e.expiry_risk_score, 0.0) * 1000)
+                            ELSE CAST(date_diff('day', DATE '2001-08-01', a.expiry_date) AS DOUBLE) END, 4) AS priority_score
+          FROM active a LEFT JOIN formula e ON e.batch_id = a.batch_id)"""
+ORACLE["fefo_rank"] = with_tables("batches", "products", extra=ACTIVE_CTES + [("formula", FORMULA)]) + FEFO
+
+# ---------------------------------------------------------------- anomaly
+ANOM_MV = ("amv", "SELECT * REPLACE (CASE WHEN order_key % 31 = 0 THEN quantity * 6 ELSE quantity END AS quantity) "
+                  "FROM stock_movements")
+BASELINES = f"""
+    SELECT m.depot_id, p.product_category, avg(m.quantity) AS mean,
+           CASE WHEN stddev_samp(m.quantity) IS NULL OR stddev_samp(m.quantity) = 0 THEN 1.0
+                ELSE stddev_samp(m.quantity) END AS std
+    FROM amv m JOIN products p ON p.product_id = m.product_id
+    WHERE m.created_at >= {AS_OF_TS} - INTERVAL 30 DAY AND m.created_at <= {AS_OF_TS}
+    GROUP BY m.depot_id, p.product_category"""
+ORACLE["category_baselines"] = R6(with_tables("stock_movements", "products", extra=[ANOM_MV]) + BASELINES,
+                                  ["mean", "std"])
+ORACLE["anomaly_features"] = R6(with_tables("stock_movements", "products", "batches",
+                                            extra=[ANOM_MV, ("base", BASELINES)]) + f"""
+    SELECT m.movement_id, m.batch_id, m.product_id, m.depot_id,
+           hour(m.created_at) AS hour_of_day, isodow(m.created_at) - 1 AS day_of_week,
+           CAST(greatest(coalesce(floor((epoch(m.created_at) - epoch(b.created_at)) / 86400), 0), 0) AS INTEGER)
+               AS batch_age_days,
+           CASE m.movement_type WHEN 'IN' THEN 0 WHEN 'OUT' THEN 1 WHEN 'RETURN' THEN 2 WHEN 'WRITE_OFF' THEN 3
+                WHEN 'TRANSFER' THEN 4 ELSE 0 END AS movement_type_enc,
+           CASE WHEN bs.mean IS NULL THEN 0.0 ELSE (m.quantity - bs.mean) / bs.std END AS quantity_zscore,
+           (m.quantity - coalesce(pa.product_avg, m.quantity)) / greatest(coalesce(pa.product_avg, 1.0), 1.0)
+               AS velocity_deviation,
+           m.quantity
+    FROM amv m JOIN products p ON p.product_id = m.product_id
+    LEFT JOIN batches b ON b.batch_id = m.batch_id
+    LEFT JOIN base bs ON bs.depot_id = m.depot_id AND bs.product_category = p.product_category
+    LEFT JOIN (SELECT depot_id, product_id, avg(quantity) AS product_avg FROM amv
+               WHERE created_at >= {AS_OF_TS} - INTERVAL 30 DAY AND created_at <= {AS_OF_TS}
+               GROUP BY depot_id, product_id) pa ON pa.depot_id = m.depot_id AND pa.product_id = m.product_id""",
+                                ["quantity_zscore", "velocity_deviation", "quantity"])
+ANOMALY_FLAGS = f"""
+    SELECT * FROM (
+      SELECT m.depot_id, m.movement_id, m.batch_id, m.product_id, round(z, 2) AS z_score,
+             CASE WHEN z > 2.5 THEN 'ANOMALY_HOLD' WHEN z > 2.0 THEN 'ANOMALY_ALERT' END AS action,
+             CAST(m.quantity AS DOUBLE) AS quantity, m.movement_type
+      FROM (SELECT m.*, CASE WHEN bs.mean IS NULL THEN 0.0
+                             ELSE abs(m.quantity - bs.mean) / greatest(bs.std, 1.0) END AS z
+            FROM amv m JOIN products p ON p.product_id = m.product_id
+            LEFT JOIN base bs ON bs.depot_id = m.depot_id AND bs.product_category = p.product_category
+            WHERE m.created_at >= {AS_OF_TS} - INTERVAL 2 DAY AND m.created_at <= {AS_OF_TS}) m)
+    WHERE action IS NOT NULL"""
+ORACLE["anomaly_flags"] = with_tables("stock_movements", "products",
+                                      extra=[ANOM_MV, ("base", BASELINES)]) + ANOMALY_FLAGS
+ORACLE["temperature_anomalies"] = R6(with_tables("readings") + """
+    SELECT reading_id, device_id, depot_id, temperature, ts, z AS z_score,
+           CASE WHEN z > 2.5 THEN 'ANOMALY_HOLD' WHEN z > 2.0 THEN 'ANOMALY_ALERT' END AS action,
+           coalesce(z > 2.0, false) AS is_excursion
+    FROM (SELECT r.*, CASE WHEN b.mean IS NULL AND r.temperature IS NOT NULL THEN 0.0
+                           ELSE abs((r.temperature - b.mean) / b.std) END AS z
+          FROM readings r LEFT JOIN (
+              SELECT device_id, avg(temperature) AS mean,
+                     CASE WHEN stddev_samp(temperature) IS NULL OR stddev_samp(temperature) = 0 THEN 1.0
+                          ELSE stddev_samp(temperature) END AS std
+              FROM readings GROUP BY device_id) b ON b.device_id = r.device_id) r""",
+                                     ["temperature", "z_score"])
+
+
+ORACLE = {k: _rewrite_round(v) for k, v in ORACLE.items()}

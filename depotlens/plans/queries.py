@@ -23,3 +23,173 @@ def register(name: str):
 def q_demand_forecast(spark, sf_dir):
     c = Catalog(spark, sf_dir)
     return demand.demand_forecast(c.movements, c.products, c.depots, c.as_of)
+
+
+# ---------------------------------------------------------------- helpers
+def rounded(df: DataFrame, decimals: int = 6) -> DataFrame:
+    """Round every double column (comparison with the SQL oracle must not
+    depend on the summation order of floating-point aggregates)."""
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import DoubleType
+
+    from ..functions.numeric import py_round
+    return df.select(*[py_round(F.col(f.name), decimals).alias(f.name) if isinstance(f.dataType, DoubleType)
+                       else F.col(f.name) for f in df.schema.fields])
+
+
+def _sales(c: Catalog) -> DataFrame:
+    return demand.daily_demand(c.movements, c.products, c.depots, c.as_of)
+
+
+def _forecast(c: Catalog) -> DataFrame:
+    return demand.forecast_fallback(_sales(c))
+
+
+# ---------------------------------------------------------------- demand
+@register("daily_demand")
+def q_daily_demand(spark, sf_dir):
+    return rounded(_sales(Catalog(spark, sf_dir)))
+
+
+@register("fill_missing_dates")
+def q_fill_missing_dates(spark, sf_dir):
+    return rounded(demand.fill_missing_dates(_sales(Catalog(spark, sf_dir))))
+
+
+def _features_cols(df):
+    return df.select("product_id", "depot_id", "date", "units_sold", *demand.FEATURE_COLS)
+
+
+@register("demand_features")
+def q_demand_features(spark, sf_dir):
+    c = Catalog(spark, sf_dir)
+    from ..config import DEFAULTS
+    f = demand.demand_features(demand.fill_missing_dates(_sales(c)), DEFAULTS["festival_dates"])
+    return rounded(_features_cols(f))
+
+
+@register("inference_median_fill")
+def q_inference_median_fill(spark, sf_dir):
+    c = Catalog(spark, sf_dir)
+    from ..config import DEFAULTS
+    f = demand.demand_features(demand.fill_missing_dates(_sales(c)), DEFAULTS["festival_dates"],
+                               drop_warmup=False)
+    return rounded(demand.inference_median_fill(_features_cols(f)))
+
+
+@register("trend_slope")
+def q_trend_slope(spark, sf_dir):
+    return rounded(demand.trend_slope(_sales(Catalog(spark, sf_dir))))
+
+
+# ---------------------------------------------------------------- ledger
+from ..operators import anomaly, expiry, fefo, ledger, stockout  # noqa: E402
+from ..sources import tpch  # noqa: E402
+
+
+@register("current_stock")
+def q_current_stock(spark, sf_dir):
+    return ledger.current_stock(Catalog(spark, sf_dir).movements)
+
+
+@register("batch_stock")
+def q_batch_stock(spark, sf_dir):
+    return ledger.batch_stock(Catalog(spark, sf_dir).movements)
+
+
+@register("stock_ledger")
+def q_stock_ledger(spark, sf_dir):
+    c = Catalog(spark, sf_dir)
+    return rounded(ledger.stock_ledger(c.batches, c.products, c.movements, c.as_of, sort=True))
+
+
+@register("stock_by_product")
+def q_stock_by_product(spark, sf_dir):
+    c = Catalog(spark, sf_dir)
+    return rounded(ledger.stock_by_product(ledger.stock_ledger(c.batches, c.products, c.movements, c.as_of)))
+
+
+@register("batch_timeline")
+def q_batch_timeline(spark, sf_dir):
+    c = Catalog(spark, sf_dir)
+    return rounded(ledger.batch_timeline(c.batches, c.products, c.movements))
+
+
+# ---------------------------------------------------------------- expiry
+def _active(c: Catalog) -> DataFrame:
+    return expiry.active_batches(c.batches, c.products, c.movements, c.as_of)
+
+
+@register("active_batches")
+def q_active_batches(spark, sf_dir):
+    return rounded(_active(Catalog(spark, sf_dir)).drop("ptr"))
+
+
+@register("sales_velocity")
+def q_sales_velocity(spark, sf_dir):
+    c = Catalog(spark, sf_dir)
+    return rounded(expiry.sales_velocity(c.batches, c.movements, c.as_of))
+
+
+@register("expiry_features")
+def q_expiry_features(spark, sf_dir):
+    c = Catalog(spark, sf_dir)
+    return rounded(expiry.expiry_features(c.batches, c.products, c.movements, c.as_of, demand=_forecast(c)))
+
+
+@register("expiry_risk_formula")
+def q_expiry_risk_formula(spark, sf_dir):
+    c = Catalog(spark, sf_dir)
+    return expiry.expiry_risk_formula(_active(c), c.as_of)
+
+
+@register("expiry_model_gate")
+def q_expiry_model_gate(spark, sf_dir):
+    c = Catalog(spark, sf_dir)
+    return expiry.expiry_model_gate(c.batches, c.as_of)
+
+
+# ---------------------------------------------------------------- stock-out, FEFO
+@register("stockout_risk")
+def q_stockout_risk(spark, sf_dir):
+    c = Catalog(spark, sf_dir)
+    return stockout.stockout_risk(c.movements, c.products, _forecast(c))
+
+
+@register("stockout_risk_offline")
+def q_stockout_risk_offline(spark, sf_dir):
+    c = Catalog(spark, sf_dir)
+    stock = ledger.current_stock(c.movements).withColumnRenamed("current_stock", "units_available") \
+        .join(c.products.select("product_id", "lead_time_days"), "product_id")
+    return stockout.stockout_risk_offline(stock, _forecast(c))
+
+
+@register("fefo_rank")
+def q_fefo_rank(spark, sf_dir):
+    c = Catalog(spark, sf_dir)
+    a = _active(c)
+    return fefo.fefo_rank(a, expiry.expiry_risk_formula(a, c.as_of), c.as_of)
+
+
+# ---------------------------------------------------------------- anomaly
+@register("category_baselines")
+def q_category_baselines(spark, sf_dir):
+    c = Catalog(spark, sf_dir)
+    return rounded(anomaly.category_baselines(tpch.anomaly_movements(c.movements), c.products, c.as_of))
+
+
+@register("anomaly_features")
+def q_anomaly_features(spark, sf_dir):
+    c = Catalog(spark, sf_dir)
+    return rounded(anomaly.anomaly_features(tpch.anomaly_movements(c.movements), c.products, c.batches, c.as_of))
+
+
+@register("anomaly_flags")
+def q_anomaly_flags(spark, sf_dir):
+    c = Catalog(spark, sf_dir)
+    return anomaly.anomaly_flags(tpch.anomaly_movements(c.movements), c.products, c.as_of)
+
+
+@register("temperature_anomalies")
+def q_temperature_anomalies(spark, sf_dir):
+    return rounded(anomaly.temperature_anomalies(Catalog(spark, sf_dir).readings))

@@ -213,3 +213,10 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("value").cast("decimal(10,2)") % 12).cast("double").alias("temperature"),
         F.col("ts").cast("timestamp").alias("ts"),
     )
+
+
+def anomaly_movements(movements: DataFrame) -> DataFrame:
+    """Movement variant used for anomaly checks: quantity × 6 on orders with
+    key % 31 = 0 (plain quantities are uniform 1–50 and never reach z = 2)."""
+    return movements.withColumn(
+        "quantity", F.when(F.col("order_key") % 31 == 0, F.col("quantity") * 6).otherwise(F.col("quantity")))
