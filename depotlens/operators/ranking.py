@@ -44,3 +44,37 @@ def rank_within(df: DataFrame, keys: list[str], order: list, name: str = "rank",
                   + [local[k].eqNullSafe(offsets[f"_k_{k}"]) for k in keys])
     out = local.join(offsets, cond).withColumn(name, (F.col("_lr") + F.col("_off")).cast("int"))
     return out.drop("_pid", "_lr", "_off", *[f"_k_{k}" for k in keys])
+
+
+def lag_within(df: DataFrame, keys: list[str], order: list, cols: list[str], prefix: str = "prev_",
+               partitions: int | None = None, checkpoint: bool = True) -> DataFrame:
+    """Skew-safe ``lag(col, 1)`` per group: the previous row's ``cols`` in
+    (group, order) order, as ``prev_<col>``.
+
+    Same layout as ``rank_within``: lag inside each (range partition, group)
+    piece, then the first row of a piece takes the last row of the group's
+    piece in the nearest earlier partition (a window over one row per
+    (partition, group), i.e. at most ``n`` rows per group)."""
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order_cols = [_as_col(o) for o in order]
+    s = df.repartitionByRange(n, *[F.col(k) for k in keys], *order_cols) \
+          .withColumn("_pid", F.spark_partition_id())
+    if checkpoint:
+        s = s.checkpoint(eager=True)
+    w = Window.partitionBy("_pid", *keys).orderBy(*order_cols)
+    local = s.select("*", F.row_number().over(w).alias("_lr"),
+                     *[F.lag(c, 1).over(w).alias(f"{prefix}{c}") for c in cols])
+    ordkey = F.struct(*order_cols)
+    last = s.groupBy("_pid", *keys).agg(F.max_by(F.struct(*[F.col(c) for c in cols]), ordkey).alias("_last"))
+    prev_piece = last.select(
+        "_pid", *[F.col(k).alias(f"_k_{k}") for k in keys],
+        F.lag("_last", 1).over(Window.partitionBy(*keys).orderBy("_pid")).alias("_prev"))
+    cond = reduce(lambda a, b: a & b,
+                  [local["_pid"] == prev_piece["_pid"]]
+                  + [local[k].eqNullSafe(prev_piece[f"_k_{k}"]) for k in keys])
+    j = local.join(prev_piece, cond, "left")
+    out = j.select(*[F.col(c) for c in df.columns],
+                   *[F.when(F.col("_lr") == 1, F.col(f"_prev.{c}")).otherwise(F.col(f"{prefix}{c}"))
+                     .alias(f"{prefix}{c}") for c in cols])
+    return out

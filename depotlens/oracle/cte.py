@@ -81,6 +81,11 @@ CTES: dict[str, tuple[list[str], str]] = {
                CAST(50000 AS DECIMAL(12,2)) AS credit_limit,
                CAST(c_acctbal AS DECIMAL(12,2)) AS current_outstanding
         FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""),
+    "discount_schemes": ([], """
+        SELECT 'SCH-' || r_name AS id, r_name AS depot_id,
+               '{"type":"' || CASE WHEN r_regionkey = 4 THEN 'flat' ELSE 'percent' END
+               || '","value":' || CAST(r_regionkey + 5 AS VARCHAR) || '}' AS terms
+        FROM region"""),
     "readings": ([], """
         SELECT event_id AS reading_id, 'DEV' || CAST(user_id AS VARCHAR) AS device_id, r_name AS depot_id,
                CAST(CAST(value AS DECIMAL(10,2)) % 12 AS DOUBLE) AS temperature,

@@ -373,3 +373,123 @@ ORACLE["temperature_anomalies"] = R6(with_tables("readings") + """
 
 
 ORACLE = {k: _rewrite_round(v) for k, v in ORACLE.items()}
+
+# ---------------------------------------------------------------- reconciliation (appended before rewrite)
+OPEN = """SELECT id, retailer_id, depot_id, invoice_date, total_amount,
+                 CAST(row_number() OVER (PARTITION BY retailer_id ORDER BY invoice_date, id) AS INTEGER) AS pos
+          FROM invoices WHERE status IN ('PENDING', 'PARTIAL')"""
+ORACLE["open_invoices"] = with_tables("invoices", extra=[("open", OPEN)]) + \
+    "SELECT * REPLACE (CAST(total_amount AS DOUBLE) AS total_amount) FROM open"
+EXACT = """SELECT p.id AS payment_id, arg_min(o.id, o.pos) AS invoice_id, min(o.pos) AS pos
+           FROM payments p JOIN open o ON o.retailer_id = p.retailer_id
+           WHERE o.total_amount > 0 AND p.amount_paid > 0
+             AND abs(p.amount_paid - o.total_amount) <= 0.01 * o.total_amount
+           GROUP BY p.id"""
+PARTIAL = """SELECT p.id AS payment_id, arg_min(o.id, o.pos) AS invoice_id,
+                    arg_min(o.total_amount, o.pos) AS total_amount, min(o.pos) AS pos
+             FROM payments p JOIN open o ON o.retailer_id = p.retailer_id
+             WHERE o.total_amount > 0 AND p.amount_paid > 0
+               AND 0.10 * o.total_amount <= p.amount_paid AND p.amount_paid < o.total_amount
+             GROUP BY p.id"""
+REC_CTES = [("open", OPEN), ("exact", EXACT), ("partial", PARTIAL)]
+ORACLE["match_exact"] = with_tables("invoices", "payments", extra=REC_CTES) + "SELECT * FROM exact"
+ORACLE["match_partial"] = with_tables("invoices", "payments", extra=REC_CTES) + \
+    "SELECT * REPLACE (CAST(total_amount AS DOUBLE) AS total_amount) FROM partial"
+
+
+def _bundles(n: int, pay_source: str) -> str:
+    cols = ", ".join(f"o{i}.pos" for i in range(1, n + 1))
+    ids = ", ".join(f"CAST(o{i}.id AS VARCHAR)" for i in range(1, n + 1))
+    total = " + ".join(f"o{i}.total_amount" for i in range(1, n + 1))
+    joins = " ".join(f"JOIN open o{i} ON o{i}.retailer_id = p.retailer_id AND o{i}.total_amount > 0"
+                     + (f" AND o{i}.pos > o{i-1}.pos" if i > 1 else "") for i in range(1, n + 1))
+    return f"""SELECT p.id AS payment_id, {n} AS n, [{n}, {cols}] AS ord, [{ids}] AS ids
+               FROM {pay_source} p {joins}
+               WHERE p.amount_paid > 0 AND abs(p.amount_paid - ({total})) <= 0.02 * ({total})"""
+
+
+REST = ("rest", "SELECT * FROM payments WHERE id NOT IN (SELECT payment_id FROM exact) "
+                "AND id NOT IN (SELECT payment_id FROM partial)")
+CONSOL = ("consol", "SELECT payment_id, arg_min(n, ord) AS n, arg_min(ids, ord) AS ids FROM ("
+          + " UNION ALL ".join(_bundles(n, "rest") for n in range(2, 6)) + ") GROUP BY payment_id")
+ORACLE["match_consolidated"] = with_tables("invoices", "payments", extra=REC_CTES + [REST, CONSOL]) + \
+    "SELECT payment_id, n, array_to_string(ids, ',') AS invoice_ids FROM consol"
+CASCADE = """
+    SELECT p.id AS payment_id, p.retailer_id, p.depot_id,
+           CASE WHEN e.payment_id IS NOT NULL THEN 'SETTLED' WHEN pa.payment_id IS NOT NULL THEN 'PARTIAL'
+                WHEN c.payment_id IS NOT NULL THEN 'SETTLED' ELSE 'ADVANCE' END AS reconciliation_status,
+           CASE WHEN e.payment_id IS NOT NULL THEN 'exact_match' WHEN pa.payment_id IS NOT NULL THEN 'partial_payment'
+                WHEN c.payment_id IS NOT NULL THEN 'consolidated_payment' ELSE 'advance_payment' END AS rule,
+           CASE WHEN e.payment_id IS NOT NULL THEN 100 WHEN pa.payment_id IS NOT NULL THEN 85
+                WHEN c.payment_id IS NOT NULL THEN 90 ELSE 70 END AS confidence,
+           CASE WHEN e.payment_id IS NOT NULL THEN CAST(e.invoice_id AS VARCHAR)
+                WHEN pa.payment_id IS NOT NULL THEN CAST(pa.invoice_id AS VARCHAR)
+                WHEN c.payment_id IS NOT NULL THEN array_to_string(c.ids, ',') ELSE '' END AS matched_invoices,
+           CASE WHEN e.payment_id IS NULL AND pa.payment_id IS NOT NULL THEN pa.total_amount - p.amount_paid
+                ELSE CAST(0 AS DECIMAL(12,2)) END AS balance_remaining
+    FROM payments p LEFT JOIN exact e ON e.payment_id = p.id LEFT JOIN partial pa ON pa.payment_id = p.id
+    LEFT JOIN consol c ON c.payment_id = p.id"""
+CASCADE_CTES = REC_CTES + [REST, CONSOL, ("cascade", CASCADE)]
+ORACLE["match_cascade"] = with_tables("invoices", "payments", extra=CASCADE_CTES) + \
+    "SELECT * REPLACE (CAST(balance_remaining AS DOUBLE) AS balance_remaining) FROM cascade"
+ORACLE["apply_scheme"] = with_tables("invoices", "payments", "discount_schemes", extra=CASCADE_CTES) + """
+    SELECT payment_id, reconciliation_status,
+           CAST(CASE WHEN applies THEN greatest(CAST(balance_remaining AS DECIMAL(14,4)) - ded, 0)
+                     ELSE CAST(balance_remaining AS DECIMAL(14,4)) END AS DOUBLE) AS balance_remaining,
+           CAST(CASE WHEN applies THEN ded END AS DOUBLE) AS scheme_deduction
+    FROM (SELECT c.*, c.reconciliation_status = 'PARTIAL' AND coalesce(json_extract_string(s.terms, '$.type') = 'percent', false) AS applies,
+                 CAST(CAST(c.balance_remaining AS DOUBLE) * CAST(json_extract_string(s.terms, '$.value') AS DOUBLE) / 100
+                      AS DECIMAL(14,4)) AS ded
+          FROM cascade c LEFT JOIN discount_schemes s ON s.depot_id = c.depot_id)"""
+PAID = ("paid", "SELECT invoice_id, sum(amount_paid) AS paid FROM payments WHERE invoice_id IS NOT NULL "
+                "GROUP BY invoice_id")
+ORACLE["retailer_statement"] = R6(with_tables("invoices", "payments", "retailers", extra=[PAID]) + f"""
+    SELECT i.retailer_id, r.name AS retailer_name, CAST(r.current_outstanding AS DOUBLE) AS outstanding_total,
+           CAST(r.credit_limit AS DOUBLE) AS credit_limit, i.id AS invoice_id, i.invoice_number, i.invoice_date,
+           CAST(i.total_amount AS DOUBLE) AS total_amount, i.status,
+           CAST(coalesce(p.paid, 0) AS DOUBLE) AS amount_paid,
+           CAST(i.total_amount - coalesce(p.paid, 0) AS DOUBLE) AS balance_due,
+           date_diff('day', i.invoice_date, {AS_OF}) AS days_overdue
+    FROM invoices i LEFT JOIN paid p ON p.invoice_id = CAST(i.id AS VARCHAR)
+    LEFT JOIN retailers r ON r.id = i.retailer_id""",
+                                     ["outstanding_total", "credit_limit", "total_amount", "amount_paid", "balance_due"])
+ORACLE["aging_report"] = R6(with_tables("invoices", "payments", extra=[PAID]) + f"""
+    SELECT depot_id, count_0_30, CAST(t1 AS DOUBLE) AS total_0_30, count_31_60, CAST(t2 AS DOUBLE) AS total_31_60,
+           count_60_plus, CAST(t3 AS DOUBLE) AS total_60_plus, CAST(t1 + t2 + t3 AS DOUBLE) AS total_outstanding
+    FROM (SELECT i.depot_id,
+                 count(*) FILTER (WHERE d <= 30) AS count_0_30, coalesce(sum(CASE WHEN d <= 30 THEN due END), 0) AS t1,
+                 count(*) FILTER (WHERE d BETWEEN 31 AND 60) AS count_31_60,
+                 coalesce(sum(CASE WHEN d BETWEEN 31 AND 60 THEN due END), 0) AS t2,
+                 count(*) FILTER (WHERE d > 60) AS count_60_plus, coalesce(sum(CASE WHEN d > 60 THEN due END), 0) AS t3
+          FROM (SELECT i.*, date_diff('day', i.invoice_date, {AS_OF}) AS d,
+                       i.total_amount - coalesce(p.paid, 0) AS due
+                FROM invoices i LEFT JOIN paid p ON p.invoice_id = CAST(i.id AS VARCHAR)
+                WHERE i.status <> 'SETTLED') i
+          GROUP BY i.depot_id)""",
+                            ["total_0_30", "total_31_60", "total_60_plus", "total_outstanding"])
+ORACLE["dso"] = R6(with_tables("invoices", "retailers") + f"""
+    SELECT r.id AS retailer_id,
+           CAST(trunc(coalesce(CAST(r.current_outstanding AS DOUBLE), 0.0) /
+                CASE WHEN coalesce(CAST(s.sales AS DOUBLE), 0.0) > 0 THEN CAST(s.sales AS DOUBLE) / 30 ELSE 0.01 END)
+                AS BIGINT) AS dso_days,
+           'stable' AS trend, coalesce(CAST(s.sales AS DOUBLE), 0.0) AS last_30d_collections
+    FROM retailers r LEFT JOIN (SELECT retailer_id, sum(total_amount) AS sales FROM invoices
+                                WHERE invoice_date >= {AS_OF} - 30 GROUP BY retailer_id) s ON s.retailer_id = r.id""",
+                   ["last_30d_collections"])
+ORACLE["duplicate_invoices"] = with_tables("invoices") + """
+    SELECT id, depot_id, invoice_number, created_at, dup AS is_duplicate,
+           CASE WHEN dup THEN prev_id END AS matching_invoice_id, CASE WHEN dup THEN 100.0 END AS similarity_score
+    FROM (SELECT *, coalesce(prev_id IS NOT NULL AND prev_created_at >= created_at - INTERVAL 7 DAY, false) AS dup
+          FROM (SELECT id, depot_id, invoice_number, created_at,
+                       lag(id) OVER w AS prev_id, lag(created_at) OVER w AS prev_created_at
+                FROM invoices WINDOW w AS (PARTITION BY depot_id, invoice_number ORDER BY created_at, id)))"""
+ORACLE["net_cashflow"] = R6(with_tables("depots", "payment_transactions") + f"""
+    SELECT d.depot_id, coalesce(CAST(g.net AS DOUBLE), 0.0) AS net_14d,
+           coalesce(CAST(g.net AS DOUBLE), 0.0) < 0 AS cashflow_negative
+    FROM depots d LEFT JOIN (
+        SELECT depot_id, sum(CASE WHEN transaction_type = 'INFLOW' THEN amount
+                                  WHEN transaction_type = 'OUTFLOW' THEN -amount ELSE 0 END) AS net
+        FROM payment_transactions WHERE transaction_date >= {AS_OF} - 14 AND transaction_date <= {AS_OF}
+        GROUP BY depot_id) g ON g.depot_id = d.depot_id""", ["net_14d"])
+
+ORACLE = {k: _rewrite_round(v) for k, v in ORACLE.items()}

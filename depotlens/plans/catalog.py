@@ -54,3 +54,7 @@ class Catalog:
     @cached_property
     def readings(self) -> DataFrame:
         return tpch.readings(self.spark, self.sf_dir)
+
+    @cached_property
+    def discount_schemes(self) -> DataFrame:
+        return tpch.discount_schemes(self.spark, self.sf_dir)

@@ -193,3 +193,92 @@ def q_anomaly_flags(spark, sf_dir):
 @register("temperature_anomalies")
 def q_temperature_anomalies(spark, sf_dir):
     return rounded(anomaly.temperature_anomalies(Catalog(spark, sf_dir).readings))
+
+
+# ---------------------------------------------------------------- reconciliation
+from ..operators import cashflow, invoices as invoice_ops, reconcile  # noqa: E402
+
+
+@register("open_invoices")
+def q_open_invoices(spark, sf_dir):
+    from pyspark.sql import functions as F
+    return reconcile.open_invoices(Catalog(spark, sf_dir).invoices).withColumn(
+        "total_amount", F.col("total_amount").cast("double"))
+
+
+@register("match_exact")
+def q_match_exact(spark, sf_dir):
+    c = Catalog(spark, sf_dir)
+    return reconcile.match_exact(c.payments, reconcile.open_invoices(c.invoices))
+
+
+@register("match_partial")
+def q_match_partial(spark, sf_dir):
+    from pyspark.sql import functions as F
+    c = Catalog(spark, sf_dir)
+    return reconcile.match_partial(c.payments, reconcile.open_invoices(c.invoices)).withColumn(
+        "total_amount", F.col("total_amount").cast("double"))
+
+
+@register("match_consolidated")
+def q_match_consolidated(spark, sf_dir):
+    from pyspark.sql import functions as F
+    c = Catalog(spark, sf_dir)
+    oi = reconcile.open_invoices(c.invoices)
+    rest = reconcile.unmatched(c.payments, reconcile.match_exact(c.payments, oi), reconcile.match_partial(c.payments, oi))
+    m = reconcile.match_consolidated(rest, oi)
+    return m.select("payment_id", "n", F.array_join("ids", ",").alias("invoice_ids"))
+
+
+def _cascade(c: Catalog) -> DataFrame:
+    return reconcile.match_cascade(c.payments, c.invoices)
+
+
+@register("match_cascade")
+def q_match_cascade(spark, sf_dir):
+    from pyspark.sql import functions as F
+    return _cascade(Catalog(spark, sf_dir)).withColumn("balance_remaining", F.col("balance_remaining").cast("double"))
+
+
+@register("apply_scheme")
+def q_apply_scheme(spark, sf_dir):
+    from pyspark.sql import functions as F
+    c = Catalog(spark, sf_dir)
+    return reconcile.apply_scheme(_cascade(c), c.discount_schemes).select(
+        "payment_id", "reconciliation_status", F.col("balance_remaining").cast("double").alias("balance_remaining"),
+        F.col("scheme_deduction").cast("double").alias("scheme_deduction"))
+
+
+@register("match_sequential")
+def q_match_sequential(spark, sf_dir):
+    c = Catalog(spark, sf_dir)
+    return reconcile.match_sequential(c.payments, c.invoices)
+
+
+@register("retailer_statement")
+def q_retailer_statement(spark, sf_dir):
+    c = Catalog(spark, sf_dir)
+    return rounded(reconcile.retailer_statement(c.invoices, c.payments, c.retailers, c.as_of))
+
+
+@register("aging_report")
+def q_aging_report(spark, sf_dir):
+    c = Catalog(spark, sf_dir)
+    return rounded(reconcile.aging_report(c.invoices, c.payments, c.as_of))
+
+
+@register("dso")
+def q_dso(spark, sf_dir):
+    c = Catalog(spark, sf_dir)
+    return rounded(reconcile.dso(c.retailers, c.invoices, c.as_of))
+
+
+@register("duplicate_invoices")
+def q_duplicate_invoices(spark, sf_dir):
+    return invoice_ops.duplicate_invoices(Catalog(spark, sf_dir).invoices)
+
+
+@register("net_cashflow")
+def q_net_cashflow(spark, sf_dir):
+    c = Catalog(spark, sf_dir)
+    return rounded(cashflow.net_cashflow(c.payment_transactions, c.depots, c.as_of))

@@ -220,3 +220,13 @@ def anomaly_movements(movements: DataFrame) -> DataFrame:
     key % 31 = 0 (plain quantities are uniform 1–50 and never reach z = 2)."""
     return movements.withColumn(
         "quantity", F.when(F.col("order_key") % 31 == 0, F.col("quantity") * 6).otherwise(F.col("quantity")))
+
+
+def discount_schemes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One scheme per depot: percent value 5 + region key, except the last
+    region whose scheme is a flat amount (ignored by R-7)."""
+    r = read(spark, sf_dir, "region")
+    kind = F.when(F.col("r_regionkey") == 4, F.lit("flat")).otherwise(F.lit("percent"))
+    terms = F.to_json(F.struct(kind.alias("type"), (F.col("r_regionkey") + 5).alias("value")))
+    return r.select(F.concat(F.lit("SCH-"), F.col("r_name")).alias("id"),
+                    F.col("r_name").alias("depot_id"), terms.alias("terms"))
