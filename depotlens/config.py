@@ -89,7 +89,7 @@ ACTION_PRIORITY = {
     "SUGGEST_LIQUIDATION": 2,
     "FLAG_PRIORITY_DISPATCH": 3,
     "SUGGEST_REORDER": 4,
-    "AUTO_DISPATCH": 5,
+    "DISPATCH_PLAN": 5,
     "ANOMALY_ALERT": 6,
 }
 RULE_ORDER = ["anomaly", "expiry", "reorder", "dispatch"]

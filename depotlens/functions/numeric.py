@@ -34,9 +34,9 @@ def _py_round_body(x: Column, n: int) -> Column:
     f = F.floor(a * F.lit(s)).cast("double")
     p, err = _two_product_err(a, 2 * s)
     d = (p - (F.lit(2.0) * f + F.lit(1.0))) + err
-    up = F.when(d > 0, f + 1).when(d < 0, f).otherwise(F.when(f % 2 == 0, f).otherwise(f + 1))
-    r = up / F.lit(s)
-    return F.when(x.isNull() | F.isnan(x), x).otherwise(F.when(x < 0, -r).otherwise(r) + F.lit(0.0))
+    step = F.when(d > 0, F.lit(1.0)).when(d < 0, F.lit(0.0)).otherwise(f % 2)
+    r = F.signum(x) * ((f + step) / F.lit(s)) + F.lit(0.0)
+    return F.when(F.isnan(x), x).otherwise(r)
 
 
 def py_round(x, n: int = 0) -> Column:
@@ -75,3 +75,47 @@ def sql_py_round(expr: str, n: int = 0) -> str:
     body = (f"CASE WHEN {v} IS NULL OR isnan({v}) THEN {v} "
             f"WHEN {v} < 0 THEN -{r} ELSE {r} + 0.0 END")
     return f"list_transform([CAST(({expr}) AS DOUBLE)], lambda {v}: {body})[1]"
+
+
+def py_round_cols(df, specs: dict):
+    """Add/replace columns ``{out: (source_column, n)}`` rounded like
+    Python.  The intermediate terms are built in successive projections, so
+    each generated method stays small (Catalyst does not merge a projection
+    whose costly outputs are used several times by the next one)."""
+    from pyspark.sql import DataFrame  # noqa: F401
+    tmp = []
+    cur = df
+    p1 = []
+    for i, (out, (src, n)) in enumerate(specs.items()):
+        x = F.col(src).cast("double")
+        p1 += [x.alias(f"_x{i}"), F.abs(x).alias(f"_a{i}")]
+    cur = cur.select("*", *p1)
+    p2 = []
+    for i, (out, (src, n)) in enumerate(specs.items()):
+        s = float(10 ** n)
+        a = F.col(f"_a{i}")
+        c = F.lit(SPLIT) * a
+        p2 += [F.floor(a * F.lit(s)).cast("double").alias(f"_f{i}"), (a * F.lit(2 * s)).alias(f"_p{i}"),
+               (c - (c - a)).alias(f"_h{i}")]
+    cur = cur.select("*", *p2)
+    p3 = []
+    for i, (out, (src, n)) in enumerate(specs.items()):
+        s = float(10 ** n)
+        a, h, p, f = F.col(f"_a{i}"), F.col(f"_h{i}"), F.col(f"_p{i}"), F.col(f"_f{i}")
+        bh, bl = _split(F.lit(2 * s))
+        lo = a - h
+        err = ((h * bh - p) + h * bl + lo * bh) + lo * bl
+        p3.append(((p - (F.lit(2.0) * f + F.lit(1.0))) + err).alias(f"_d{i}"))
+    cur = cur.select("*", *p3)
+    outs = {}
+    for i, (out, (src, n)) in enumerate(specs.items()):
+        s = float(10 ** n)
+        x, f, d = F.col(f"_x{i}"), F.col(f"_f{i}"), F.col(f"_d{i}")
+        step = F.when(d > 0, F.lit(1.0)).when(d < 0, F.lit(0.0)).otherwise(f % 2)
+        r = F.signum(x) * ((f + step) / F.lit(s)) + F.lit(0.0)
+        outs[out] = F.when(F.isnan(x), x).otherwise(r)
+        tmp += [f"_x{i}", f"_a{i}", f"_f{i}", f"_p{i}", f"_h{i}", f"_d{i}"]
+    keep = [F.col(c) for c in df.columns if c not in outs]
+    res = cur.select(*keep, *[v.alias(k) for k, v in outs.items()])
+    order = [c for c in df.columns] + [k for k in outs if k not in df.columns]
+    return res.select(*order)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.numeric import py_round
+from ..functions.numeric import py_round_cols
 from ..config import MOVEMENT_CODES
 from ..sources.tpch import as_of_ts
 from .expiry import days_between
@@ -78,8 +78,9 @@ def anomaly_flags(movements: DataFrame, products: DataFrame, as_of: str, hold: f
     recent = recent.join(products.select("product_id", "product_category"), "product_id")
     s = score_movements(recent, base)
     action = F.when(F.col("z_score") > hold, "ANOMALY_HOLD").when(F.col("z_score") > alert, "ANOMALY_ALERT")
+    s = py_round_cols(s.withColumn("action", action), {"z_score_r": ("z_score", 2)})
     return s.select("depot_id", "movement_id", "batch_id", "product_id",
-                    py_round("z_score", 2).alias("z_score"), action.alias("action"),
+                    F.col("z_score_r").alias("z_score"), "action",
                     F.col("quantity").cast("double").alias("quantity"), "movement_type") \
             .where(F.col("action").isNotNull())
 

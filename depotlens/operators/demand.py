@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.numeric import py_round
+from ..functions.numeric import py_round_cols
 from ..functions.calendar import cyclic, festival_flag, season_code, weekday_mon0
 from ..sources.tpch import as_of_lit, as_of_ts
 
@@ -171,12 +171,10 @@ def forecast_fallback(sales: DataFrame, horizon_days: int = 14, tail_days: int =
     rate = F.greatest(F.col("tail_sum") / F.least(n, F.lit(float(tail_days))), F.lit(0.0))
     raw = g.select("product_id", "depot_id", (rate * horizon_days).alias("u14"), rate.alias("rate"),
                    F.when(n < 5, F.lit(0.0)).otherwise(slope).alias("slope"))
-    return raw.select(
-        "product_id", "depot_id",
-        py_round("u14", 2).alias("predicted_units_14d"),
-        py_round("rate", 4).alias("predicted_daily_rate"),
-        py_round("slope", 4).alias("demand_trend_slope"),
-    )
+    out = py_round_cols(raw, {"predicted_units_14d": ("u14", 2), "predicted_daily_rate": ("rate", 4),
+                              "demand_trend_slope": ("slope", 4)})
+    return out.select("product_id", "depot_id", "predicted_units_14d", "predicted_daily_rate",
+                      "demand_trend_slope")
 
 
 def demand_forecast(movements: DataFrame, products: DataFrame, depots: DataFrame,

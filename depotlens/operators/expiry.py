@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.numeric import py_round
+from ..functions.numeric import py_round_cols
 from ..config import CATEGORY_RISK, CATEGORY_RISK_DEFAULT
 from ..functions.calendar import peak_season
 from ..sources.tpch import as_of_lit, as_of_ts
@@ -56,7 +56,8 @@ def expiry_risk_formula(active: DataFrame, as_of: str, decimals: int = 3) -> Dat
     raw = active.select(
         "batch_id", "product_id", "depot_id", risk.alias("_risk"),
         liquidation_date(as_of, remaining, F.lit(1.0)).alias("recommended_liquidation_date"))
-    return raw.select("batch_id", "product_id", "depot_id", py_round("_risk", decimals).alias("expiry_risk_score"),
+    raw = py_round_cols(raw, {"expiry_risk_score": ("_risk", decimals)})
+    return raw.select("batch_id", "product_id", "depot_id", "expiry_risk_score",
                       "recommended_liquidation_date", F.lit("formula").alias("method"))
 
 
@@ -136,8 +137,8 @@ def expiry_risk_model(active: DataFrame, features: DataFrame, model, as_of: str)
     own velocity; rounded to 3 decimals."""
     from pyspark.ml.functions import vector_to_array
     scored = model.transform(features)
-    p = scored.select("batch_id", vector_to_array("probability")[1].alias("_p"), "sales_velocity_weekly") \
-              .select("batch_id", py_round("_p", 3).alias("expiry_risk_score"), "sales_velocity_weekly")
+    p = py_round_cols(scored.select("batch_id", vector_to_array("probability")[1].alias("_p"),
+                                    "sales_velocity_weekly"), {"expiry_risk_score": ("_p", 3)}).drop("_p")
     a = active.select("batch_id", "product_id", "depot_id", "quantity_remaining")
     return a.join(p, "batch_id").select(
         "batch_id", "product_id", "depot_id", "expiry_risk_score",

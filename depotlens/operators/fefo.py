@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.numeric import py_round
+from ..functions.numeric import py_round_cols
 from ..sources.tpch import as_of_lit
 from .ranking import rank_within
 
@@ -27,9 +27,9 @@ def fefo_rank(active: DataFrame, expiry: DataFrame | None, as_of: str, threshold
                  F.col("quantity_remaining").cast("double").alias("remaining_qty"),
                  risk.alias("_risk"), override.alias("ml_override"),
                  days.alias("days_till_expiry"), score.alias("_score"))
+    r = py_round_cols(r, {"expiry_risk_score": ("_risk", 3), "priority_score": ("_score", 4)})
     r = r.select("batch_id", "product_id", "depot_id", "expiry_date", "remaining_qty",
-                 py_round("_risk", 3).alias("expiry_risk_score"), "ml_override", "days_till_expiry",
-                 py_round("_score", 4).alias("priority_score"))
+                 "expiry_risk_score", "ml_override", "days_till_expiry", "priority_score")
     if skew_safe:
         return rank_within(r, ["depot_id"], ["priority_score", "batch_id"], name="priority_rank")
     from pyspark.sql import Window

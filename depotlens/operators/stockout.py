@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.numeric import py_round
+from ..functions.numeric import py_round_cols
 from .ledger import _balance
 
 
@@ -25,8 +25,9 @@ def stockout_risk(movements: DataFrame, products: DataFrame, demand: DataFrame |
     days = stock / rate
     raw = st.select("depot_id", "product_id", stock.alias("_stock"), days.alias("_days"),
                     lead.alias("lead_time_days"), (days < lead).alias("will_stockout"))
-    return raw.select("depot_id", "product_id", py_round("_stock", 2).alias("current_stock"),
-                      py_round("_days", 1).alias("days_until_stockout"), "lead_time_days", "will_stockout")
+    raw = py_round_cols(raw, {"current_stock": ("_stock", 2), "days_until_stockout": ("_days", 1)})
+    return raw.select("depot_id", "product_id", "current_stock", "days_until_stockout", "lead_time_days",
+                      "will_stockout")
 
 
 def stockout_risk_offline(stock: DataFrame, forecast: DataFrame | None, default_lead: int = 7) -> DataFrame:
@@ -47,5 +48,6 @@ def stockout_risk_offline(stock: DataFrame, forecast: DataFrame | None, default_
     days = stock_v / rate
     raw = s.select("depot_id", "product_id", stock_v.alias("_stock"), days.alias("_days"),
                    lead.alias("lead_time_days"), (days < lead).alias("will_stockout"))
-    return raw.select("depot_id", "product_id", py_round("_stock", 2).alias("current_stock"),
-                      py_round("_days", 1).alias("days_until_stockout"), "lead_time_days", "will_stockout")
+    raw = py_round_cols(raw, {"current_stock": ("_stock", 2), "days_until_stockout": ("_days", 1)})
+    return raw.select("depot_id", "product_id", "current_stock", "days_until_stockout", "lead_time_days",
+                      "will_stockout")

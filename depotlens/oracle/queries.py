@@ -372,6 +372,130 @@ ORACLE["temperature_anomalies"] = R6(with_tables("readings") + """
                                      ["temperature", "z_score"])
 
 
+
+# ---------------------------------------------------------------- views and decisions (critical = 0.75)
+ACT = "depot_id IN (SELECT depot_id FROM depots WHERE is_active)"
+SALES_ACTIVE = DAILY_DEMAND.replace("WHERE sm.movement_type = 'OUT'", "WHERE d.is_active AND sm.movement_type = 'OUT'")
+NIGHT_CTES = [("sales", SALES_ACTIVE)] + FORECAST_CTES[1:] + ACTIVE_CTES + [("formula", FORMULA)] + [
+    ("dem", f"SELECT *, {AS_OF} AS run_date FROM forecast"),
+    ("exp", f"SELECT *, {AS_OF} AS run_date FROM formula WHERE {ACT}"),
+    ("stockout", f"""SELECT *, {AS_OF} AS run_date FROM (
+        SELECT s.depot_id, s.product_id, round(greatest(s.stock, 0.0), 2) AS current_stock,
+               round(greatest(s.stock, 0.0) / greatest(coalesce(f.predicted_daily_rate, 0.0), 0.01), 1) AS days_until_stockout,
+               CAST(coalesce(p.lead_time_days, 7) AS DOUBLE) AS lead_time_days,
+               greatest(s.stock, 0.0) / greatest(coalesce(f.predicted_daily_rate, 0.0), 0.01)
+                   < CAST(coalesce(p.lead_time_days, 7) AS DOUBLE) AS will_stockout
+        FROM (SELECT depot_id, product_id, {BALANCE} AS stock FROM stock_movements GROUP BY depot_id, product_id) s
+        JOIN products p ON p.product_id = s.product_id
+        LEFT JOIN forecast f ON f.depot_id = s.depot_id AND f.product_id = s.product_id
+        WHERE s.stock >= 0) WHERE {ACT}"""),
+    ("fefo", f"SELECT *, {AS_OF} AS run_date FROM ({FEFO}) WHERE {ACT}"),
+    ANOM_MV, ("base", BASELINES),
+    ("flags", f"SELECT *, {AS_OF} AS run_date FROM ({ANOMALY_FLAGS}) WHERE {ACT}"),
+    ("cash", f"""SELECT d.depot_id, coalesce(CAST(g.net AS DOUBLE), 0.0) < 0 AS cashflow_negative
+        FROM depots d LEFT JOIN (
+            SELECT depot_id, sum(CASE WHEN transaction_type = 'INFLOW' THEN amount
+                                      WHEN transaction_type = 'OUTFLOW' THEN -amount ELSE 0 END) AS net
+            FROM payment_transactions WHERE transaction_date >= {AS_OF} - 14 AND transaction_date <= {AS_OF}
+            GROUP BY depot_id) g ON g.depot_id = d.depot_id WHERE d.is_active"""),
+    ("v_expiry", """SELECT e.depot_id, e.batch_id, e.expiry_risk_score, e.recommended_liquidation_date, e.method,
+                           e.run_date, b.product_id, b.quantity_remaining AS remaining_qty,
+                           CAST(p.ptr AS DOUBLE) AS ptr, p.canonical_name AS product_name
+                    FROM exp e JOIN batches b ON b.batch_id = e.batch_id JOIN products p ON p.product_id = b.product_id"""),
+    ("v_stockout", """SELECT s.*, p.canonical_name AS product_name, d.predicted_units_14d
+                      FROM stockout s JOIN products p ON p.product_id = s.product_id
+                      LEFT JOIN dem d ON d.product_id = s.product_id AND d.depot_id = s.depot_id
+                                     AND d.run_date = s.run_date"""),
+    ("v_fefo", """SELECT b.product_id, f.depot_id, f.run_date, f.batch_id, f.priority_rank, f.priority_score,
+                         f.ml_override, f.expiry_risk_score, f.days_till_expiry,
+                         b.quantity_remaining AS units_available, b.expiry_date, p.canonical_name AS product_name,
+                         d.predicted_units_14d
+                  FROM fefo f JOIN batches b ON b.batch_id = f.batch_id JOIN products p ON p.product_id = b.product_id
+                  LEFT JOIN dem d ON d.product_id = b.product_id AND d.depot_id = f.depot_id AND d.run_date = f.run_date"""),
+    ("v_anomaly", """SELECT f.* EXCLUDE (product_id), f.product_id, p.canonical_name AS product_name
+                     FROM flags f LEFT JOIN products p ON p.product_id = f.product_id"""),
+    ("d_anomaly", """SELECT depot_id, 'AnomalyAgent' AS agent,
+                            CASE WHEN action = 'ANOMALY_HOLD' THEN 'ANOMALY_HOLD' ELSE 'ANOMALY_ALERT' END AS action_type,
+                            CASE WHEN action = 'ANOMALY_HOLD' THEN 'APPROVE' ELSE 'NOTIFY' END AS approval_tier,
+                            batch_id, product_id, 'anomaly_' || coalesce(batch_id, '') AS conflict_key, 1 AS rule_no,
+                            coalesce(product_name, 'Unknown') || ': Z-score ' || printf('%.1f', round(coalesce(z_score, 0.0), 1))
+                            || ' on ' || coalesce(movement_type, '') || ' of ' || printf('%.0f', round(coalesce(quantity, 0.0), 0))
+                            || ' units — ' || CASE WHEN action = 'ANOMALY_HOLD' THEN 'batch HELD pending investigation.'
+                                                   ELSE 'flagged for review.' END AS reason
+                     FROM v_anomaly"""),
+    ("d_expiry", """SELECT depot_id, 'ExpiryPreventionAgent' AS agent,
+                           CASE WHEN r >= 0.75 THEN 'SUGGEST_LIQUIDATION' ELSE 'FLAG_PRIORITY_DISPATCH' END AS action_type,
+                           CASE WHEN r >= 0.75 THEN 'APPROVE' ELSE 'NOTIFY' END AS approval_tier,
+                           batch_id, product_id, 'expiry_' || batch_id AS conflict_key, 2 AS rule_no,
+                           CASE WHEN r >= 0.75 THEN
+                                nm || ': expiry risk ' || printf('%.0f', round(r, 2) * 100) || '% — critical. Liquidate by '
+                                || liq || ' or lose ₹' || format('{:,.0f}', round(round(rem * ptr0, 2), 0)) || '.'
+                           ELSE nm || ': expiry risk ' || printf('%.0f', round(r, 2) * 100) || '% — priority dispatch recommended.'
+                           END AS reason
+                    FROM (SELECT *, coalesce(expiry_risk_score, 0.0) AS r, coalesce(CAST(remaining_qty AS DOUBLE), 0.0) AS rem,
+                                 coalesce(ptr, 0.0) AS ptr0, coalesce(product_name, 'Unknown') AS nm,
+                                 coalesce(CAST(recommended_liquidation_date AS VARCHAR), '') AS liq FROM v_expiry)
+                    WHERE r >= 0.60"""),
+    ("liq", "SELECT DISTINCT depot_id, product_id FROM v_expiry WHERE expiry_risk_score >= 0.75"),
+    ("held", "SELECT DISTINCT depot_id, batch_id FROM v_anomaly WHERE action = 'ANOMALY_HOLD'"),
+    ("d_reorder", """SELECT depot_id, 'ReorderAgent' AS agent, 'SUGGEST_REORDER' AS action_type,
+                            CASE WHEN dd < ld THEN 'APPROVE' ELSE 'NOTIFY' END AS approval_tier,
+                            CAST(NULL AS VARCHAR) AS batch_id, product_id, 'reorder_' || product_id AS conflict_key,
+                            3 AS rule_no,
+                            nm || ': stock out in ' || printf('%.0f', round(dd, 0)) || ' days (lead time '
+                            || printf('%.0f', round(ld, 0)) || ' days). Suggest ordering ' || CAST(qty AS VARCHAR)
+                            || ' units.' || CASE WHEN neg THEN ' [qty reduced 30% — cashflow negative]' ELSE '' END AS reason
+                     FROM (SELECT *, CASE WHEN neg THEN greatest(CAST(floor(q0 * (1 - 0.3)) AS BIGINT), 1) ELSE q0 END AS qty
+                           FROM (SELECT s.*, coalesce(CAST(s.days_until_stockout AS DOUBLE), 0.0) AS dd,
+                                        coalesce(CAST(s.lead_time_days AS DOUBLE), 7.0) AS ld,
+                                        greatest(CAST(floor(coalesce(CAST(s.predicted_units_14d AS DOUBLE), 0.0)) AS BIGINT), 1) AS q0,
+                                        coalesce(c.cashflow_negative, false) AS neg,
+                                        coalesce(s.product_name, 'Unknown') AS nm
+                                 FROM v_stockout s LEFT JOIN cash c ON c.depot_id = s.depot_id
+                                 WHERE NOT EXISTS (SELECT 1 FROM liq l WHERE l.depot_id = s.depot_id
+                                                   AND l.product_id = s.product_id)))
+                     WHERE dd < ld * 1.5"""),
+    ("d_dispatch", """SELECT depot_id, 'DispatchAgent' AS agent, 'DISPATCH_PLAN' AS action_type, 'AUTO' AS approval_tier,
+                             batch_id, product_id, 'dispatch_' || batch_id AS conflict_key, 4 AS rule_no,
+                             nm || ': dispatch ' || printf('%.0f', round(u, 0)) || ' units (expires in '
+                             || CAST(days_till_expiry AS VARCHAR) || 'd, rank #' || CAST(priority_rank AS VARCHAR) || ')'
+                             AS reason
+                      FROM (SELECT f.*, least(coalesce(CAST(f.units_available AS DOUBLE), 0.0),
+                                              coalesce(CAST(f.predicted_units_14d AS DOUBLE), d.predicted_units_14d, 0.0)) AS u,
+                                   coalesce(f.product_name, 'Unknown') AS nm
+                            FROM v_fefo f LEFT JOIN dem d ON d.depot_id = f.depot_id AND d.product_id = f.product_id
+                            WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.depot_id = f.depot_id AND h.batch_id = f.batch_id))
+                      WHERE u > 0"""),
+]
+_NIGHT = with_tables("depots", "products", "stock_movements", "batches", "payment_transactions", extra=NIGHT_CTES)
+ORACLE["v_expiry_predictions"] = R6(_NIGHT + "SELECT * FROM v_expiry", ["ptr"])
+ORACLE["v_stockout_risks"] = R6(_NIGHT + "SELECT * FROM v_stockout",
+                                ["current_stock", "days_until_stockout", "lead_time_days", "predicted_units_14d"])
+ORACLE["v_fefo_rankings"] = R6(_NIGHT + "SELECT * FROM v_fefo",
+                               ["priority_score", "expiry_risk_score", "predicted_units_14d"])
+ORACLE["v_anomaly_flags"] = R6(_NIGHT + "SELECT * FROM v_anomaly", ["z_score", "quantity"])
+ORACLE["anomaly_decisions"] = _NIGHT + "SELECT * FROM d_anomaly"
+ORACLE["expiry_decisions"] = _NIGHT + "SELECT * FROM d_expiry"
+ORACLE["reorder_decisions"] = _NIGHT + "SELECT * FROM d_reorder"
+ORACLE["dispatch_decisions"] = _NIGHT + "SELECT * FROM d_dispatch"
+ORACLE["resolve_decisions"] = _NIGHT + f"""
+    SELECT *, CAST(row_number() OVER (PARTITION BY depot_id ORDER BY priority, rule_no, conflict_key, batch_id,
+                                      product_id) AS INTEGER) AS seq, {AS_OF} AS run_date
+    FROM (SELECT *, CASE action_type WHEN 'ANOMALY_HOLD' THEN 1 WHEN 'SUGGEST_LIQUIDATION' THEN 2
+                     WHEN 'FLAG_PRIORITY_DISPATCH' THEN 3 WHEN 'SUGGEST_REORDER' THEN 4 WHEN 'DISPATCH_PLAN' THEN 5
+                     WHEN 'ANOMALY_ALERT' THEN 6 ELSE 99 END AS priority
+          FROM (SELECT * FROM d_anomaly UNION ALL SELECT * FROM d_expiry UNION ALL SELECT * FROM d_dispatch
+                UNION ALL SELECT * FROM d_reorder r WHERE NOT EXISTS (
+                    SELECT 1 FROM d_expiry e WHERE e.action_type = 'SUGGEST_LIQUIDATION'
+                      AND e.depot_id = r.depot_id AND e.product_id = r.product_id)))"""
+ORACLE["run_status"] = _NIGHT + """
+    SELECT d.depot_id, CASE WHEN NOT EXISTS (SELECT 1 FROM dem x WHERE x.depot_id = d.depot_id) THEN 'FAILED'
+                            WHEN NOT EXISTS (SELECT 1 FROM exp x WHERE x.depot_id = d.depot_id)
+                              OR NOT EXISTS (SELECT 1 FROM stockout x WHERE x.depot_id = d.depot_id)
+                              OR NOT EXISTS (SELECT 1 FROM fefo x WHERE x.depot_id = d.depot_id) THEN 'PARTIAL'
+                            ELSE 'SUCCESS' END AS status
+    FROM depots d WHERE d.is_active"""
+
 ORACLE = {k: _rewrite_round(v) for k, v in ORACLE.items()}
 
 # ---------------------------------------------------------------- reconciliation (appended before rewrite)

@@ -32,9 +32,9 @@ def rounded(df: DataFrame, decimals: int = 6) -> DataFrame:
     from pyspark.sql import functions as F
     from pyspark.sql.types import DoubleType
 
-    from ..functions.numeric import py_round
-    return df.select(*[py_round(F.col(f.name), decimals).alias(f.name) if isinstance(f.dataType, DoubleType)
-                       else F.col(f.name) for f in df.schema.fields])
+    from ..functions.numeric import py_round_cols
+    specs = {f.name: (f.name, decimals) for f in df.schema.fields if isinstance(f.dataType, DoubleType)}
+    return py_round_cols(df, specs) if specs else df
 
 
 def _sales(c: Catalog) -> DataFrame:
@@ -282,3 +282,75 @@ def q_duplicate_invoices(spark, sf_dir):
 def q_net_cashflow(spark, sf_dir):
     c = Catalog(spark, sf_dir)
     return rounded(cashflow.net_cashflow(c.payment_transactions, c.depots, c.as_of))
+
+
+# ---------------------------------------------------------------- views and decisions
+from ..config import Config  # noqa: E402
+from ..operators import decisions, views  # noqa: E402
+from . import nightly  # noqa: E402
+
+# The formula path caps expiry risk at 0.8 (H-18); the decision queries run
+# with critical = 0.75 so that liquidation and reorder suppression occur.
+DECISION_CONFIG = Config().with_overrides(expiry_critical_threshold=0.75)
+
+
+def _state(spark, sf_dir):
+    c = Catalog(spark, sf_dir)
+    return c, nightly.decision_state(c, nightly.score_all(c, DECISION_CONFIG))
+
+
+@register("v_expiry_predictions")
+def q_v_expiry(spark, sf_dir):
+    from pyspark.sql import functions as F
+    _, st = _state(spark, sf_dir)
+    return rounded(st["expiry_view"].withColumn("ptr", F.col("ptr").cast("double")))
+
+
+@register("v_stockout_risks")
+def q_v_stockout(spark, sf_dir):
+    return rounded(_state(spark, sf_dir)[1]["stockout_view"])
+
+
+@register("v_fefo_rankings")
+def q_v_fefo(spark, sf_dir):
+    return rounded(_state(spark, sf_dir)[1]["fefo_view"])
+
+
+@register("v_anomaly_flags")
+def q_v_anomaly(spark, sf_dir):
+    return rounded(_state(spark, sf_dir)[1]["anomaly_view"])
+
+
+def _no_payload(df):
+    return df.drop("payload")
+
+
+@register("anomaly_decisions")
+def q_anomaly_decisions(spark, sf_dir):
+    return _no_payload(decisions.run_rule("anomaly", _state(spark, sf_dir)[1], DECISION_CONFIG))
+
+
+@register("expiry_decisions")
+def q_expiry_decisions(spark, sf_dir):
+    return _no_payload(decisions.run_rule("expiry", _state(spark, sf_dir)[1], DECISION_CONFIG))
+
+
+@register("reorder_decisions")
+def q_reorder_decisions(spark, sf_dir):
+    return _no_payload(decisions.run_rule("reorder", _state(spark, sf_dir)[1], DECISION_CONFIG))
+
+
+@register("dispatch_decisions")
+def q_dispatch_decisions(spark, sf_dir):
+    return _no_payload(decisions.run_rule("dispatch", _state(spark, sf_dir)[1], DECISION_CONFIG))
+
+
+@register("resolve_decisions")
+def q_resolve_decisions(spark, sf_dir):
+    return _no_payload(nightly.nightly_decisions(Catalog(spark, sf_dir), DECISION_CONFIG))
+
+
+@register("run_status")
+def q_run_status(spark, sf_dir):
+    c = Catalog(spark, sf_dir)
+    return decisions.run_status(nightly.stage_outcomes(c, nightly.score_all(c, DECISION_CONFIG)))
