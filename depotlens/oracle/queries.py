@@ -617,3 +617,161 @@ ORACLE["net_cashflow"] = R6(with_tables("depots", "payment_transactions") + f"""
         GROUP BY depot_id) g ON g.depot_id = d.depot_id""", ["net_14d"])
 
 ORACLE = {k: _rewrite_round(v) for k, v in ORACLE.items()}
+
+# ---------------------------------------------------------------- drift
+_DRIFT_LONG = " UNION ALL ".join(
+    f"SELECT side, '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM li"
+    for c in ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+PSI_SQL = f"""
+WITH li AS (SELECT CASE WHEN l_shipdate < TIMESTAMP '1998-01-01' THEN 'base' ELSE 'curr' END AS side, * FROM lineitem),
+long AS ({_DRIFT_LONG}),
+bounds AS (SELECT feature, min(value) AS lo, max(value) AS hi FROM long GROUP BY feature),
+totals AS (SELECT feature, side, count(*) AS n FROM long GROUP BY feature, side),
+b0 AS (SELECT l.feature, l.side, l.value, b.lo, b.hi,
+              least(CAST(floor((l.value - b.lo) * (10.0 / (b.hi - b.lo))) AS INTEGER), 9) AS i0
+       FROM long l JOIN bounds b ON b.feature = l.feature WHERE l.value IS NOT NULL AND b.hi > b.lo),
+b1 AS (SELECT *, CASE WHEN value < CAST(i0 AS DOUBLE) * ((hi - lo) / 10.0) + lo THEN i0 - 1 ELSE i0 END AS i1 FROM b0),
+b2 AS (SELECT feature, side, CASE WHEN i1 <> 9 AND value >= CASE WHEN i1 + 1 >= 10 THEN hi
+                                ELSE CAST(i1 + 1 AS DOUBLE) * ((hi - lo) / 10.0) + lo END THEN i1 + 1 ELSE i1 END AS bin
+       FROM b1
+       UNION ALL SELECT l.feature, l.side, 9 FROM long l JOIN bounds b ON b.feature = l.feature
+       WHERE l.value IS NOT NULL AND b.hi = b.lo),
+counts AS (SELECT feature, side, bin, count(*) AS c FROM b2 GROUP BY ALL),
+grid AS (SELECT feature, unnest(range(0, 10)) AS bin FROM bounds),
+shares AS (
+  SELECT g.feature, g.bin,
+         greatest(coalesce(cb.c, 0) / greatest(coalesce(tb.n, 0), 1), 1e-6) AS b,
+         greatest(coalesce(cc.c, 0) / greatest(coalesce(tc.n, 0), 1), 1e-6) AS c
+  FROM grid g
+  LEFT JOIN counts cb ON cb.feature = g.feature AND cb.bin = g.bin AND cb.side = 'base'
+  LEFT JOIN totals tb ON tb.feature = g.feature AND tb.side = 'base'
+  LEFT JOIN counts cc ON cc.feature = g.feature AND cc.bin = g.bin AND cc.side = 'curr'
+  LEFT JOIN totals tc ON tc.feature = g.feature AND tc.side = 'curr'),
+psi AS (SELECT feature, round(sum((c - b) * ln(c / b)), 4) AS psi FROM shares GROUP BY feature)
+"""
+ORACLE["psi"] = _rewrite_round(PSI_SQL + "SELECT * FROM psi")
+ORACLE["drift_report"] = _rewrite_round(PSI_SQL + """,
+rep AS (SELECT *, CASE WHEN psi >= 0.20 THEN 'drift_alert' WHEN psi >= 0.10 THEN 'slight_drift' ELSE 'stable' END AS status
+        FROM psi)
+SELECT *, (SELECT coalesce(bool_or(status = 'drift_alert'), false) FROM rep) AS needs_retraining,
+       (SELECT count(*) FILTER (WHERE status = 'drift_alert') FROM rep) AS n_features_drifted FROM rep""")
+
+# ---------------------------------------------------------------- cold chain
+PARSED = ("parsed", """SELECT reading_id AS message_id, depot_id, device_id, temperature,
+                              to_timestamp(CAST(floor(epoch(ts)) AS BIGINT)) AS ts, false AS dead_letter
+                       FROM readings""")
+THRESH = ("thresh", f"""
+    SELECT d.device_id, d.depot_id, coalesce(l.p_min, 2.0) AS threshold_min, coalesce(l.p_max, 8.0) AS threshold_max
+    FROM (SELECT DISTINCT device_id, depot_id FROM readings) d
+    LEFT JOIN (SELECT s.depot_id, max(p.storage_temp_min) AS p_min, min(p.storage_temp_max) AS p_max
+               FROM (SELECT DISTINCT depot_id, product_id FROM batches
+                     WHERE expiry_date > {AS_OF} AND quantity_remaining > 0) s
+               JOIN products p ON p.product_id = s.product_id
+               WHERE p.is_cold_chain AND p.storage_temp_min IS NOT NULL AND p.storage_temp_max IS NOT NULL
+               GROUP BY s.depot_id) l ON l.depot_id = d.depot_id""")
+FLAGGED = ("flagged", """
+    SELECT p.message_id, p.depot_id, p.device_id, p.temperature, p.ts,
+           coalesce(t.threshold_min, 2.0) AS threshold_min, coalesce(t.threshold_max, 8.0) AS threshold_max,
+           p.temperature < coalesce(t.threshold_min, 2.0) OR p.temperature > coalesce(t.threshold_max, 8.0) AS is_excursion
+    FROM parsed p LEFT JOIN thresh t ON t.device_id = p.device_id""")
+_CC = with_tables("readings", "batches", "products", extra=[PARSED, THRESH, FLAGGED])
+ORACLE["parse_readings"] = _rewrite_round(R6(_CC + "SELECT * FROM parsed", ["temperature"]))
+ORACLE["device_thresholds"] = _CC + "SELECT * FROM thresh"
+ORACLE["flag_excursions"] = _rewrite_round(R6(_CC + "SELECT * FROM flagged",
+                                              ["temperature", "threshold_min", "threshold_max"]))
+ORACLE["device_heartbeat"] = _CC + "SELECT device_id, max(ts) AS last_seen_at FROM parsed GROUP BY device_id"
+ORACLE["excursion_alerts"] = _CC + """
+    SELECT device_id, depot_id, ts, 'TEMPERATURE_EXCURSION' AS alert_type, 'QUEUED' AS status
+    FROM flagged WHERE is_excursion"""
+ORACLE["request_bursts"] = """
+WITH hits AS (
+  SELECT event_id AS hit_id, 'user' AS kind, CAST(user_id AS VARCHAR) AS key, CAST(ts AS TIMESTAMP) AS ts FROM events
+  UNION ALL
+  SELECT event_id + 1000000000000, 'ip', 'ip-' || CAST(user_id % 7 AS VARCHAR), CAST(ts AS TIMESTAMP) FROM events),
+l AS (SELECT *, lag(ts) OVER (PARTITION BY kind, key ORDER BY ts, hit_id) AS prev_ts FROM hits),
+s AS (SELECT *, max(CASE WHEN prev_ts IS NULL OR floor(epoch(ts)) - floor(epoch(prev_ts)) > 43200 THEN ts END)
+                  OVER (PARTITION BY kind, key ORDER BY ts, hit_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+                  AS session_start FROM l)
+SELECT hit_id, kind, key, ts, session_start,
+       CAST(row_number() OVER (PARTITION BY kind, key, session_start ORDER BY ts, hit_id) AS INTEGER) AS hit_in_session,
+       row_number() OVER (PARTITION BY kind, key, session_start ORDER BY ts, hit_id)
+           > CASE kind WHEN 'user' THEN 500 ELSE 100 END AS over_limit
+FROM s"""
+
+# ---------------------------------------------------------------- quality and ingest
+SALES_12M_CLIENT = DAILY_DEMAND.replace("INTERVAL 60 DAY", "INTERVAL 365 DAY").replace(
+    "WHERE sm.movement_type = 'OUT'", "WHERE d.client_id = 'CLIENT-0' AND sm.movement_type = 'OUT'")
+SALES_12M = ("sales12", DAILY_DEMAND.replace("INTERVAL 60 DAY", "INTERVAL 365 DAY"))
+_Q = with_tables("products", "depots", "stock_movements", "batches", extra=SALES_CTES + [SALES_12M])
+ORACLE["client_demand_12m"] = _rewrite_round(R6(with_tables("products", "depots", "stock_movements")
+                                                + SALES_12M_CLIENT, ["units_sold"]))
+_nulls = " UNION ALL ".join(
+    f"""SELECT 'nulls_{c}' AS "check", CASE WHEN n_{c} * 100.0 / n > 5 THEN 'error' ELSE 'warning' END AS severity,
+               '{c}: ' || printf('%.1f', n_{c} * 100.0 / n) || '% nulls' AS message FROM agg WHERE n_{c} > 0"""
+    for c in ["product_id", "depot_id", "date", "units_sold"])
+ORACLE["validate_sales"] = _Q.rstrip().rstrip("\n") + f""",
+agg AS (SELECT count(*) AS n, count(*) FILTER (WHERE product_id IS NULL) AS n_product_id,
+               count(*) FILTER (WHERE depot_id IS NULL) AS n_depot_id, count(*) FILTER (WHERE date IS NULL) AS n_date,
+               count(*) FILTER (WHERE units_sold IS NULL) AS n_units_sold,
+               count(*) FILTER (WHERE units_sold < 0) AS neg, count(*) FILTER (WHERE date > {AS_OF} + 1) AS fut,
+               (SELECT min(c) FROM (SELECT count(date) AS c FROM sales GROUP BY product_id, depot_id)) AS min_days
+        FROM sales)
+{_nulls}
+UNION ALL SELECT 'negative_units', 'error', 'units_sold contains negative values' FROM agg WHERE neg > 0
+UNION ALL SELECT 'future_dates', 'warning', 'Some dates are in the future' FROM agg WHERE fut > 0
+UNION ALL SELECT 'short_history', 'warning', 'Some product-depot pairs have < 30 days history (min='
+          || CAST(min_days AS VARCHAR) || '). Lag warmup rows will be dropped.' FROM agg WHERE min_days < 30"""
+ORACLE["validate_batches"] = with_tables("batches") + f"""
+    SELECT 'expired_batches' AS "check", 'warning' AS severity, CAST(past AS VARCHAR) || ' batches are already expired'
+           AS message
+    FROM (SELECT count(*) FILTER (WHERE expiry_date < {AS_OF}) AS past FROM batches) WHERE past > 0"""
+ORACLE["training_sufficiency"] = _Q + f"""
+    SELECT c.client_id, coalesce(s.span_days, 0) AS span_days, coalesce(e.expired, 0) AS expired_batches,
+           CASE WHEN s.span_days IS NULL THEN 'GLOBAL' WHEN s.span_days >= 180 AND coalesce(e.expired, 0) >= 50 THEN 'BOTH'
+                WHEN s.span_days >= 90 THEN 'DEMAND' ELSE 'GLOBAL' END AS training_mode,
+           CASE WHEN s.span_days IS NULL THEN 'no sales data' END AS reason
+    FROM (SELECT DISTINCT client_id FROM depots) c
+    LEFT JOIN (SELECT d.client_id, CAST(date_diff('day', min(x.date), max(x.date)) AS INTEGER) AS span_days
+               FROM sales12 x JOIN depots d ON d.depot_id = x.depot_id GROUP BY d.client_id) s ON s.client_id = c.client_id
+    LEFT JOIN (SELECT d.client_id, count(*) FILTER (WHERE b.expiry_date < {AS_OF}) AS expired
+               FROM batches b JOIN depots d ON d.depot_id = b.depot_id GROUP BY d.client_id) e ON e.client_id = c.client_id"""
+ORACLE["row_constraints"] = with_tables("supplier_depot") + """
+    SELECT invoice_id, line_no, concat_ws(',', CASE WHEN coalesce(quantity <= 0, true) THEN 'quantity_not_positive' END,
+                                              CASE WHEN coalesce(mrp <= 0, true) THEN 'mrp_not_positive' END,
+                                              CASE WHEN coalesce(ptr <= 0, true) THEN 'ptr_not_positive' END,
+                                              CASE WHEN coalesce(gst_percent < 0 OR gst_percent > 28, true)
+                                                   THEN 'gst_out_of_range' END) AS violations,
+           NOT (coalesce(quantity <= 0, true) OR coalesce(mrp <= 0, true) OR coalesce(ptr <= 0, true)
+                OR coalesce(gst_percent < 0 OR gst_percent > 28, true)) AS is_valid
+    FROM (SELECT l_orderkey AS invoice_id, l_linenumber AS line_no, CAST(l_quantity AS INTEGER) AS quantity,
+                 l_extendedprice / l_quantity * 1.2 AS mrp, l_extendedprice / l_quantity AS ptr,
+                 l_tax * 400 AS gst_percent
+          FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier_depot sd ON l_suppkey = sd.s_suppkey)"""
+RAW_OUT = ("raw_out", """
+    SELECT sm.product_id, sm.depot_id, CAST(sm.created_at AS DATE) AS date, sm.quantity AS units_sold,
+           p.product_category, p.is_cold_chain, d.region AS depot_region
+    FROM stock_movements sm JOIN products p ON p.product_id = sm.product_id JOIN depots d ON d.depot_id = sm.depot_id
+    WHERE sm.movement_type = 'OUT'""")
+_R = with_tables("products", "depots", "stock_movements", extra=[RAW_OUT])
+ORACLE["collapse_duplicates"] = _rewrite_round(R6(_R + """
+    SELECT product_id, depot_id, date, sum(units_sold) AS units_sold, min(product_category) AS product_category,
+           min(is_cold_chain) AS is_cold_chain, min(depot_region) AS depot_region
+    FROM raw_out GROUP BY product_id, depot_id, date""", ["units_sold"]))
+ORACLE["positive_sales_filter"] = _rewrite_round(R6(_R + """
+    SELECT * FROM (SELECT * REPLACE (units_sold - 5 AS units_sold) FROM raw_out)
+    WHERE units_sold > 0 AND date IS NOT NULL AND product_id IS NOT NULL""", ["units_sold"]))
+ORACLE["union_sources"] = _Q + """
+    SELECT 'recent' AS _source, count(*) AS rows, min(date) AS min_date, max(date) AS max_date FROM sales
+    UNION ALL SELECT 'client', count(*), min(date), max(date) FROM sales12"""
+ORACLE["ingest_frame"] = _rewrite_round(R6(with_tables("stock_movements") + """
+    SELECT CAST(created_at AS DATE) AS date, product_id, quantity AS units_sold, depot_id, batch_id AS batch_number,
+           movement_id AS invoice_number, 'unknown' AS product_category, false AS is_cold_chain,
+           'unknown' AS depot_region
+    FROM stock_movements WHERE movement_type = 'OUT'""", ["units_sold"]))
+ORACLE["unpivot_drug_sales"] = _rewrite_round(R6(with_tables("products", "stock_movements") + """
+    SELECT d.date, p.product_id, coalesce(s.u, 0.0) AS units_sold, substr(p.product_id, 1, 3) AS product_category
+    FROM (SELECT DISTINCT CAST(created_at AS DATE) AS date FROM stock_movements WHERE movement_type = 'OUT') d
+    CROSS JOIN (SELECT product_id FROM products) p
+    LEFT JOIN (SELECT CAST(created_at AS DATE) AS date, product_id, sum(quantity) AS u FROM stock_movements
+               WHERE movement_type = 'OUT' GROUP BY ALL) s ON s.date = d.date AND s.product_id = p.product_id""",
+                                                 ["units_sold"]))

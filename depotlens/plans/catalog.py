@@ -58,3 +58,7 @@ class Catalog:
     @cached_property
     def discount_schemes(self) -> DataFrame:
         return tpch.discount_schemes(self.spark, self.sf_dir)
+
+    @cached_property
+    def invoice_lines(self) -> DataFrame:
+        return tpch.invoice_line_items(self.spark, self.sf_dir)

@@ -354,3 +354,193 @@ def q_resolve_decisions(spark, sf_dir):
 def q_run_status(spark, sf_dir):
     c = Catalog(spark, sf_dir)
     return decisions.run_status(nightly.stage_outcomes(c, nightly.score_all(c, DECISION_CONFIG)))
+
+
+# ---------------------------------------------------------------- drift
+from ..operators import drift  # noqa: E402
+
+DRIFT_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _drift_frames(spark, sf_dir):
+    from pyspark.sql import functions as F
+    li = Catalog(spark, sf_dir).raw("lineitem").select("l_shipdate", *DRIFT_FEATURES)
+    cut = F.lit("1998-01-01").cast("timestamp_ntz")
+    return li.where(F.col("l_shipdate") < cut), li.where(F.col("l_shipdate") >= cut)
+
+
+@register("psi")
+def q_psi(spark, sf_dir):
+    b, c = _drift_frames(spark, sf_dir)
+    return drift.psi(b, c, DRIFT_FEATURES)
+
+
+@register("drift_report")
+def q_drift_report(spark, sf_dir):
+    b, c = _drift_frames(spark, sf_dir)
+    return drift.drift_report(b, c, DRIFT_FEATURES + ["not_a_column"])
+
+
+# ---------------------------------------------------------------- cold chain (batch form of the stream)
+from ..operators import sessions  # noqa: E402
+from ..streaming import coldchain  # noqa: E402
+
+
+def _parsed(c: Catalog):
+    return coldchain.parse_readings(coldchain.readings_as_messages(c.readings))
+
+
+def _thresholds(c: Catalog):
+    devices = c.readings.select("device_id", "depot_id").distinct()
+    return coldchain.device_thresholds(devices, c.batches, c.products, c.as_of)
+
+
+@register("parse_readings")
+def q_parse_readings(spark, sf_dir):
+    return rounded(_parsed(Catalog(spark, sf_dir)).select("message_id", "depot_id", "device_id", "temperature", "ts",
+                                                          "dead_letter"))
+
+
+@register("device_thresholds")
+def q_device_thresholds(spark, sf_dir):
+    return _thresholds(Catalog(spark, sf_dir))
+
+
+def _flagged(c: Catalog):
+    p = _parsed(c).where("NOT dead_letter").select("message_id", "depot_id", "device_id", "temperature", "ts")
+    return coldchain.flag_excursions(p, _thresholds(c))
+
+
+@register("flag_excursions")
+def q_flag_excursions(spark, sf_dir):
+    return rounded(_flagged(Catalog(spark, sf_dir)))
+
+
+@register("device_heartbeat")
+def q_device_heartbeat(spark, sf_dir):
+    return coldchain.device_heartbeat(_parsed(Catalog(spark, sf_dir)).where("NOT dead_letter"))
+
+
+@register("excursion_alerts")
+def q_excursion_alerts(spark, sf_dir):
+    return coldchain.excursion_alerts(_flagged(Catalog(spark, sf_dir))).drop("payload")
+
+
+def _hits(c: Catalog):
+    from pyspark.sql import functions as F
+    e = c.raw("events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    users = e.select(F.col("event_id").alias("hit_id"), F.lit("user").alias("kind"),
+                     F.col("user_id").cast("string").alias("key"), "ts")
+    ips = e.select((F.col("event_id") + F.lit(10**12)).alias("hit_id"), F.lit("ip").alias("kind"),
+                   F.concat(F.lit("ip-"), (F.col("user_id") % 7).cast("string")).alias("key"), "ts")
+    return users.unionByName(ips)
+
+
+@register("request_bursts")
+def q_request_bursts(spark, sf_dir):
+    # the driver's events are sparse (few gaps ≤ 60 s), so sessions use a 12 h gap here
+    return sessions.request_bursts(_hits(Catalog(spark, sf_dir)), gap_seconds=12 * 3600)
+
+
+# ---------------------------------------------------------------- quality and ingest
+from ..operators import quality  # noqa: E402
+from ..sources import ingest  # noqa: E402
+
+
+def _client_sales(c: Catalog):
+    return demand.daily_demand(c.movements, c.products, c.depots, c.as_of, days=365)
+
+
+@register("client_demand_12m")
+def q_client_demand_12m(spark, sf_dir):
+    from pyspark.sql import functions as F
+    c = Catalog(spark, sf_dir)
+    client_depots = c.depots.where(F.col("client_id") == "CLIENT-0").select("depot_id")
+    return rounded(demand.daily_demand(c.movements, c.products, c.depots, c.as_of, days=365,
+                                       depot_filter=client_depots))
+
+
+@register("validate_sales")
+def q_validate_sales(spark, sf_dir):
+    c = Catalog(spark, sf_dir)
+    return quality.validate_sales(_sales(c), c.as_of)
+
+
+@register("validate_batches")
+def q_validate_batches(spark, sf_dir):
+    c = Catalog(spark, sf_dir)
+    return quality.validate_batches(c.batches, c.as_of)
+
+
+@register("training_sufficiency")
+def q_training_sufficiency(spark, sf_dir):
+    c = Catalog(spark, sf_dir)
+    return quality.training_sufficiency(_client_sales(c), c.batches, c.depots, c.as_of)
+
+
+@register("row_constraints")
+def q_row_constraints(spark, sf_dir):
+    from pyspark.sql import functions as F
+    r = quality.row_constraints(Catalog(spark, sf_dir).invoice_lines)
+    return r.select("invoice_id", "line_no", F.array_join("violations", ",").alias("violations"), "is_valid")
+
+
+def _raw_out_rows(c: Catalog):
+    from pyspark.sql import functions as F
+    m = c.movements.where(F.col("movement_type") == "OUT").join(
+        c.products.select("product_id", "product_category", "is_cold_chain"), "product_id").join(
+        c.depots.select("depot_id", F.col("region").alias("depot_region")), "depot_id")
+    return m.select("product_id", "depot_id", F.to_date("created_at").alias("date"),
+                    F.col("quantity").alias("units_sold"), "product_category", "is_cold_chain", "depot_region")
+
+
+@register("collapse_duplicates")
+def q_collapse_duplicates(spark, sf_dir):
+    return rounded(quality.collapse_duplicates(_raw_out_rows(Catalog(spark, sf_dir))))
+
+
+@register("positive_sales_filter")
+def q_positive_sales_filter(spark, sf_dir):
+    from pyspark.sql import functions as F
+    c = Catalog(spark, sf_dir)
+    rows = _raw_out_rows(c).withColumn("units_sold", F.col("units_sold") - 5)
+    return rounded(quality.positive_sales_filter(rows))
+
+
+@register("union_sources")
+def q_union_sources(spark, sf_dir):
+    c = Catalog(spark, sf_dir)
+    _, stats = quality.union_sources({"recent": _sales(c), "client": _client_sales(c)},
+                                     ["product_id", "depot_id", "date", "units_sold"])
+    return stats
+
+
+def _client_export(c: Catalog):
+    """A client-style export derived from OUT movements: messy headers,
+    day-first dates as text, quantities as text."""
+    from pyspark.sql import functions as F
+    m = c.movements.where(F.col("movement_type") == "OUT")
+    return m.select(F.date_format("created_at", "dd-MM-yyyy").alias(" Voucher Date "),
+                    F.concat(F.lit("  "), F.col("product_id"), F.lit(" ")).alias("Item Name"),
+                    F.col("quantity").cast("string").alias("Qty."),
+                    F.col("depot_id").alias("GODOWN"),
+                    F.col("batch_id").alias("Batch No"),
+                    F.col("movement_id").alias("Voucher No"))
+
+
+@register("ingest_frame")
+def q_ingest_frame(spark, sf_dir):
+    c = Catalog(spark, sf_dir)
+    mapped, _ = ingest.map_schema(ingest.ingest_frame(_client_export(c)), client_id="CLIENT-0")
+    return rounded(mapped)
+
+
+@register("unpivot_drug_sales")
+def q_unpivot_drug_sales(spark, sf_dir):
+    from pyspark.sql import functions as F
+    c = Catalog(spark, sf_dir)
+    out = c.movements.where(F.col("movement_type") == "OUT").select(
+        F.to_date("created_at").alias("date"), "product_id", "quantity")
+    products = sorted(r[0] for r in c.products.select("product_id").collect())  # column names only (brand domain)
+    wide = out.groupBy("date").pivot("product_id", products).agg(F.sum("quantity"))
+    return rounded(ingest.unpivot_drug_sales(wide))

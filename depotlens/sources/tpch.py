@@ -230,3 +230,21 @@ def discount_schemes(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = F.to_json(F.struct(kind.alias("type"), (F.col("r_regionkey") + 5).alias("value")))
     return r.select(F.concat(F.lit("SCH-"), F.col("r_name")).alias("id"),
                     F.col("r_name").alias("depot_id"), terms.alias("terms"))
+
+
+def invoice_line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invoice lines: one per lineitem of the order; unit price = extended
+    price ÷ quantity (PTR) with MRP 20 % above, GST = 4 × tax % (0–32, so
+    some lines break the 28 % rule)."""
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+                                                "l_quantity", "l_extendedprice", "l_tax")
+    part = read(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    j = li.join(part, F.col("l_partkey") == F.col("p_partkey")).join(
+        supplier_depot(spark, sf_dir), F.col("l_suppkey") == F.col("s_suppkey"))
+    unit = (F.col("l_extendedprice") / F.col("l_quantity"))
+    return j.select(F.col("l_orderkey").alias("invoice_id"), F.col("l_linenumber").alias("line_no"),
+                    F.col("p_brand").alias("product_id"),
+                    F.concat(F.col("depot_id"), F.lit("-"), F.col("l_partkey").cast("string")).alias("batch_id"),
+                    F.col("l_quantity").cast("int").alias("quantity"),
+                    (unit * 1.2).cast("decimal(10,2)").alias("mrp"), unit.cast("decimal(10,2)").alias("ptr"),
+                    (F.col("l_tax") * 400).alias("gst_percent"))
