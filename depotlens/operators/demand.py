@@ -46,10 +46,14 @@ def daily_demand(movements: DataFrame, products: DataFrame, depots: DataFrame,
         "product_id", "depot_id", "date", "units_sold", *ATTRS)
 
 
-def date_bounds(sales: DataFrame):
-    """Global min and max date of the input as scalar subqueries (computed
-    once by a partial/final aggregate and inlined as literals)."""
-    return sales.agg(F.min("date")).scalar(), sales.agg(F.max("date")).scalar()
+def with_date_bounds(sales: DataFrame) -> DataFrame:
+    """Adds ``_lo``/``_hi``: the global min and max date of the input.  One
+    scalar subquery (a partial/final aggregate returning one struct) is
+    projected once; later expressions refer to the columns, so the
+    subquery is planned and run a single time."""
+    b = sales.agg(F.struct(F.min("date").alias("lo"), F.max("date").alias("hi"))).scalar()
+    return sales.select("*", b.alias("_b")).select("*", F.col("_b.lo").alias("_lo"),
+                                                   F.col("_b.hi").alias("_hi")).drop("_b")
 
 
 def fill_missing_dates(sales: DataFrame) -> DataFrame:
@@ -60,9 +64,10 @@ def fill_missing_dates(sales: DataFrame) -> DataFrame:
     The calendar is generated per pair with ``explode(sequence(...))`` against
     the scalar bounds, not by a join against a calendar table.
     """
-    pairs = sales.groupBy(*SERIES).agg(*[F.min_by(a, "date").alias(a) for a in ATTRS if a in sales.columns])
-    lo, hi = date_bounds(sales)
-    grid = pairs.select(*pairs.columns, F.explode(F.sequence(lo, hi)).alias("date"))
+    attrs = [a for a in ATTRS if a in sales.columns]
+    pairs = with_date_bounds(sales).groupBy(*SERIES).agg(
+        *[F.min_by(a, "date").alias(a) for a in attrs], F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"))
+    grid = pairs.select(*SERIES, *attrs, F.explode(F.sequence("_lo", "_hi")).alias("date"))
     measures = [c for c in sales.columns if c not in set(SERIES) | set(ATTRS) | {"date"}]
     m = sales.select(*SERIES, "date", *measures)
     out = grid.join(m, SERIES + ["date"], "left")
@@ -126,12 +131,30 @@ def category_codes(df: DataFrame) -> DataFrame:
                        (F.row_number().over(Window.partitionBy("kind").orderBy("value")) - 1).alias("code"))
 
 
+def exact_medians(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Exact median of each column (nulls skipped; mean of the two middle
+    values for an even count) as rows ``(feature, median)``.
+
+    Distributed: the columns are unpivoted to (feature, value), ranked with
+    the skew-safe ``rank_within`` (each feature is one huge group), and only
+    the one or two middle ranks are kept – no value list is ever gathered
+    into a single task, unlike an exact ``percentile`` aggregate."""
+    from .ranking import rank_within
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
+                                         for c in cols])).alias("kv")).select("kv.*") \
+             .where(F.col("value").isNotNull() & ~F.isnan("value"))
+    ranked = rank_within(long, ["feature"], ["value"], name="r")
+    n = long.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
+    mid = ranked.join(n, "feature").where(
+        (F.col("r") == F.floor((F.col("n") + 1) / 2)) | (F.col("r") == F.floor(F.col("n") / 2) + 1))
+    return mid.groupBy("feature").agg(F.avg("value").alias("median"))
+
+
 def inference_median_fill(features: DataFrame) -> DataFrame:
-    """D-10: remaining nulls in a feature column → the column median.
-    All medians come from one aggregate pass (one scalar struct subquery)."""
-    med = features.agg(F.struct(*[F.percentile(F.col(c).cast("double"), 0.5).alias(c)
-                                  for c in FEATURE_COLS])).scalar()
-    return features.select(*[F.coalesce(F.col(c).cast("double"), med[c]).alias(c)
+    """D-10: remaining nulls in a feature column → the column's exact median
+    (the 16 medians – one small row each – become literals of the fill)."""
+    med = {r["feature"]: r["median"] for r in exact_medians(features, FEATURE_COLS).collect()}
+    return features.select(*[F.coalesce(F.col(c).cast("double"), F.lit(med.get(c)).cast("double")).alias(c)
                              if c in FEATURE_COLS else F.col(c) for c in features.columns])
 
 
@@ -156,15 +179,16 @@ def forecast_fallback(sales: DataFrame, horizon_days: int = 14, tail_days: int =
     per series (Σx, Σx² are closed forms of N).  Work is O(sales rows), one
     partial/final aggregate, no window, no sort.
     """
-    lo, hi = date_bounds(sales)
-    x = F.datediff("date", lo).cast("double")
-    in_tail = F.datediff(hi, "date") < tail_days
-    g = sales.groupBy(*SERIES).agg(
+    sb = with_date_bounds(sales)
+    x = F.datediff("date", "_lo").cast("double")
+    in_tail = F.datediff("_hi", "date") < tail_days
+    g = sb.groupBy(*SERIES).agg(
         F.sum(F.when(in_tail, F.col("units_sold")).otherwise(0.0)).alias("tail_sum"),
         F.sum("units_sold").alias("sy"),
         F.sum(x * F.col("units_sold")).alias("sxy"),
+        F.first((F.datediff("_hi", "_lo") + 1).cast("double")).alias("n"),
     )
-    n = (F.datediff(hi, lo) + 1).cast("double")
+    n = F.col("n")
     sx = n * (n - 1) / 2
     sxx = (n - 1) * n * (2 * n - 1) / 6
     slope = (n * F.col("sxy") - sx * F.col("sy")) / (n * sxx - sx * sx)

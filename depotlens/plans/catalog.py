@@ -13,8 +13,12 @@ class Catalog:
     """Lazily built canonical tables (plain lazy DataFrames: nothing is
     computed until an action runs, and Catalyst prunes unused columns)."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, as_of: str = AS_OF_DEFAULT):
-        self.spark, self.sf_dir, self.as_of = spark, sf_dir, as_of
+    def __init__(self, spark: SparkSession, sf_dir: str, as_of: str = AS_OF_DEFAULT, materialize: bool = False):
+        """``materialize``: tables read by several stages of one plan
+        (batches) are written once to the shared checkpoint folder
+        (``checkpoint``: reliable, lineage cut) instead of being recomputed
+        from the movements by every consumer."""
+        self.spark, self.sf_dir, self.as_of, self.materialize = spark, sf_dir, as_of, materialize
 
     def raw(self, name: str) -> DataFrame:
         return tpch.read(self.spark, self.sf_dir, name)
@@ -33,7 +37,8 @@ class Catalog:
 
     @cached_property
     def batches(self) -> DataFrame:
-        return tpch.batches(self.spark, self.sf_dir, self.as_of, self.movements)
+        b = tpch.batches(self.spark, self.sf_dir, self.as_of, self.movements)
+        return b.checkpoint(eager=True) if self.materialize else b
 
     @cached_property
     def invoices(self) -> DataFrame:

@@ -32,13 +32,21 @@ def _dated(df: DataFrame, run_date: str) -> DataFrame:
     return df.withColumn("run_date", F.lit(run_date).cast("date"))
 
 
+def _mat(df: DataFrame, on: bool) -> DataFrame:
+    return df.checkpoint(eager=True) if on else df
+
+
 def score_all(c: Catalog, config: Config | None = None) -> Scores:
+    """All score stages.  With ``c.materialize`` the stages that feed
+    several consumers (demand, active batches, expiry) are checkpointed to
+    the shared folder once."""
     config = config or Config()
     rd = c.as_of
-    dem = _dated(demand.forecast_fallback(
-        demand.daily_demand(c.movements, c.products, c.depots.where("is_active"), rd)), rd)
-    active = expiry.active_batches(c.batches, c.products, c.movements, rd)
-    exp = _dated(expiry.expiry_risk_formula(active, rd), rd)
+    m = c.materialize
+    dem = _mat(_dated(demand.forecast_fallback(
+        demand.daily_demand(c.movements, c.products, c.depots.where("is_active"), rd)), rd), m)
+    active = _mat(expiry.active_batches(c.batches, c.products, c.movements, rd), m)
+    exp = _mat(_dated(expiry.expiry_risk_formula(active, rd), rd), m)
     so = _dated(stockout.stockout_risk(c.movements, c.products, dem,
                                        int(config.get("default_lead_time_days"))), rd)
     ff = _dated(fefo.fefo_rank(active, exp, rd, float(config.get("fefo_override_threshold"))), rd)

@@ -295,7 +295,7 @@ DECISION_CONFIG = Config().with_overrides(expiry_critical_threshold=0.75)
 
 
 def _state(spark, sf_dir):
-    c = Catalog(spark, sf_dir)
+    c = Catalog(spark, sf_dir, materialize=True)
     return c, nightly.decision_state(c, nightly.score_all(c, DECISION_CONFIG))
 
 
@@ -347,12 +347,12 @@ def q_dispatch_decisions(spark, sf_dir):
 
 @register("resolve_decisions")
 def q_resolve_decisions(spark, sf_dir):
-    return _no_payload(nightly.nightly_decisions(Catalog(spark, sf_dir), DECISION_CONFIG))
+    return _no_payload(nightly.nightly_decisions(Catalog(spark, sf_dir, materialize=True), DECISION_CONFIG))
 
 
 @register("run_status")
 def q_run_status(spark, sf_dir):
-    c = Catalog(spark, sf_dir)
+    c = Catalog(spark, sf_dir, materialize=True)
     return decisions.run_status(nightly.stage_outcomes(c, nightly.score_all(c, DECISION_CONFIG)))
 
 
