@@ -18,7 +18,7 @@ def test_fefo_order_and_override(spark):
                         ("B2", "P", "D", D0 + dt.timedelta(days=30), 10.0),
                         ("B3", "P", "D", D0 + dt.timedelta(days=180), 10.0)])
     r = {x.batch_id: x for x in fefo.fefo_rank(a, None, AS_OF).collect()}
-    assert [b for b, _ in sorted((x.priority_rank, x.batch_id) for x in r.values())] == ["B2", "B1", "B3"]
+    assert [b for _, b in sorted((x.priority_rank, x.batch_id) for x in r.values())] == ["B2", "B1", "B3"]
     risk = spark.createDataFrame([("B3", 0.88)], "batch_id string, expiry_risk_score double")
     r = {x.batch_id: x for x in fefo.fefo_rank(a, risk, AS_OF).collect()}
     assert r["B3"].priority_rank == 1 and r["B3"].ml_override and r["B3"].priority_score == -880.0
