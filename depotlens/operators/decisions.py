@@ -226,3 +226,24 @@ def run_status(outcomes: DataFrame) -> DataFrame:
         F.bool_or(F.col("outcome").isin("FAILED", "FALLBACK")).alias("_any"))
     return g.select("depot_id", F.when(F.col("_df"), "FAILED").when(F.col("_any"), "PARTIAL")
                     .otherwise("SUCCESS").alias("status"))
+
+
+def notify_queue(status: DataFrame, excursion_alerts: DataFrame | None, run_date: str) -> DataFrame:
+    """G-10: queued alert rows – one per depot whose run FAILED and one per
+    temperature excursion – with a JSON payload."""
+    failed = status.where(F.col("status") == "FAILED").select(
+        "depot_id", F.lit("PIPELINE_FAILED").alias("alert_type"),
+        F.to_json(F.struct("depot_id", "status", F.lit(run_date).alias("run_date"))).alias("payload"))
+    out = failed
+    if excursion_alerts is not None:
+        out = out.unionByName(excursion_alerts.select("depot_id", "alert_type", "payload"))
+    return out.withColumn("status", F.lit("QUEUED"))
+
+
+def compliance_snapshot(depots: DataFrame, alerts: DataFrame) -> DataFrame:
+    """G-11: open (queued) alerts per depot; ``ok`` when none, else
+    ``attention``."""
+    open_ = alerts.where(F.col("status") == "QUEUED").groupBy("depot_id").agg(F.count(F.lit(1)).alias("open_issues"))
+    j = depots.select("depot_id").join(open_, "depot_id", "left")
+    n = F.coalesce(F.col("open_issues"), F.lit(0)).cast("long")
+    return j.select("depot_id", n.alias("open_issues"), F.when(n == 0, "ok").otherwise("attention").alias("status"))

@@ -41,28 +41,37 @@ def psi(baseline: DataFrame, current: DataFrame, features: list[str], n_bins: in
     """X-1: per feature PSI over 10 equal-width bins of the joint min/max;
     shares over all rows (nulls count in the denominator), floored at 1e-6;
     Σ (c − b)·ln(c/b), rounded to 4.  Features missing from either frame
-    are skipped."""
+    are skipped.
+
+    Two passes over the data: one aggregate for every feature's joint
+    min/max (a scalar struct subquery), then one pass that bins every
+    feature of a row, unpivots only the (feature, bin) pairs and counts
+    them with a partial/final aggregate."""
     feats = [f for f in features if f in baseline.columns and f in current.columns]
-    long = _long(baseline, feats, "base").unionByName(_long(current, feats, "curr"))
-    bounds = long.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    totals = long.groupBy("feature", "side").agg(F.count(F.lit(1)).alias("n"))
-    binned = long.where(F.col("value").isNotNull() & ~F.isnan("value")).join(bounds, "feature") \
-                 .select("feature", "side", _bin(F.col("value"), F.col("lo"), F.col("hi"), n_bins).alias("bin"))
-    counts = binned.groupBy("feature", "side", "bin").agg(F.count(F.lit(1)).alias("c"))
-    grid = bounds.select("feature", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin"))
-    sides = []
+    both = baseline.select(F.lit("base").alias("side"), *[F.col(f).cast("double").alias(f) for f in feats]) \
+        .unionByName(current.select(F.lit("curr").alias("side"), *[F.col(f).cast("double").alias(f) for f in feats]))
+    b = both.agg(F.struct(*[F.struct(F.min(f).alias("lo"), F.max(f).alias("hi")).alias(f) for f in feats])).scalar()
+    bounds = both.select("*", b.alias("_b"))
+    valid = lambda f: F.col(f).isNotNull() & ~F.isnan(f)
+    bins = F.array(*[F.struct(F.lit(f).alias("feature"),
+                              F.when(valid(f), _bin(F.col(f), F.col(f"_b.{f}.lo"), F.col(f"_b.{f}.hi"), n_bins))
+                              .alias("bin")) for f in feats])
+    long = bounds.select("side", F.explode(bins).alias("kv")).select("side", "kv.feature", "kv.bin")
+    counts = long.groupBy("feature", "side", "bin").agg(F.count(F.lit(1)).alias("c")).checkpoint(eager=True)
+    totals = counts.groupBy("feature", "side").agg(F.sum("c").alias("n"))  # all rows incl. nulls
+    grid = counts.select("feature").distinct().select("feature",
+                                                      F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin"))
+    g = grid
     for side in ("base", "curr"):
+        cnt = counts.where((F.col("side") == side) & F.col("bin").isNotNull()).select(
+            "feature", "bin", F.col("c").alias(f"c_{side}"))
         t = totals.where(F.col("side") == side).select("feature", F.col("n").alias(f"n_{side}"))
-        cnt = counts.where(F.col("side") == side).select("feature", "bin", F.col("c").alias(f"c_{side}"))
-        sides.append((t, cnt))
-    g = grid
-    for t, cnt in sides:
         g = g.join(cnt, ["feature", "bin"], "left").join(t, "feature", "left")
-    b = F.greatest(F.coalesce(F.col("c_base"), F.lit(0)) / F.greatest(F.coalesce("n_base", F.lit(0)), F.lit(1)),
-                   F.lit(EPS))
-    c = F.greatest(F.coalesce(F.col("c_curr"), F.lit(0)) / F.greatest(F.coalesce("n_curr", F.lit(0)), F.lit(1)),
-                   F.lit(EPS))
-    raw = g.groupBy("feature").agg(F.sum((c - b) * F.log(c / b)).alias("_psi"))
+    bb = F.greatest(F.coalesce(F.col("c_base"), F.lit(0)) / F.greatest(F.coalesce("n_base", F.lit(0)), F.lit(1)),
+                    F.lit(EPS))
+    cc = F.greatest(F.coalesce(F.col("c_curr"), F.lit(0)) / F.greatest(F.coalesce("n_curr", F.lit(0)), F.lit(1)),
+                    F.lit(EPS))
+    raw = g.groupBy("feature").agg(F.sum((cc - bb) * F.log(cc / bb)).alias("_psi"))
     return py_round_cols(raw, {"psi": ("_psi", 4)}).select("feature", "psi")
 
 

@@ -87,3 +87,86 @@ def batch_timeline(batches: DataFrame, products: DataFrame, movements: DataFrame
     return hdr.join(mv, "batch_id", "left").select(
         "batch_id", "batch_number", "product_id", "canonical_name", "expiry_date", "quantity_received",
         "quantity_sold", "quantity_remaining", "status", "movement_id", "movement_type", "quantity", "moved_at")
+
+
+BATCH_KEY = ["depot_id", "product_id", "batch_number", "expiry_date"]
+
+
+def batch_key_id(cols=BATCH_KEY) -> Column:
+    """Deterministic batch id from the natural key (not a random UUID)."""
+    return F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in cols]), 256).substr(1, 32)
+
+
+def apply_stock_in(batches: DataFrame, receipts: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
+    """L-6: receipts (depot, product, batch_number, expiry_date, quantity)
+    are summed per natural key; an existing batch with that key gets
+    quantity_received (and remaining) increased, otherwise a batch is
+    created with remaining = received (H-17).  Returns (batches, IN
+    movements).  A full merge by key: matched update ∪ untouched ∪ new."""
+    r = receipts.groupBy(*BATCH_KEY).agg(F.sum("quantity").alias("_add"))
+    b = batches.select("batch_id", *BATCH_KEY, "quantity_received", "quantity_remaining", "created_at")
+    upd = b.join(r, BATCH_KEY, "left").select(
+        "batch_id", *BATCH_KEY,
+        (F.col("quantity_received") + F.coalesce(F.col("_add"), F.lit(0))).cast("long").alias("quantity_received"),
+        (F.col("quantity_remaining") + F.coalesce(F.col("_add"), F.lit(0))).cast("long").alias("quantity_remaining"),
+        "created_at")
+    new = r.join(b.select(*BATCH_KEY), BATCH_KEY, "left_anti").select(
+        batch_key_id().alias("batch_id"), *BATCH_KEY, F.col("_add").cast("long").alias("quantity_received"),
+        F.col("_add").cast("long").alias("quantity_remaining"), as_of_lit(as_of).cast("timestamp").alias("created_at"))
+    merged = upd.unionByName(new)
+    ids = merged.select("batch_id", *BATCH_KEY)
+    moves = receipts.join(ids, BATCH_KEY).select(
+        "batch_id", "depot_id", "product_id", F.lit("IN").alias("movement_type"),
+        F.col("quantity").cast("double").alias("quantity"), as_of_lit(as_of).cast("timestamp").alias("created_at"))
+    return merged, moves
+
+
+def apply_stock_out(movements: DataFrame) -> DataFrame:
+    """L-7: per batch, movements in time order; IN/RETURN add stock; an OUT
+    or WRITE_OFF is accepted only if the current stock covers it – a
+    rejected one consumes nothing, so a later smaller one can succeed.  An
+    order-dependent fold (a running SUM is wrong here), computed per batch by
+    the JVM higher-order ``aggregate`` over the batch's sorted movements; the
+    fold is sequential within one batch by nature."""
+    ev = F.struct(F.col("created_at").alias("t"), F.col("movement_id").alias("id"),
+                  F.col("movement_type").alias("type"), F.col("quantity").cast("double").alias("q"))
+    g = movements.groupBy("batch_id").agg(F.array_sort(F.collect_list(ev)).alias("evs"))
+    init = F.struct(F.lit(0.0).alias("stock"),
+                    F.array().cast("array<struct<id:string,accepted:boolean,stock_after:double>>").alias("out"))
+
+    def step(acc, e):
+        is_in = e["type"].isin("IN", "RETURN")
+        is_take = e["type"].isin("OUT", "WRITE_OFF")
+        ok = is_in | ~is_take | (acc["stock"] >= e["q"])
+        new_stock = F.when(is_in, acc["stock"] + e["q"]).when(is_take & ok, acc["stock"] - e["q"]) \
+                     .otherwise(acc["stock"])
+        rec = F.struct(e["id"].alias("id"), ok.alias("accepted"), new_stock.alias("stock_after"))
+        return F.struct(new_stock.alias("stock"), F.concat(acc["out"], F.array(rec)).alias("out"))
+    folded = g.select("batch_id", F.aggregate("evs", init, step)["out"].alias("out"))
+    res = folded.select("batch_id", F.inline("out"))
+    return res.withColumnRenamed("id", "movement_id")
+
+
+def enrich_aliases(products: DataFrame, raw_names: DataFrame) -> DataFrame:
+    """L-9: lower(trim(raw name)) appended to the product's aliases when not
+    present; a null alias array stays null (three-valued logic of the
+    reference's SQL)."""
+    new = raw_names.select("product_id", F.lower(F.trim("raw_name")).alias("a")).where(F.col("a") != "") \
+                   .groupBy("product_id").agg(F.array_sort(F.collect_set("a")).alias("_new"))
+    j = products.join(new, "product_id", "left")
+    return j.select(*[F.when(F.col("aliases").isNotNull() & F.col("_new").isNotNull(),
+                             F.array_union("aliases", "_new")).otherwise(F.col("aliases")).alias("aliases")
+                      if c == "aliases" else F.col(c) for c in products.columns])
+
+
+def invoice_lines(lines: DataFrame, invoices: DataFrame, products: DataFrame, batches: DataFrame) -> DataFrame:
+    """L-10: lines ⋈ invoices ⋈ products ⟕ batches; null money → 0."""
+    i = invoices.select(F.col("id").alias("invoice_id"), "depot_id", "invoice_number")
+    p = products.select("product_id", "canonical_name")
+    b = batches.select("batch_id", "batch_number", "expiry_date")
+    j = lines.join(i, "invoice_id").join(p, "product_id").join(b, "batch_id", "left")
+    return j.select("depot_id", "invoice_id", "invoice_number", "line_no", "product_id", "canonical_name",
+                    "batch_id", "batch_number", "expiry_date", "quantity",
+                    F.coalesce(F.col("mrp").cast("double"), F.lit(0.0)).alias("mrp"),
+                    F.coalesce(F.col("ptr").cast("double"), F.lit(0.0)).alias("ptr"),
+                    F.coalesce(F.col("gst_percent"), F.lit(0.0)).alias("gst_percent"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 import re
 
 from ..functions.numeric import sql_py_round
-from .cte import AS_OF, AS_OF_TS, with_tables
+from .cte import AS_OF, AS_OF_TS, CTES, with_tables
+
+CTES_DEPOTS = CTES["depots"][1]
 
 
 def _rewrite_round(sql: str) -> str:
@@ -775,3 +777,163 @@ ORACLE["unpivot_drug_sales"] = _rewrite_round(R6(with_tables("products", "stock_
     LEFT JOIN (SELECT CAST(created_at AS DATE) AS date, product_id, sum(quantity) AS u FROM stock_movements
                WHERE movement_type = 'OUT' GROUP BY ALL) s ON s.date = d.date AND s.product_id = p.product_id""",
                                                  ["units_sold"]))
+
+# ---------------------------------------------------------------- training
+ORACLE["chronological_split"] = _rewrite_round(R6(with_tables("products", "depots", "stock_movements",
+                                                              extra=SALES_CTES) + """
+    SELECT *, CASE WHEN date_diff('day', DATE '1970-01-01', date) <
+                        (SELECT quantile_cont(CAST(date_diff('day', DATE '1970-01-01', date) AS DOUBLE), 0.8) FROM sales)
+                   THEN 'train' ELSE 'test' END AS split
+    FROM sales""", ["units_sold"]))
+_FOLDS = [('1999-02-01', '2000-01-31', '2000-02-01', '2000-04-30'),
+          ('1999-02-01', '2000-04-30', '2000-05-01', '2000-07-31'),
+          ('1999-02-01', '2000-07-31', '2000-08-01', '2000-10-31'),
+          ('1999-02-01', '2000-10-31', '2000-11-01', '2001-01-31'),
+          ('1999-02-01', '2001-01-31', '2001-02-01', '2001-08-01')]
+_FOLD_VALUES = ", ".join(f"({i + 1 if i < 4 else 0}, DATE '{a}', DATE '{b}', DATE '{c}', DATE '{d}')"
+                         for i, (a, b, c, d) in enumerate(_FOLDS))
+SALES_3Y = ("sales3", DAILY_DEMAND.replace("INTERVAL 60 DAY", "INTERVAL 1095 DAY"))
+ORACLE["walk_forward_folds"] = _rewrite_round(R6(with_tables("products", "depots", "stock_movements",
+                                                             extra=[SALES_3Y]) + f"""
+    SELECT * FROM (
+      SELECT s.*, f.fold,
+             CASE WHEN s.depot_id = 'MIDDLE EAST' THEN 'train'
+                  WHEN s.date BETWEEN f.tr_s AND f.tr_e THEN 'train'
+                  WHEN s.date BETWEEN f.te_s AND f.te_e THEN 'test' END AS role
+      FROM sales3 s, (VALUES {_FOLD_VALUES}) f(fold, tr_s, tr_e, te_s, te_e))
+    WHERE role IS NOT NULL""", ["units_sold"]))
+DAILY_BY_PRODUCT = ("dbp", """SELECT CAST(created_at AS DATE) AS date, product_id, sum(quantity) AS units_sold
+                              FROM stock_movements WHERE movement_type = 'OUT' GROUP BY ALL""")
+SYN = ("syn", """
+    SELECT m.product_id, m.month, m.sold, q.received FROM
+      (SELECT product_id, date_trunc('month', date) AS month, sum(units_sold) AS sold FROM dbp GROUP BY ALL) m
+      JOIN (SELECT product_id, greatest(quantile_cont(sold, 0.75), 1.0) AS received
+            FROM (SELECT product_id, date_trunc('month', date) AS month, sum(units_sold) AS sold FROM dbp GROUP BY ALL)
+            GROUP BY product_id) q ON q.product_id = m.product_id""")
+_SYN_BASE = with_tables("stock_movements", extra=[DAILY_BY_PRODUCT, SYN])
+ORACLE["synthesise_batches"] = _rewrite_round(R6(_SYN_BASE + """
+    SELECT product_id || '_' || strftime(month, '%Y-%m') AS batch_id, product_id, 'pharma_global' AS depot_id,
+           CAST(month AS DATE) + 365 AS expiry_date, received AS quantity_received,
+           greatest(received - sold, 0.0) AS quantity_remaining, 'pain_relief' AS product_category,
+           false AS is_cold_chain, 365.0 AS default_shelf_life_days, CAST(month AS TIMESTAMP) AS created_at
+    FROM syn""", ["quantity_received", "quantity_remaining", "default_shelf_life_days"]))
+ORACLE["synthesise_movements"] = _rewrite_round(R6(_SYN_BASE + """
+    SELECT product_id || '_' || strftime(month, '%Y-%m') AS batch_id, sold AS quantity, 'OUT' AS movement_type,
+           CAST(CAST(month AS DATE) + 15 AS TIMESTAMP) AS created_at
+    FROM syn WHERE sold > 0""", ["quantity"]))
+ORACLE["time_series_folds"] = with_tables("batches") + """
+    SELECT batch_id, created_at, _pos,
+           CASE WHEN _pos - 1 >= n - 5 * t THEN CAST(floor((_pos - 1 - (n - 5 * t)) / t) AS INTEGER) END AS test_fold,
+           CASE WHEN (CASE WHEN _pos - 1 < n - 5 * t THEN 0 ELSE CAST(floor((_pos - 1 - (n - 5 * t)) / t) AS INTEGER) + 1 END) < 5
+                THEN (CASE WHEN _pos - 1 < n - 5 * t THEN 0 ELSE CAST(floor((_pos - 1 - (n - 5 * t)) / t) AS INTEGER) + 1 END)
+           END AS first_train_fold
+    FROM (SELECT batch_id, created_at, CAST(row_number() OVER (ORDER BY created_at, batch_id) AS INTEGER) AS _pos,
+                 count(*) OVER () AS n, floor(count(*) OVER () / 6) AS t FROM batches)"""
+_SCORED = ("scored", """SELECT batch_id, label, 1.0 / (1.0 + sales_velocity_weekly) AS score
+                        FROM (""" + EXPIRY_FEATURES + ") WHERE label IS NOT NULL")
+_SC_BASE = with_tables("batches", "products", "depots", extra=FORECAST_CTES + [("velocity", VELOCITY), _SCORED])
+ORACLE["model_auc"] = _rewrite_round(R6(_SC_BASE + """
+    SELECT (rs - npos * (npos + 1) / 2) / (npos * nneg) AS auc, npos, nneg FROM (
+      SELECT sum(CASE WHEN label = 1 THEN rk ELSE 0 END) AS rs, count(*) FILTER (WHERE label = 1) AS npos,
+             count(*) FILTER (WHERE label = 0) AS nneg
+      FROM (SELECT label, (min(r) OVER (PARTITION BY score) + max(r) OVER (PARTITION BY score)) / 2.0 AS rk
+            FROM (SELECT label, score, row_number() OVER (ORDER BY score, label) AS r FROM scored)))""", ["auc"]))
+ORACLE["recall_threshold"] = _rewrite_round(R6(_SC_BASE + """
+    SELECT coalesce(max(t), 0.5) AS threshold FROM (
+      SELECT t, sum(tp) OVER (ORDER BY t DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ctp
+      FROM (SELECT score AS t, count(*) FILTER (WHERE label = 1) AS tp FROM scored GROUP BY score))
+    WHERE ctp >= 0.85 * (SELECT count(*) FILTER (WHERE label = 1) FROM scored)""", ["threshold"]))
+ORACLE["confusion_counts"] = _SC_BASE + """
+    SELECT count(*) FILTER (WHERE score >= 0.5 AND label = 1) AS tp, count(*) FILTER (WHERE score >= 0.5 AND label = 0) AS fp,
+           count(*) FILTER (WHERE score < 0.5 AND label = 0) AS tn, count(*) FILTER (WHERE score < 0.5 AND label = 1) AS fn
+    FROM scored"""
+ORACLE["demand_mape"] = _rewrite_round(R6(with_tables("products", "depots", "stock_movements", extra=FORECAST_CTES) + """
+    SELECT avg(abs(s.units_sold - f.predicted_daily_rate) / s.units_sold) AS mape
+    FROM sales s JOIN forecast f ON f.product_id = s.product_id AND f.depot_id = s.depot_id
+    WHERE s.units_sold > 0""", ["mape"]))
+
+# ---------------------------------------------------------------- invoice text, names, ledger updates
+ORACLE["extract_invoice_fields"] = with_tables("invoices") + r"""
+    SELECT invoice_id,
+           nullif(regexp_extract(text, '(?i)(?:invoice|inv|bill)\s*(?:no|number|#)[:\s]*([A-Z0-9/-]+)', 1), '')
+               AS invoice_number,
+           nullif(regexp_extract(text, '\b(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})\b', 1), '') AS invoice_date_text,
+           TRY_CAST(replace(nullif(regexp_extract(text, '(?i)(?:total|amount)[:\s₹]*([0-9,]+\.?\d*)', 1), ''), ',', '')
+                    AS DOUBLE) AS total_amount
+    FROM (SELECT id AS invoice_id,
+                 'TAX INVOICE Invoice No: ' || invoice_number || ' Date: ' || strftime(invoice_date, '%d/%m/%Y')
+                 || ' Total: ' || format('{:,.2f}', CAST(total_amount AS DOUBLE)) || ' Thank you' AS text
+          FROM invoices)"""
+LINES = ("lines", """
+    SELECT invoice_id, line_no, product_id, batch_id, quantity,
+           CAST((unit_c * 24 + 10) // 20 AS DECIMAL(12,0)) / 100 AS mrp, CAST(unit_c AS DECIMAL(12,0)) / 100 AS ptr,
+           gst_percent
+    FROM (SELECT l_orderkey AS invoice_id, l_linenumber AS line_no, p_brand AS product_id,
+                 sd.depot_id || '-' || CAST(l_partkey AS VARCHAR) AS batch_id, CAST(l_quantity AS INTEGER) AS quantity,
+                 (CAST(round(l_extendedprice * 100) AS BIGINT) * 2 + CAST(l_quantity AS BIGINT))
+                     // (CAST(l_quantity AS BIGINT) * 2) AS unit_c,
+                 l_tax * 400 AS gst_percent
+          FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier_depot sd ON l_suppkey = sd.s_suppkey)""")
+LINE_CONF = ("lconf", """
+    SELECT l.invoice_id, l.line_no,
+           round(least(100.0 / 100 * 40
+                 + CASE WHEN b.batch_number IS NOT NULL AND b.batch_number <> '' THEN 20.0 ELSE 0.0 END
+                 + CASE WHEN b.expiry_date IS NOT NULL THEN 20.0 ELSE 0.0 END
+                 + CASE WHEN l.quantity IS NOT NULL AND l.quantity <> 0 THEN 10.0 ELSE 0.0 END
+                 + CASE WHEN l.mrp IS NOT NULL AND l.mrp <> 0 THEN 5.0 ELSE 0.0 END
+                 + CASE WHEN l.ptr IS NOT NULL AND l.ptr <> 0 THEN 5.0 ELSE 0.0 END, 100.0), 1) AS confidence
+    FROM lines l LEFT JOIN batches b ON b.batch_id = l.batch_id""")
+_LC = with_tables("batches", "invoices", "supplier_depot", extra=[LINES, LINE_CONF])
+ORACLE["line_confidence"] = _rewrite_round(R6(_LC + "SELECT *, confidence < 80 AS needs_correction FROM lconf",
+                                              ["confidence"]))
+ORACLE["invoice_confidence"] = _rewrite_round(R6(_LC + """
+    SELECT invoice_id, invoice_confidence, invoice_confidence < 80 AS needs_review FROM (
+      SELECT i.id AS invoice_id, round(coalesce(c.c, 0.0), 1) AS invoice_confidence
+      FROM invoices i LEFT JOIN (SELECT invoice_id, avg(confidence) AS c FROM lconf GROUP BY invoice_id) c
+           ON c.invoice_id = i.id)""", ["invoice_confidence"]))
+ORACLE["invoice_lines"] = _rewrite_round(R6(with_tables("batches", "invoices", "products", "supplier_depot",
+                                                        extra=[LINES]) + """
+    SELECT i.depot_id, l.invoice_id, i.invoice_number, l.line_no, l.product_id, p.canonical_name, l.batch_id,
+           b.batch_number, b.expiry_date, l.quantity,
+           coalesce(CAST(l.mrp AS DOUBLE), 0.0) AS mrp,
+           coalesce(CAST(l.ptr AS DOUBLE), 0.0) AS ptr,
+           coalesce(l.gst_percent, 0.0) AS gst_percent
+    FROM lines l JOIN invoices i ON i.id = l.invoice_id JOIN products p ON p.product_id = l.product_id
+    LEFT JOIN batches b ON b.batch_id = l.batch_id""", ["mrp", "ptr", "gst_percent"]))
+RECEIPTS = ("receipts", f"""
+    SELECT b.depot_id, l.product_id, b.batch_number,
+           CASE WHEN l.line_no % 2 = 1 THEN b.expiry_date ELSE {AS_OF} + 365 END AS expiry_date, l.quantity
+    FROM lines l JOIN (SELECT id FROM invoices WHERE invoice_date > {AS_OF} - 30) i ON i.id = l.invoice_id
+    JOIN batches b ON b.batch_id = l.batch_id""")
+ORACLE["apply_stock_in"] = with_tables("batches", "invoices", "supplier_depot", extra=[LINES, RECEIPTS, (
+    "r", "SELECT depot_id, product_id, batch_number, expiry_date, sum(quantity) AS add FROM receipts GROUP BY ALL")]) + \
+    f"""
+    SELECT b.batch_id, b.depot_id, b.product_id, b.batch_number, b.expiry_date,
+           CAST(b.quantity_received + coalesce(r.add, 0) AS BIGINT) AS quantity_received,
+           CAST(b.quantity_remaining + coalesce(r.add, 0) AS BIGINT) AS quantity_remaining, b.created_at
+    FROM batches b LEFT JOIN r ON r.depot_id = b.depot_id AND r.product_id = b.product_id
+         AND r.batch_number = b.batch_number AND r.expiry_date = b.expiry_date
+    UNION ALL
+    SELECT substr(sha256(concat_ws('|', r.depot_id, r.product_id, r.batch_number, CAST(r.expiry_date AS VARCHAR))), 1, 32),
+           r.depot_id, r.product_id, r.batch_number, r.expiry_date, CAST(r.add AS BIGINT), CAST(r.add AS BIGINT),
+           CAST({AS_OF} AS TIMESTAMP)
+    FROM r WHERE NOT EXISTS (SELECT 1 FROM batches b WHERE b.depot_id = r.depot_id AND b.product_id = r.product_id
+                             AND b.batch_number = r.batch_number AND b.expiry_date = r.expiry_date)"""
+RAW_NAMES = ("raw", """
+    SELECT p_partkey, p_name,
+           CASE p_partkey % 3 WHEN 0 THEN rev
+                WHEN 1 THEN substr(p_name, 1, pos) || substr(p_name, pos + 2, 10000)
+                ELSE substr(rev, 1, pos) || substr(rev, pos + 2, 10000) END AS raw_name
+    FROM (SELECT p_partkey, p_name, array_to_string(list_reverse(string_split(p_name, ' ')), ' ') AS rev,
+                 CAST(p_partkey % greatest(length(p_name), 1) AS INTEGER) AS pos FROM part)""")
+ORACLE["enrich_aliases"] = "WITH " + RAW_NAMES[0] + " AS (" + RAW_NAMES[1] + ")" + """
+    SELECT p.product_id, coalesce(a.aliases, '') AS aliases
+    FROM (SELECT DISTINCT p_name AS product_id FROM part) p
+    LEFT JOIN (SELECT p_name AS product_id, string_agg(DISTINCT a, '|' ORDER BY a) AS aliases
+               FROM (SELECT p_name, lower(trim(raw_name)) AS a FROM raw) WHERE a <> '' GROUP BY p_name) a
+         ON a.product_id = p.product_id"""
+ORACLE["compliance_snapshot"] = _CC.replace("WITH ", "WITH depots AS (" + CTES_DEPOTS + "),", 1) + """
+    SELECT d.depot_id, CAST(coalesce(a.n, 0) AS BIGINT) AS open_issues,
+           CASE WHEN coalesce(a.n, 0) = 0 THEN 'ok' ELSE 'attention' END AS status
+    FROM depots d LEFT JOIN (SELECT depot_id, count(*) AS n FROM flagged WHERE is_excursion GROUP BY depot_id) a
+         ON a.depot_id = d.depot_id"""

@@ -64,7 +64,10 @@ def _features_cols(df):
 def q_demand_features(spark, sf_dir):
     c = Catalog(spark, sf_dir)
     from ..config import DEFAULTS
-    f = demand.demand_features(demand.fill_missing_dates(_sales(c)), DEFAULTS["festival_dates"])
+    # the daily aggregate feeds the bounds, the pairs, the measures and the
+    # code table: write it once instead of re-running the fact join for each
+    f = demand.demand_features(demand.fill_missing_dates(_sales(c).checkpoint(eager=True)),
+                               DEFAULTS["festival_dates"])
     return rounded(_features_cols(f))
 
 
@@ -72,9 +75,10 @@ def q_demand_features(spark, sf_dir):
 def q_inference_median_fill(spark, sf_dir):
     c = Catalog(spark, sf_dir)
     from ..config import DEFAULTS
-    f = demand.demand_features(demand.fill_missing_dates(_sales(c)), DEFAULTS["festival_dates"],
-                               drop_warmup=False)
-    return rounded(demand.inference_median_fill(_features_cols(f)))
+    f = demand.demand_features(demand.fill_missing_dates(_sales(c).checkpoint(eager=True)),
+                               DEFAULTS["festival_dates"], drop_warmup=False)
+    f = _features_cols(f).checkpoint(eager=True)  # read by the medians and by the fill
+    return rounded(demand.inference_median_fill(f))
 
 
 @register("trend_slope")
@@ -133,7 +137,7 @@ def q_sales_velocity(spark, sf_dir):
 
 @register("expiry_features")
 def q_expiry_features(spark, sf_dir):
-    c = Catalog(spark, sf_dir)
+    c = Catalog(spark, sf_dir, materialize=True)
     return rounded(expiry.expiry_features(c.batches, c.products, c.movements, c.as_of, demand=_forecast(c)))
 
 
@@ -544,3 +548,226 @@ def q_unpivot_drug_sales(spark, sf_dir):
     products = sorted(r[0] for r in c.products.select("product_id").collect())  # column names only (brand domain)
     wide = out.groupBy("date").pivot("product_id", products).agg(F.sum("quantity"))
     return rounded(ingest.unpivot_drug_sales(wide))
+
+
+# ---------------------------------------------------------------- training
+from ..operators import training  # noqa: E402
+
+
+@register("chronological_split")
+def q_chronological_split(spark, sf_dir):
+    return rounded(training.chronological_split(_sales(Catalog(spark, sf_dir))))
+
+
+@register("walk_forward_folds")
+def q_walk_forward_folds(spark, sf_dir):
+    from pyspark.sql import functions as F
+    c = Catalog(spark, sf_dir)
+    s = demand.daily_demand(c.movements, c.products, c.depots, c.as_of, days=3 * 365)
+    return rounded(training.walk_forward_folds(s, training.quarterly_folds(c.as_of),
+                                               supplementary=F.col("depot_id") == "MIDDLE EAST"))
+
+
+def _daily_by_product(c: Catalog):
+    from pyspark.sql import functions as F
+    return c.movements.where(F.col("movement_type") == "OUT").groupBy(
+        F.to_date("created_at").alias("date"), "product_id").agg(F.sum("quantity").alias("units_sold"))
+
+
+@register("synthesise_batches")
+def q_synthesise_batches(spark, sf_dir):
+    b, _ = training.synthesise_batches(_daily_by_product(Catalog(spark, sf_dir)))
+    return rounded(b)
+
+
+@register("synthesise_movements")
+def q_synthesise_movements(spark, sf_dir):
+    _, m = training.synthesise_batches(_daily_by_product(Catalog(spark, sf_dir)))
+    return rounded(m)
+
+
+@register("time_series_folds")
+def q_time_series_folds(spark, sf_dir):
+    c = Catalog(spark, sf_dir)
+    b = c.batches.select("batch_id", "created_at")
+    return training.time_series_folds(b, ["created_at", "batch_id"], k=5)
+
+
+@register("stratified_folds")
+def q_stratified_folds(spark, sf_dir):
+    c = Catalog(spark, sf_dir)
+    f = expiry.expiry_features(c.batches, c.products, c.movements, c.as_of).where("label IS NOT NULL")
+    return training.stratified_folds(f.select("batch_id", "label"), "label", "batch_id", k=5)
+
+
+def _scored_batches(c: Catalog):
+    from pyspark.sql import functions as F
+    f = expiry.expiry_features(c.batches, c.products, c.movements, c.as_of).where("label IS NOT NULL")
+    return f.select("batch_id", "label", (F.lit(1.0) / (F.lit(1.0) + F.col("sales_velocity_weekly"))).alias("score"))
+
+
+@register("model_auc")
+def q_model_auc(spark, sf_dir):
+    return rounded(training.auc(_scored_batches(Catalog(spark, sf_dir))))
+
+
+@register("recall_threshold")
+def q_recall_threshold(spark, sf_dir):
+    return rounded(training.recall_threshold(_scored_batches(Catalog(spark, sf_dir))))
+
+
+@register("confusion_counts")
+def q_confusion_counts(spark, sf_dir):
+    return training.confusion(_scored_batches(Catalog(spark, sf_dir)), 0.5)
+
+
+@register("demand_mape")
+def q_demand_mape(spark, sf_dir):
+    c = Catalog(spark, sf_dir)
+    s = _sales(c).select("product_id", "depot_id", "units_sold")
+    p = s.join(demand.forecast_fallback(_sales(c)).select("product_id", "depot_id", "predicted_daily_rate"),
+               ["product_id", "depot_id"])
+    return rounded(training.mape(p, y="units_sold", p="predicted_daily_rate"))
+
+
+@register("demand_forecast_model")
+def q_demand_forecast_model(spark, sf_dir):
+    c = Catalog(spark, sf_dir)
+    from ..config import DEFAULTS
+    f = demand.demand_features(demand.fill_missing_dates(_sales(c)), DEFAULTS["festival_dates"])
+    model, _ = training.train_demand(f, demand.FEATURE_COLS, max_iter=20)
+    return training.demand_forecast_model(model, f)
+
+
+@register("expiry_risk_model")
+def q_expiry_risk_model(spark, sf_dir):
+    c = Catalog(spark, sf_dir)
+    feats = expiry.expiry_features(c.batches, c.products, c.movements, c.as_of)
+    forest, iso = training.train_expiry(feats, expiry.FEATURE_COLS, num_trees=30)
+    from pyspark.sql import functions as F
+    scored = training.score_expiry(forest, iso, feats).select(
+        "batch_id", F.col("score"), "sales_velocity_weekly")
+    active = _active(c)
+    from ..functions.numeric import py_round_cols
+    j = active.join(scored, "batch_id")
+    j = py_round_cols(j, {"expiry_risk_score": ("score", 3)})
+    return j.select("batch_id", "product_id", "depot_id", "expiry_risk_score",
+                    expiry.liquidation_date(c.as_of, F.greatest(F.col("quantity_remaining"), F.lit(0.0)),
+                                            F.col("sales_velocity_weekly")).alias("recommended_liquidation_date"),
+                    F.lit("model").alias("method"))
+
+
+# ---------------------------------------------------------------- invoice text, names, ledger updates
+def _invoice_texts(c: Catalog):
+    from pyspark.sql import functions as F
+    i = c.invoices
+    text = F.concat(F.lit("TAX INVOICE Invoice No: "), F.col("invoice_number"), F.lit(" Date: "),
+                    F.date_format("invoice_date", "dd/MM/yyyy"), F.lit(" Total: "),
+                    F.format_number(F.col("total_amount").cast("double"), 2), F.lit(" Thank you"))
+    return i.select(F.col("id").alias("invoice_id"), text.alias("text"))
+
+
+@register("extract_invoice_fields")
+def q_extract_invoice_fields(spark, sf_dir):
+    r = invoice_ops.extract_invoice_fields(_invoice_texts(Catalog(spark, sf_dir)))
+    return rounded(r.drop("text"))
+
+
+def _raw_product_names(c: Catalog):
+    """Invoice-style spellings of part names: tokens reversed (key % 3 = 0),
+    one letter dropped (key % 3 = 1), or both."""
+    from pyspark.sql import functions as F
+    p = c.raw("part").select("p_partkey", "p_name")
+    toks = F.split("p_name", " ")
+    rev = F.array_join(F.reverse(toks), " ")
+    pos = (F.col("p_partkey") % F.greatest(F.length("p_name"), F.lit(1))).cast("int")
+
+    def drop(s):  # remove the character at 0-based position ``pos``
+        return F.concat(F.substr(s, F.lit(1), pos), F.substr(s, pos + 2, F.lit(10000)))
+    k = F.col("p_partkey") % 3
+    with_rev = p.withColumn("_rev", rev)
+    raw = F.when(k == 0, F.col("_rev")).when(k == 1, drop(F.col("p_name"))).otherwise(drop(F.col("_rev")))
+    return with_rev.select("p_partkey", raw.alias("raw_name"))
+
+
+def _name_products(c: Catalog):
+    from pyspark.sql import functions as F
+    names = c.raw("part").select("p_name").distinct()
+    return names.select(F.col("p_name").alias("product_id"), F.col("p_name").alias("canonical_name"),
+                        F.lit(None).cast("array<string>").alias("aliases"))
+
+
+@register("match_products")
+def q_match_products(spark, sf_dir):
+    c = Catalog(spark, sf_dir)
+    return rounded(invoice_ops.match_products(_raw_product_names(c), _name_products(c)))
+
+
+@register("line_confidence")
+def q_line_confidence(spark, sf_dir):
+    from pyspark.sql import functions as F
+    c = Catalog(spark, sf_dir)
+    lines = c.invoice_lines.join(c.batches.select("batch_id", "batch_number", "expiry_date"), "batch_id", "left") \
+        .withColumn("match_score", F.lit(100.0))
+    return rounded(invoice_ops.line_confidence(lines).select("invoice_id", "line_no", "confidence",
+                                                             "needs_correction"))
+
+
+@register("invoice_confidence")
+def q_invoice_confidence(spark, sf_dir):
+    from pyspark.sql import functions as F
+    c = Catalog(spark, sf_dir)
+    lines = c.invoice_lines.join(c.batches.select("batch_id", "batch_number", "expiry_date"), "batch_id", "left") \
+        .withColumn("match_score", F.lit(100.0))
+    return rounded(invoice_ops.invoice_confidence(invoice_ops.line_confidence(lines), c.invoices))
+
+
+@register("invoice_lines")
+def q_invoice_lines(spark, sf_dir):
+    c = Catalog(spark, sf_dir)
+    return rounded(ledger.invoice_lines(c.invoice_lines, c.invoices, c.products, c.batches))
+
+
+def _receipts(c: Catalog):
+    """Stock receipts from the order lines of the last 30 days: odd lines
+    top up the existing batch (same key), even lines carry a new expiry."""
+    from pyspark.sql import functions as F
+    i = c.invoices.where(F.col("invoice_date") > F.date_sub(F.lit(c.as_of).cast("date"), 30)) \
+                  .select(F.col("id").alias("invoice_id"))
+    l = c.invoice_lines.join(i, "invoice_id").join(
+        c.batches.select("batch_id", "depot_id", "batch_number", "expiry_date"), "batch_id")
+    exp = F.when(F.col("line_no") % 2 == 1, F.col("expiry_date")).otherwise(
+        F.date_add(F.lit(c.as_of).cast("date"), 365))
+    return l.select("depot_id", "product_id", "batch_number", exp.alias("expiry_date"), "quantity")
+
+
+@register("apply_stock_in")
+def q_apply_stock_in(spark, sf_dir):
+    c = Catalog(spark, sf_dir)
+    merged, _ = ledger.apply_stock_in(c.batches, _receipts(c), c.as_of)
+    return merged
+
+
+@register("apply_stock_out")
+def q_apply_stock_out(spark, sf_dir):
+    return rounded(ledger.apply_stock_out(Catalog(spark, sf_dir).movements))
+
+
+@register("enrich_aliases")
+def q_enrich_aliases(spark, sf_dir):
+    from pyspark.sql import functions as F
+    c = Catalog(spark, sf_dir)
+    prods = _name_products(c).withColumn("aliases", F.array().cast("array<string>"))
+    raw = _raw_product_names(c).join(c.raw("part").select("p_partkey", F.col("p_name").alias("product_id")),
+                                     "p_partkey")
+    out = ledger.enrich_aliases(prods, raw)
+    return out.select("product_id", F.array_join(F.array_sort("aliases"), "|").alias("aliases"))
+
+
+@register("compliance_snapshot")
+def q_compliance_snapshot(spark, sf_dir):
+    c = Catalog(spark, sf_dir)
+    from pyspark.sql import functions as F
+    status = c.depots.select("depot_id", F.lit("SUCCESS").alias("status"))
+    alerts = decisions.notify_queue(status, coldchain.excursion_alerts(_flagged(c)), c.as_of)
+    return decisions.compliance_snapshot(c.depots, alerts)

@@ -241,10 +241,15 @@ def invoice_line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read(spark, sf_dir, "part").select("p_partkey", "p_brand")
     j = li.join(part, F.col("l_partkey") == F.col("p_partkey")).join(
         supplier_depot(spark, sf_dir), F.col("l_suppkey") == F.col("s_suppkey"))
-    unit = (F.col("l_extendedprice") / F.col("l_quantity"))
+    # prices in whole cents with exact half-up integer rounding
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    q = F.col("l_quantity").cast("long")
+    unit_c = F.floor((cents * 2 + q) / (q * 2)).cast("long")
+    mrp_c = F.floor((unit_c * 24 + 10) / 20).cast("long")
     return j.select(F.col("l_orderkey").alias("invoice_id"), F.col("l_linenumber").alias("line_no"),
                     F.col("p_brand").alias("product_id"),
                     F.concat(F.col("depot_id"), F.lit("-"), F.col("l_partkey").cast("string")).alias("batch_id"),
                     F.col("l_quantity").cast("int").alias("quantity"),
-                    (unit * 1.2).cast("decimal(10,2)").alias("mrp"), unit.cast("decimal(10,2)").alias("ptr"),
+                    (mrp_c.cast("decimal(12,0)") / 100).cast("decimal(10,2)").alias("mrp"),
+                    (unit_c.cast("decimal(12,0)") / 100).cast("decimal(10,2)").alias("ptr"),
                     (F.col("l_tax") * 400).alias("gst_percent"))
