@@ -14,7 +14,7 @@ def upsert_by_key(new: DataFrame, path: str, key: list[str], partition_col: str
     partitions whose key is not in ``new`` are kept)."""
     spark = new.sparkSession
     try:
-        old = spark.read.parquet(path)
+        old = spark.read.schema(new.schema).parquet(path)
         parts = new.select(partition_col).distinct()
         old = old.join(parts, partition_col, "left_semi")
         kept = old.join(new.select(*key), key, "left_anti")
@@ -35,7 +35,7 @@ def replace_partition(new: DataFrame, path: str, targets: DataFrame,
     spark = new.sparkSession
     cols = list(partition_cols)
     try:
-        old = spark.read.parquet(path)
+        old = spark.read.schema(new.schema).parquet(path)
         kept = old.join(targets.select(*cols), cols, "left_anti")
         out = new.unionByName(kept.select(*new.columns)).checkpoint(eager=True)
     except Exception as e:  # noqa: BLE001
