@@ -205,3 +205,12 @@ def demand_forecast(movements: DataFrame, products: DataFrame, depots: DataFrame
                     as_of: str) -> DataFrame:
     """Flagship: SRC-8 → D-1 → D-11 → D-13 for every depot at once."""
     return forecast_fallback(daily_demand(movements, products, depots, as_of))
+
+
+def daily_from_mapped(mapped: DataFrame) -> DataFrame:
+    """Sales rows of a mapped client file → one row per (product, depot,
+    day) (Q-5 collapse, Q-6 positive filter)."""
+    s = mapped.where((F.col("units_sold") > 0) & F.col("date").isNotNull() & F.col("product_id").isNotNull())
+    return s.groupBy("product_id", "depot_id", "date").agg(
+        F.sum("units_sold").alias("units_sold"), F.min("product_category").alias("product_category"),
+        F.min("is_cold_chain").alias("is_cold_chain"), F.min("depot_region").alias("depot_region"))

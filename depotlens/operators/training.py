@@ -254,3 +254,59 @@ def score_expiry(forest, iso, features: DataFrame) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
     raw = forest.transform(features).withColumn("raw_p", vector_to_array("probability")[1])
     return iso.transform(raw).withColumnRenamed("calibrated", "score")
+
+
+def ab_gate(global_model, client_features: DataFrame, feature_cols: list[str], label: str = "units_sold",
+            min_rows: int = 100, max_iter: int = 20, seed: int = 42) -> dict:
+    """M-8: fine-tune for one client and deploy only if it beats the global
+    model on the client's last 20 % (by date).  Fine-tuning = boosting on the
+    residuals of the global prediction (equivalent to continuing the global
+    booster).  Fewer than ``min_rows`` feature rows keep the global model."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+    n = client_features.count()
+    if n < min_rows:
+        return {"deployed": False, "reason": f"too few rows ({n})", "global_mape": None, "client_mape": None}
+    data = chronological_split(client_features)
+    scored = global_model.transform(data).withColumnRenamed("prediction", "g_pred") \
+                         .withColumn("g_pred", F.greatest("g_pred", F.lit(0.0))).drop("features")
+    scored = scored.withColumn("resid", F.col(label) - F.col("g_pred")).checkpoint(eager=True)
+    va = VectorAssembler(inputCols=feature_cols, outputCol="features", handleInvalid="keep")
+    train = va.transform(scored.where(F.col("split") == "train"))
+    res_model = GBTRegressor(featuresCol="features", labelCol="resid", maxIter=max_iter, maxDepth=6,
+                             stepSize=0.05, seed=seed).fit(train)
+    val = res_model.transform(va.transform(scored.where(F.col("split") == "test")))
+    val = val.withColumn("c_pred", F.greatest(F.col("g_pred") + F.col("prediction"), F.lit(0.0)))
+    g = mape(val, y=label, p="g_pred").collect()[0]["mape"]
+    c = mape(val, y=label, p="c_pred").collect()[0]["mape"]
+    deployed = g is not None and c is not None and c < g
+    return {"deployed": bool(deployed), "reason": "client beats global" if deployed else "global kept",
+            "global_mape": g, "client_mape": c, "residual_model": res_model}
+
+
+def onboard_client(spark, source, client_id: str, global_model, as_of: str,
+                   festival_dates: list[str] | None = None) -> dict:
+    """M-9: ingest (path or DataFrame) → map schema → sufficiency → demand
+    fine-tuning with the A/B gate when the data allows; the expiry
+    fine-tuning of the reference is a stub that never deploys."""
+    from ..sources import ingest as ing
+    from . import demand as dem
+    raw = ing.ingest(spark, source) if isinstance(source, str) else ing.ingest_frame(source)
+    mapped, warnings = ing.map_schema(raw, client_id)
+    if mapped.limit(1).count() == 0:
+        return {"client_id": client_id, "decision": "USE_GLOBAL_MODEL", "reason": "no_data_available",
+                "demand_deployed": False, "expiry_deployed": False, "warnings": warnings}
+    span = mapped.agg(F.datediff(F.max("date"), F.min("date"))).scalar()
+    expired = (mapped.agg(F.count_if(F.col("expiry_date") < F.lit(as_of).cast("date"))).scalar()
+               if "expiry_date" in mapped.columns else F.lit(0))
+    stats = mapped.sparkSession.range(1).select(span.alias("span"), expired.alias("expired")).collect()[0]
+    sp, ex = stats["span"] or 0, stats["expired"] or 0
+    mode = "BOTH" if sp >= 180 and ex >= 50 else "DEMAND" if sp >= 90 else "GLOBAL"
+    if mode == "GLOBAL":
+        return {"client_id": client_id, "decision": "USE_GLOBAL_MODEL", "reason": f"span {sp} days",
+                "demand_deployed": False, "expiry_deployed": False, "warnings": warnings}
+    daily = dem.daily_from_mapped(mapped)
+    feats = dem.demand_features(dem.fill_missing_dates(daily), festival_dates or [])
+    gate = ab_gate(global_model, feats, dem.FEATURE_COLS)
+    return {"client_id": client_id, "decision": f"SUFFICIENT_FOR_{mode}", "reason": gate["reason"],
+            "demand_deployed": gate["deployed"], "expiry_deployed": False, "warnings": warnings}

@@ -159,3 +159,19 @@ def test_run_nightly_is_idempotent(spark):
     nightly.run_nightly(Catalog(spark, "/root/testdata/sf0.01", materialize=True), out, DECISION_CONFIG)
     assert snapshot() == first
     assert len(first["demand_predictions"]) > 0 and len(first["agent_actions"]) > 0
+
+
+def test_onboard_client_from_csv(spark):
+    from depotlens.config import DEFAULTS
+    from depotlens.operators import demand as dem
+    from depotlens.plans.catalog import Catalog
+    from depotlens.plans.queries import _client_export
+    c = Catalog(spark, "/root/testdata/sf0.01")
+    path = os.path.join(tempfile.mkdtemp(prefix="dl-onboard-"), "client.csv")
+    _client_export(c).where(F.col("GODOWN") == "ASIA").coalesce(1).write.option("header", True).csv(path)
+    feats = dem.demand_features(dem.fill_missing_dates(dem.daily_demand(c.movements, c.products, c.depots, c.as_of,
+                                                                        days=365)), DEFAULTS["festival_dates"])
+    gmodel, _ = training.train_demand(feats, dem.FEATURE_COLS, max_iter=5)
+    r = training.onboard_client(spark, path, "CLIENT-X", gmodel, c.as_of)
+    assert r["decision"] in ("SUFFICIENT_FOR_DEMAND", "SUFFICIENT_FOR_BOTH")
+    assert isinstance(r["demand_deployed"], bool) and r["expiry_deployed"] is False
