@@ -8,7 +8,7 @@ executor loss.
 """
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -18,58 +18,105 @@ from ..sources import tpch
 from .catalog import Catalog
 
 
-@dataclass
 class Scores:
-    demand: DataFrame
-    expiry: DataFrame
-    stockout: DataFrame
-    fefo: DataFrame
-    anomaly: DataFrame
-    cashflow: DataFrame
+    """Score stages for all active depots, built on first use.  With
+    ``c.materialize`` a stage read by several consumers (demand, active
+    batches, expiry) is checkpointed to the shared folder when first built,
+    so a query that needs only one view does not compute the others."""
+
+    def __init__(self, c: Catalog, config: Config):
+        self.c, self.config, self.rd = c, config, c.as_of
+
+    def _mat(self, df: DataFrame) -> DataFrame:
+        return df.checkpoint(eager=True) if self.c.materialize else df
+
+    def _active_only(self, df: DataFrame) -> DataFrame:
+        # FIL-3: only active depots enter a run (the depot table is a small dimension)
+        return df.join(self.c.depots.where("is_active").select("depot_id"), "depot_id", "left_semi")
+
+    @cached_property
+    def demand(self) -> DataFrame:
+        c = self.c
+        return self._mat(_dated(demand.forecast_fallback(
+            demand.daily_demand(c.movements, c.products, c.depots.where("is_active"), self.rd)), self.rd))
+
+    @cached_property
+    def active(self) -> DataFrame:
+        c = self.c
+        return self._mat(expiry.active_batches(c.batches, c.products, c.movements, self.rd))
+
+    @cached_property
+    def expiry_all(self) -> DataFrame:
+        return self._mat(_dated(expiry.expiry_risk_formula(self.active, self.rd), self.rd))
+
+    @cached_property
+    def expiry(self) -> DataFrame:
+        return self._active_only(self.expiry_all)
+
+    @cached_property
+    def stockout(self) -> DataFrame:
+        c = self.c
+        return self._active_only(_dated(stockout.stockout_risk(
+            c.movements, c.products, self.demand, int(self.config.get("default_lead_time_days"))), self.rd))
+
+    @cached_property
+    def fefo(self) -> DataFrame:
+        return self._active_only(_dated(fefo.fefo_rank(
+            self.active, self.expiry_all, self.rd, float(self.config.get("fefo_override_threshold"))), self.rd))
+
+    @cached_property
+    def anomaly(self) -> DataFrame:
+        c = self.c
+        return self._active_only(_dated(anomaly.anomaly_flags(
+            tpch.anomaly_movements(c.movements), c.products, self.rd,
+            float(self.config.get("anomaly_hold_threshold")),
+            float(self.config.get("anomaly_alert_threshold"))), self.rd))
+
+    @cached_property
+    def cashflow(self) -> DataFrame:
+        c = self.c
+        return self._active_only(cashflow.net_cashflow(c.payment_transactions, c.depots, self.rd))
 
 
 def _dated(df: DataFrame, run_date: str) -> DataFrame:
     return df.withColumn("run_date", F.lit(run_date).cast("date"))
 
 
-def _mat(df: DataFrame, on: bool) -> DataFrame:
-    return df.checkpoint(eager=True) if on else df
+def score_all(c: Catalog, config: Config | None = None) -> Scores:
+    """All score stages (built lazily, see ``Scores``)."""
+    return Scores(c, config or Config())
 
 
-def score_all(c: Catalog, config: Config | None = None) -> Scores:
-    """All score stages.  With ``c.materialize`` the stages that feed
-    several consumers (demand, active batches, expiry) are checkpointed to
-    the shared folder once."""
-    config = config or Config()
-    rd = c.as_of
-    m = c.materialize
-    dem = _mat(_dated(demand.forecast_fallback(
-        demand.daily_demand(c.movements, c.products, c.depots.where("is_active"), rd)), rd), m)
-    active = _mat(expiry.active_batches(c.batches, c.products, c.movements, rd), m)
-    exp = _mat(_dated(expiry.expiry_risk_formula(active, rd), rd), m)
-    so = _dated(stockout.stockout_risk(c.movements, c.products, dem,
-                                       int(config.get("default_lead_time_days"))), rd)
-    ff = _dated(fefo.fefo_rank(active, exp, rd, float(config.get("fefo_override_threshold"))), rd)
-    an = _dated(anomaly.anomaly_flags(tpch.anomaly_movements(c.movements), c.products, rd,
-                                      float(config.get("anomaly_hold_threshold")),
-                                      float(config.get("anomaly_alert_threshold"))), rd)
-    cf = cashflow.net_cashflow(c.payment_transactions, c.depots, rd)
-    # FIL-3: only active depots enter a run (the depot table is a small dimension)
-    act = c.depots.where("is_active").select("depot_id")
-    exp, so, ff, an, cf = [df.join(act, "depot_id", "left_semi") for df in (exp, so, ff, an, cf)]
-    return Scores(dem, exp, so, ff, an, cf)
+class _LazyState(dict):
+    """dict whose values are built on first access."""
+
+    def __init__(self, builders: dict):
+        super().__init__()
+        self._b = builders
+
+    def __getitem__(self, k):
+        if not dict.__contains__(self, k):
+            dict.__setitem__(self, k, self._b[k]())
+        return dict.__getitem__(self, k)
+
+    def get(self, k, default=None):
+        return self[k] if k in self._b else default
+
+    def __contains__(self, k):
+        return k in self._b
 
 
 def decision_state(c: Catalog, s: Scores) -> dict:
-    """G-12: the inputs of the rules, restricted to one run_date."""
-    return {
-        "expiry_view": views.v_expiry_predictions(s.expiry, c.batches, c.products),
-        "stockout_view": views.v_stockout_risks(s.stockout, c.products, s.demand),
-        "fefo_view": views.v_fefo_rankings(s.fefo, c.batches, c.products, s.demand),
-        "anomaly_view": views.v_anomaly_flags(s.anomaly, c.products),
-        "cashflow": s.cashflow,
-        "demand": s.demand,
-    }
+    """G-12: the inputs of the rules, restricted to one run_date; each is
+    built only when a rule reads it."""
+    return _LazyState({
+        "expiry_view": lambda: views.v_expiry_predictions(s.expiry, c.batches, c.products),
+        "stockout_view": lambda: views.v_stockout_risks(s.stockout, c.products, s.demand),
+        "fefo_view": lambda: views.v_fefo_rankings(s.fefo, c.batches, c.products, s.demand),
+        "anomaly_view": lambda: views.v_anomaly_flags(s.anomaly, c.products),
+        "cashflow": lambda: s.cashflow,
+        "demand": lambda: s.demand,
+    })
 
 
 def nightly_decisions(c: Catalog, config: Config | None = None) -> DataFrame:
