@@ -21,20 +21,25 @@ def _long(df: DataFrame, features: list[str], side: str) -> DataFrame:
                                          for c in features])).alias("kv")).select("side", "kv.*")
 
 
-def _bin(value, lo, hi, n_bins: int):
-    """Index of the equal-width bin [edge_i, edge_i+1) with
-    edge_i = i·step + lo and the last bin closed, like numpy's histogram."""
-    step = (hi - lo) / F.lit(float(n_bins))
-    norm = F.lit(float(n_bins)) / (hi - lo)
-    i0 = F.floor((value - lo) * norm).cast("int")
-    i0 = F.when(i0 >= n_bins, n_bins - 1).otherwise(i0)
+def _binned(long: DataFrame, n_bins: int) -> DataFrame:
+    """Adds ``bin``: index of the equal-width bin [edge_i, edge_i+1) with
+    edge_i = i·step + lo and the last bin closed, like numpy's histogram
+    (first guess from the scaled value, then one correction each way
+    against the exact edges).  Built over three projections so that no
+    generated method repeats the nested guesses."""
+    n = float(n_bins)
+    v, lo, hi = F.col("value"), F.col("lo"), F.col("hi")
+    step = (hi - lo) / F.lit(n)
 
     def edge(i):
         return F.when(i >= n_bins, hi).otherwise(i.cast("double") * step + lo)
-    i1 = F.when(value < edge(i0), i0 - 1).otherwise(i0)
-    i2 = F.when((i1 != n_bins - 1) & (value >= edge(i1 + 1)), i1 + 1).otherwise(i1)
-    # constant feature: every edge equals lo; numpy puts the values in the last bin
-    return F.when(hi == lo, F.lit(n_bins - 1)).otherwise(i2)
+    s1 = long.select("*", F.least(F.floor((v - lo) * (F.lit(n) / (hi - lo))).cast("int"), F.lit(n_bins - 1))
+                     .alias("_i0"))
+    s2 = s1.select("*", F.when(v < edge(F.col("_i0")), F.col("_i0") - 1).otherwise(F.col("_i0")).alias("_i1"))
+    i1 = F.col("_i1")
+    s3 = s2.select("*", F.when(hi == lo, F.lit(n_bins - 1))
+                   .when((i1 != n_bins - 1) & (v >= edge(i1 + 1)), i1 + 1).otherwise(i1).alias("bin"))
+    return s3.drop("_i0", "_i1")
 
 
 def psi(baseline: DataFrame, current: DataFrame, features: list[str], n_bins: int = 10) -> DataFrame:
@@ -44,27 +49,25 @@ def psi(baseline: DataFrame, current: DataFrame, features: list[str], n_bins: in
     are skipped.
 
     Two passes over the data: one aggregate for every feature's joint
-    min/max (a scalar struct subquery), then one pass that bins every
-    feature of a row, unpivots only the (feature, bin) pairs and counts
-    them with a partial/final aggregate."""
+    min/max (a scalar struct subquery), then one pass that unpivots the
+    (feature, value) pairs, bins them and counts them with a partial/final
+    aggregate."""
     feats = [f for f in features if f in baseline.columns and f in current.columns]
     both = baseline.select(F.lit("base").alias("side"), *[F.col(f).cast("double").alias(f) for f in feats]) \
         .unionByName(current.select(F.lit("curr").alias("side"), *[F.col(f).cast("double").alias(f) for f in feats]))
     b = both.agg(F.struct(*[F.struct(F.min(f).alias("lo"), F.max(f).alias("hi")).alias(f) for f in feats])).scalar()
-    bounds = both.select("*", b.alias("_b"))
-    valid = lambda f: F.col(f).isNotNull() & ~F.isnan(f)
-    bins = F.array(*[F.struct(F.lit(f).alias("feature"),
-                              F.when(valid(f), _bin(F.col(f), F.col(f"_b.{f}.lo"), F.col(f"_b.{f}.hi"), n_bins))
-                              .alias("bin")) for f in feats])
-    long = bounds.select("side", F.explode(bins).alias("kv")).select("side", "kv.feature", "kv.bin")
-    counts = long.groupBy("feature", "side", "bin").agg(F.count(F.lit(1)).alias("c")).checkpoint(eager=True)
-    totals = counts.groupBy("feature", "side").agg(F.sum("c").alias("n"))  # all rows incl. nulls
-    grid = counts.select("feature").distinct().select("feature",
-                                                      F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin"))
+    kv = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("value"), F.col(f"_b.{f}.lo").alias("lo"),
+                            F.col(f"_b.{f}.hi").alias("hi")) for f in feats])
+    long = both.select("*", b.alias("_b")).select("side", F.explode(kv).alias("kv")).select("side", "kv.*")
+    valid = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    counted = _binned(valid, n_bins).groupBy("feature", "side", "bin").agg(F.count(F.lit(1)).alias("c"))
+    totals = long.groupBy("feature", "side").agg(F.count(F.lit(1)).alias("n"))  # all rows incl. nulls
+    counts = counted.checkpoint(eager=True)
+    grid = totals.select("feature").distinct().select(
+        "feature", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin"))
     g = grid
     for side in ("base", "curr"):
-        cnt = counts.where((F.col("side") == side) & F.col("bin").isNotNull()).select(
-            "feature", "bin", F.col("c").alias(f"c_{side}"))
+        cnt = counts.where(F.col("side") == side).select("feature", "bin", F.col("c").alias(f"c_{side}"))
         t = totals.where(F.col("side") == side).select("feature", F.col("n").alias(f"n_{side}"))
         g = g.join(cnt, ["feature", "bin"], "left").join(t, "feature", "left")
     bb = F.greatest(F.coalesce(F.col("c_base"), F.lit(0)) / F.greatest(F.coalesce("n_base", F.lit(0)), F.lit(1)),

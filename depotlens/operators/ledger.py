@@ -170,3 +170,20 @@ def invoice_lines(lines: DataFrame, invoices: DataFrame, products: DataFrame, ba
                     F.coalesce(F.col("mrp").cast("double"), F.lit(0.0)).alias("mrp"),
                     F.coalesce(F.col("ptr").cast("double"), F.lit(0.0)).alias("ptr"),
                     F.coalesce(F.col("gst_percent"), F.lit(0.0)).alias("gst_percent"))
+
+
+def confirm_invoice(batches: DataFrame, invoices: DataFrame, lines: DataFrame, products: DataFrame,
+                    receipts: DataFrame, raw_names: DataFrame | None, as_of: str) -> dict:
+    """L-8: confirming invoices = stock-in of their lines (L-6), the lines
+    kept as invoice lines, the invoices set SETTLED and the raw product
+    texts added to the aliases (L-9).  ``receipts`` are the confirmed lines
+    in stock-in form (depot, product, batch_number, expiry_date, quantity,
+    invoice_id).  Returns the new tables."""
+    merged, moves = apply_stock_in(batches, receipts.drop("invoice_id"), as_of)
+    confirmed = receipts.select("invoice_id").distinct()
+    inv = invoices.join(confirmed.withColumn("_c", F.lit(True)), F.col("id") == F.col("invoice_id"), "left") \
+                  .withColumn("status", F.when(F.col("_c"), F.lit("SETTLED")).otherwise(F.col("status"))) \
+                  .drop("_c", "invoice_id")
+    prods = enrich_aliases(products, raw_names) if raw_names is not None else products
+    kept_lines = lines.join(confirmed, "invoice_id", "left_semi")
+    return {"batches": merged, "movements": moves, "invoices": inv, "products": prods, "lines": kept_lines}

@@ -937,3 +937,16 @@ ORACLE["compliance_snapshot"] = _CC.replace("WITH ", "WITH depots AS (" + CTES_D
            CASE WHEN coalesce(a.n, 0) = 0 THEN 'ok' ELSE 'attention' END AS status
     FROM depots d LEFT JOIN (SELECT depot_id, count(*) AS n FROM flagged WHERE is_excursion GROUP BY depot_id) a
          ON a.depot_id = d.depot_id"""
+ORACLE["confirm_invoice"] = with_tables("invoices", "batches", "supplier_depot", extra=[LINES]) + f"""
+    SELECT i.id, CASE WHEN c.invoice_id IS NOT NULL THEN 'SETTLED' ELSE i.status END AS status
+    FROM invoices i LEFT JOIN (
+        SELECT DISTINCT l.invoice_id FROM lines l
+        JOIN (SELECT id FROM invoices WHERE invoice_date > {AS_OF} - 30) r ON r.id = l.invoice_id
+        JOIN batches b ON b.batch_id = l.batch_id) c ON c.invoice_id = i.id"""
+ORACLE["category_codes"] = with_tables("products", "depots", "stock_movements", extra=SALES_CTES) + """
+    SELECT kind, value, CAST(row_number() OVER (PARTITION BY kind ORDER BY value) - 1 AS INTEGER) AS code
+    FROM (SELECT DISTINCT 'product_category' AS kind, product_category AS value FROM sales
+          WHERE product_category IS NOT NULL
+          UNION SELECT DISTINCT 'depot_region', depot_region FROM sales WHERE depot_region IS NOT NULL)"""
+ORACLE["scope_to_depot"] = _rewrite_round(R6(with_tables("stock_movements") +
+                                             "SELECT * FROM stock_movements WHERE depot_id = 'ASIA'", ["quantity"]))

@@ -771,3 +771,27 @@ def q_compliance_snapshot(spark, sf_dir):
     status = c.depots.select("depot_id", F.lit("SUCCESS").alias("status"))
     alerts = decisions.notify_queue(status, coldchain.excursion_alerts(_flagged(c)), c.as_of)
     return decisions.compliance_snapshot(c.depots, alerts)
+
+
+@register("confirm_invoice")
+def q_confirm_invoice(spark, sf_dir):
+    from pyspark.sql import functions as F
+    c = Catalog(spark, sf_dir)
+    i = c.invoices.where(F.col("invoice_date") > F.date_sub(F.lit(c.as_of).cast("date"), 30)) \
+                  .select(F.col("id").alias("invoice_id"))
+    l = c.invoice_lines.join(i, "invoice_id").join(
+        c.batches.select("batch_id", "depot_id", "batch_number", "expiry_date"), "batch_id")
+    receipts = l.select("invoice_id", "depot_id", "product_id", "batch_number", "expiry_date", "quantity")
+    out = ledger.confirm_invoice(c.batches, c.invoices, c.invoice_lines, c.products, receipts, None, c.as_of)
+    return out["invoices"].select("id", "status")
+
+
+@register("category_codes")
+def q_category_codes(spark, sf_dir):
+    c = Catalog(spark, sf_dir)
+    return demand.category_codes(demand.fill_missing_dates(_sales(c)))
+
+
+@register("scope_to_depot")
+def q_scope_to_depot(spark, sf_dir):
+    return rounded(quality.scope_to_depot(Catalog(spark, sf_dir).movements, "ASIA"))
