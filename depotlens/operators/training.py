@@ -210,6 +210,7 @@ def train_demand(features: DataFrame, feature_cols: list[str], label: str = "uni
     va = VectorAssembler(inputCols=feature_cols, outputCol="features", handleInvalid="keep")
     gbt = GBTRegressor(featuresCol="features", labelCol=label, maxIter=max_iter, maxDepth=6, stepSize=0.05,
                        subsamplingRate=0.8, seed=seed, validationIndicatorCol="is_val", validationTol=1e-4)
+    data = data.checkpoint(eager=True)  # every boosting round re-reads it
     model = Pipeline(stages=[va, gbt]).fit(data)
     pred = model.transform(data.where("is_val")).withColumn("prediction", F.greatest(F.col("prediction"), F.lit(0.0)))
     return model, pred
@@ -238,7 +239,7 @@ def train_expiry(features: DataFrame, feature_cols: list[str], num_trees: int =
     lab = features.where(F.col("label").isNotNull()).withColumn("label", F.col("label").cast("double"))
     counts = lab.groupBy("label").agg(F.count(F.lit(1)).alias("n_c"))
     n = lab.agg(F.count(F.lit(1))).scalar()
-    w = lab.join(counts, "label").withColumn("weight", n / (2.0 * F.col("n_c")))
+    w = lab.join(counts, "label").withColumn("weight", n / (2.0 * F.col("n_c"))).checkpoint(eager=True)
     va = VectorAssembler(inputCols=feature_cols, outputCol="features", handleInvalid="keep")
     rf = RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="weight", numTrees=num_trees,
                                 maxDepth=8, minInstancesPerNode=5, seed=seed)

@@ -635,14 +635,16 @@ def q_demand_forecast_model(spark, sf_dir):
     c = Catalog(spark, sf_dir)
     from ..config import DEFAULTS
     f = demand.demand_features(demand.fill_missing_dates(_sales(c)), DEFAULTS["festival_dates"])
+    f = f.checkpoint(eager=True)  # read by every boosting round and by the scoring pass
     model, _ = training.train_demand(f, demand.FEATURE_COLS, max_iter=20)
     return training.demand_forecast_model(model, f)
 
 
 @register("expiry_risk_model")
 def q_expiry_risk_model(spark, sf_dir):
-    c = Catalog(spark, sf_dir)
-    feats = expiry.expiry_features(c.batches, c.products, c.movements, c.as_of)
+    c = Catalog(spark, sf_dir, materialize=True)
+    # read by the forest, the calibration and the scoring pass: write once
+    feats = expiry.expiry_features(c.batches, c.products, c.movements, c.as_of).checkpoint(eager=True)
     forest, iso = training.train_expiry(feats, expiry.FEATURE_COLS, num_trees=30)
     from pyspark.sql import functions as F
     scored = training.score_expiry(forest, iso, feats).select(
