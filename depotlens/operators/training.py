@@ -153,15 +153,21 @@ def auc(scored: DataFrame, label: str = "label", score: str = "score") -> DataFr
 def recall_threshold(scored: DataFrame, target: float = 0.85, label: str = "label", score: str = "score"
                      ) -> DataFrame:
     """M-7: highest score threshold whose recall (TP at score ≥ t ÷ P) reaches
-    the target, else 0.5.  Counts per distinct score, then a running sum
-    over the distinct scores."""
-    per = scored.groupBy(F.col(score).alias("t")).agg(F.count_if(F.col(label) == 1).alias("tp"))
-    w = Window.orderBy(F.col("t").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    cum = per.withColumn("ctp", F.sum("tp").over(w))
+    the target, else 0.5.
+
+    That threshold is the K-th largest positive score with K = ⌈target·P⌉
+    (a larger threshold keeps fewer than K positives), so it is found with
+    the skew-safe rank over the positives – no running sum over all
+    distinct scores in one task.  With no positives every threshold
+    qualifies and the largest score is returned."""
+    pos = scored.where(F.col(label) == 1).select(F.col(score).cast("double").alias("_s"), F.lit(0).alias("_all"))
     P = scored.agg(F.count_if(F.col(label) == 1)).scalar()
-    ok = cum.where(F.col("ctp") >= F.lit(target) * P)
-    best = ok.agg(F.max("t")).scalar()
-    return scored.sparkSession.range(1).select(F.coalesce(best, F.lit(0.5)).alias("threshold"))
+    k = F.ceil(F.lit(float(target)) * P)
+    ranked = rank_within(pos, ["_all"], [F.col("_s").desc()], name="_r")
+    kth = ranked.where(F.col("_r") == k).agg(F.max("_s")).scalar()
+    top = scored.agg(F.max(F.col(score).cast("double"))).scalar()
+    return scored.sparkSession.range(1).select(
+        F.coalesce(F.when(P == 0, top).otherwise(kth), F.lit(0.5)).alias("threshold"))
 
 
 def confusion(scored: DataFrame, threshold: float, label: str = "label", score: str = "score") -> DataFrame:
