@@ -29,20 +29,20 @@ def test_match_products_equals_full_cross_product(spark):
     raws = ["500mg paracetamol", "ibuprofen 40mg", "amoxcillin 250mg", "brufen", "zzz", "cetirizine", "azithromycn"]
     raw = spark.createDataFrame([(r,) for r in raws], "raw_name string")
     got = {r.raw_name: (r.matched_name, r.product_id) for r in invoices.match_products(raw, prods).collect()}
+    # brute force over every choice, in the reference's order: canonical names
+    # sorted, each followed by its aliases; the first best score wins
     choices = []
-    for i, m in enumerate(master):
-        choices.append((m, f"P{i}"))
-        choices += [(a, f"P{i}") for a in (aliases.get(m) or [])]
-    order = sorted(choices, key=lambda c: [x for x in master].index(c[0]) if c[0] in master else 0)
+    for m in sorted(master):
+        pid = f"P{master.index(m)}"
+        choices.append((m, pid))
+        choices += [(a, pid) for a in (aliases.get(m) or [])]
     for r in raws:
         best = None
-        for name, pid in sorted(choices, key=lambda c: (sorted(master).index(
-                next(m for m, p in zip(master, [f"P{i}" for i in range(5)]) if p == c[1])), c[0] not in master)):
+        for name, pid in choices:
             s = token_sort_ratio(r, name)
             if s >= 75 and (best is None or s > best[0]):
                 best = (s, name, pid)
         assert got.get(r) == ((best[1], best[2]) if best else None), r
-    del order
 
 
 def test_stock_out_fold(spark):
