@@ -109,8 +109,10 @@ def demand_features(filled: DataFrame, festival_dates: list[str] | None = None,
         F.col("value").alias("product_category"), F.col("code").alias("product_category_enc"))
     reg = codes.where(F.col("kind") == "depot_region").select(
         F.col("value").alias("depot_region"), F.col("code").alias("depot_region_enc"))
-    df = (df.join(F.broadcast(cat), "product_category", "left")
-            .join(F.broadcast(reg), "depot_region", "left")
+    # code tables are one row per distinct value; AQE broadcasts them after
+    # measuring them (no unconditional hint: their size comes from the data)
+    df = (df.join(cat, "product_category", "left")
+            .join(reg, "depot_region", "left")
             .withColumn("product_category_enc", F.coalesce("product_category_enc", F.lit(-1)))
             .withColumn("depot_region_enc", F.coalesce("depot_region_enc", F.lit(-1)))
             .withColumn("is_cold_chain", F.col("is_cold_chain").cast("int")))
