@@ -53,7 +53,8 @@ def q_daily_demand(spark, sf_dir):
 
 @register("fill_missing_dates")
 def q_fill_missing_dates(spark, sf_dir):
-    return rounded(demand.fill_missing_dates(_sales(Catalog(spark, sf_dir))))
+    # the daily aggregate feeds the bounds, the pairs and the measures: write it once
+    return rounded(demand.fill_missing_dates(_sales(Catalog(spark, sf_dir)).checkpoint(eager=True)))
 
 
 def _features_cols(df):
@@ -110,7 +111,9 @@ def q_stock_ledger(spark, sf_dir):
 @register("stock_by_product")
 def q_stock_by_product(spark, sf_dir):
     c = Catalog(spark, sf_dir)
-    return rounded(ledger.stock_by_product(ledger.stock_ledger(c.batches, c.products, c.movements, c.as_of)))
+    # the ledger feeds both the rows and the per-product totals: write it once
+    led = ledger.stock_ledger(c.batches, c.products, c.movements, c.as_of).checkpoint(eager=True)
+    return rounded(ledger.stock_by_product(led))
 
 
 @register("batch_timeline")
