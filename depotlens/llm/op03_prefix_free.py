@@ -21,22 +21,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .repeats import Rule, remove_repeats
+from .repeats import Rule, remove_repeats, text_id
 from .scratch import public_id, row_id, table
 
 WIDTH = 400
 GRAM = 200  # trigger length: a text holds about 2 triggers per WIDTH - GRAM + 1 bytes
 
 
-def prefix_free_dedup(docs: DataFrame, width: int = WIDTH, gram: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def prefix_free_dedup(docs: DataFrame, width: int = WIDTH, gram: int | None = None, piece: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans,
     kept_sha256 and ``kept`` (the remaining bytes, null where none went)."""
     gram = gram or max(1, width // 2)
-    done = remove_repeats(docs, Rule("byte", width, gram, earlier=False), id_col, text_col).dropDuplicates(["rid", "whole"])
+    done = remove_repeats(docs, Rule("byte", width, gram, piece if width - gram > 2 * piece else 0, earlier=False), id_col, text_col).dropDuplicates(["rid", "tx"])
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(row_id(id_col).alias("rid"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"))
+    base = docs.select(row_id(id_col).alias("rid"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"), text_id(text_col).alias("tx"))
     zero = F.lit(0).cast("long")
-    return base.join(done, ["rid", "whole"], "left").select(
+    return base.join(done, ["rid", "tx"], "left").select(
         public_id("rid").alias("doc_id"), "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"),
         F.coalesce("kept_sha256", "whole").alias("kept_sha256"), "kept")
 

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .repeats import Rule, remove_repeats
+from .repeats import Rule, remove_repeats, text_id
 from .scratch import public_id, row_id, table
 
 WIDTH = 13
@@ -33,13 +33,13 @@ def relative_lz_dedup(docs: DataFrame, width: int = WIDTH, gram: int | None = No
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256,
     n_spans and ``kept`` (the remaining words, null where none went)."""
     gram = gram or max(1, width // 2)
-    done = remove_repeats(docs, Rule("word", width, gram, earlier=True), id_col, text_col).dropDuplicates(["rid", "whole"])
+    done = remove_repeats(docs, Rule("word", width, gram, piece=0, earlier=True), id_col, text_col).dropDuplicates(["rid", "tx"])
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    base = docs.select(row_id(id_col).alias("rid"), F.sha2(text, 256).alias("whole"), words.alias("words")).select(
-        "rid", "whole", F.size("words").cast("long").alias("n_words"), F.sha2(F.concat_ws(" ", "words"), 256).alias("all_sha256"))
+    base = docs.select(row_id(id_col).alias("rid"), text_id(text_col).alias("tx"), words.alias("words")).select(
+        "rid", "tx", F.size("words").cast("long").alias("n_words"), F.sha2(F.concat_ws(" ", "words"), 256).alias("all_sha256"))
     zero = F.lit(0).cast("long")
-    return base.join(done, ["rid", "whole"], "left").select(
+    return base.join(done, ["rid", "tx"], "left").select(
         public_id("rid").alias("doc_id"), "n_words", F.coalesce("n_removed", zero).alias("n_removed"),
         F.coalesce("kept_sha256", "all_sha256").alias("kept_sha256"), F.coalesce("n_spans", zero).alias("n_spans"), "kept")
 

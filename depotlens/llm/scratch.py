@@ -6,6 +6,7 @@ the tables of a session once its results are written.
 """
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,28 +14,42 @@ from pyspark.sql import functions as F
 
 from depotlens.session import ensure_checkpoint_dir
 
-_WRITTEN: list[str] = []
+_WRITTEN: dict[str, list[str]] = {}
 NULL_ID = -(2 ** 63)
 
 
-def cut(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back."""
+def cut(df: DataFrame, name: str = "t", frees: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back.
+
+    ``frees``: earlier results of ``cut`` that nothing needs from now on; their
+    files go.  The driver then collects its garbage, so that Spark's cleaner
+    drops the shuffle files of the finished step while the job goes on.
+    """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex[:12]}/{name}"
+    schema = df.schema
     df.write.parquet(path)
-    _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    for old in frees:
+        _drop(spark, {f.rsplit("/", 1)[0] for f in old.inputFiles()})
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Delete the tables written by ``cut`` (call after results are stored)."""
-    jvm = spark.sparkContext._jvm
+def _drop(spark: SparkSession, paths) -> None:
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop()).getParent()
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
 
 
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete the tables written by ``cut`` (call after results are stored)."""
+    _drop(spark, [p.rsplit("/", 1)[0] for p in _WRITTEN.pop(spark.sparkContext.applicationId, [])])
+
+
 def row_id(col: str = "doc_id") -> Column:
     """Join key of a row: a null id becomes the smallest long."""
     return F.coalesce(F.col(col).cast("long"), F.lit(NULL_ID))

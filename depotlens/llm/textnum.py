@@ -151,13 +151,14 @@ def runs(h: Hasher, off: np.ndarray, k: int, width: int):
     a function of the window's own content, so equal windows have equal
     triggers at equal offsets wherever they stand.  A run is the starts
     ``lo..hi`` that share one trigger position; its phrase is the symbols
-    ``lo .. hi + width``.  Returns (text index, lo, hi, key = trigger hash).
+    ``lo .. hi + width``.  Returns (text index, lo, hi, trigger position, key =
+    trigger hash).
     """
     grams = h.grams(k)
     n = len(h.prefix) - 1
     if n < width:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U64),)
-    at = _sliding_argmin(grams, width - k + 1)
+        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, U64),)
+    at = _sliding_argmin(grams, width - k + 1)  # trigger of the window from each start
     valid = np.zeros(n - width + 2, bool)
     fits = off[1:] - off[:-1] >= width
     mark = np.zeros(n + 2, np.int64)
@@ -170,7 +171,7 @@ def runs(h: Hasher, off: np.ndarray, k: int, width: int):
     last = valid.copy()
     last[:-1] &= ~valid[1:] | (at[1:] != at[:-1])
     lo, hi = np.flatnonzero(first), np.flatnonzero(last)
-    return np.searchsorted(off, lo, side="right") - 1, lo, hi, grams[at[lo]]
+    return np.searchsorted(off, lo, side="right") - 1, lo, hi, at[lo], grams[at[lo]]
 
 
 def expand(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
