@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -50,13 +51,17 @@ class _Cuts:
 
     def __init__(self, buf: np.ndarray, off: np.ndarray, rule: Rule):
         if rule.unit == "byte":
-            first, second, self.off = buf, buf, off
+            self.symbols, self.off = (lambda seed: buf), off
         else:
             w = X.Words(buf, off)
-            first, second, self.off = w.hashes(0), w.hashes(1), w.offsets
-        self.h0, self.h1, self.width = X.Hasher(first, 0), X.Hasher(second, 1), rule.width
+            self.symbols, self.off = w.hashes, w.offsets
+        self.h0, self.width = X.Hasher(self.symbols(0), 0), rule.width
         self.doc, self.lo, self.hi, self.at, self.key = X.runs(self.h0, self.off, rule.gram, rule.width)
 
+    @cached_property
+    def h1(self) -> X.Hasher:
+        return X.Hasher(self.symbols(1), 1)
+
     def pick(self, mask: np.ndarray) -> None:
         self.doc, self.lo, self.hi, self.at, self.key = self.doc[mask], self.lo[mask], self.hi[mask], self.at[mask], self.key[mask]
 
@@ -213,8 +218,8 @@ def remove_repeats(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col
         return rows.join(reps, [*FOUND, "rid", "tx"], "left_semi").groupBy("rid", "tx").agg(F.collect_set("lo").alias("asked"))
 
     twice = cut(again(triggers(), "key").select("key"), "twice")
-    found = cut(triggers().join(twice, "key", "left_semi").groupBy("rid").agg(F.collect_set("key").alias("keys")), "found")
-    near = cut(texts.withColumn("tx", text_id("text")).join(found, "rid"), "near")
+    found = cut(triggers().join(twice, "key", "left_semi").groupBy("rid").agg(F.collect_set("key").alias("keys")), "found", frees=(twice,))
+    near = cut(texts.withColumn("tx", text_id("text")).join(found, "rid"), "near", frees=(found,))
 
     rows = cut(near.mapInArrow(_phrases(rule), SENT), "phrases")
     marks = cut(ranges(rows, cut(again(rows, *FOUND), "whole")), "marks")

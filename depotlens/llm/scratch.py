@@ -28,7 +28,7 @@ def cut(df: DataFrame, name: str = "t", frees: tuple[DataFrame, ...] = ()) -> Da
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex[:12]}/{name}"
     schema = df.schema
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     del df
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     for old in frees:
