@@ -1,13 +1,14 @@
 """Registered queries of the subpackage, with their DuckDB SQL where there is one."""
 from __future__ import annotations
 
-from . import op01_token_counts, op02_tree_merge, op03_prefix_free, op06_sentencepiece, op08_relative_lz, op09_source_schedule
+from . import op01_token_counts, op02_tree_merge, op03_prefix_free, op06_sentencepiece, op07_lattice_lm, op08_relative_lz, op09_source_schedule
 
 QUERIES = {
     "op1_token_counts": op01_token_counts.op1_token_counts,
     "op2_tree_merge": op02_tree_merge.op2_tree_merge,
     "op3_prefix_free_dedup": op03_prefix_free.op3_prefix_free_dedup,
     "op6_sentencepiece": op06_sentencepiece.op6_sentencepiece,
+    "op7_lattice_lm": op07_lattice_lm.op7_lattice_lm,
     "op8_relative_lz": op08_relative_lz.op8_relative_lz,
     "op9_source_schedule": op09_source_schedule.op9_source_schedule,
 }
