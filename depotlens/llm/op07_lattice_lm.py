@@ -196,7 +196,7 @@ def _score(head: tuple[np.ndarray, np.ndarray, np.ndarray], log_total: float):
                 far = ~known[inverse]
                 pair, n = np.unique(w.doc[far].astype(np.int64) * (len(uniq) + 1) + inverse[far], return_counts=True)
                 tail = pa.StructArray.from_arrays([pa.array(uniq[pair % (len(uniq) + 1)]), pa.array(n.astype(np.int64))], ["h", "k"])
-                sums = [np.bincount(w.doc, x[inverse], k) for x in (base, p, (c > 0).astype(float))]
+                sums = [np.bincount(w.doc, x[inverse], k).astype(np.float64) for x in (base, p, (c > 0).astype(float))]
                 yield pa.RecordBatch.from_arrays(
                     [b.column(b.schema.get_field_index("doc_id")).slice(lo, k), b.column(b.schema.get_field_index("train")).slice(lo, k),
                      pa.array(np.bincount(w.doc, minlength=k).astype(np.int64)), *(pa.array(x) for x in sums),
