@@ -60,6 +60,6 @@ def test_head_and_tail_agree_and_edges(spark):
     b = sorted(map(tuple, lattice_scores(df, F.lit(True), head=1).collect()), key=str)
     assert len(a) == len(rows)
     for x, y in zip(a, b):
-        assert x == pytest.approx(y, rel=1e-9)
+        assert x[:5] == y[:5] and x[5:] == pytest.approx(y[5:], rel=1e-9)
     assert lattice_scores(df.limit(0), F.lit(True)).count() == 0
     assert all(r.score < 0 for r in lattice_scores(df, F.lit(False)).collect())
