@@ -1,12 +1,14 @@
 """Registered queries of the subpackage, with their DuckDB SQL where there is one."""
 from __future__ import annotations
 
-from . import op01_token_counts, op02_tree_merge, op03_prefix_free, op06_sentencepiece, op07_lattice_lm, op08_relative_lz, op09_source_schedule
+from . import op01_token_counts, op02_tree_merge, op03_prefix_free, op04_toxicity, op05_projection_forest, op06_sentencepiece, op07_lattice_lm, op08_relative_lz, op09_source_schedule
 
 QUERIES = {
     "op1_token_counts": op01_token_counts.op1_token_counts,
     "op2_tree_merge": op02_tree_merge.op2_tree_merge,
     "op3_prefix_free_dedup": op03_prefix_free.op3_prefix_free_dedup,
+    "op4_toxicity": op04_toxicity.op4_toxicity,
+    "op5_projection_forest": op05_projection_forest.op5_projection_forest,
     "op6_sentencepiece": op06_sentencepiece.op6_sentencepiece,
     "op7_lattice_lm": op07_lattice_lm.op7_lattice_lm,
     "op8_relative_lz": op08_relative_lz.op8_relative_lz,
@@ -15,6 +17,7 @@ QUERIES = {
 
 ORACLE = {
     "op2_tree_merge": op02_tree_merge.SQL,
+    "op5_projection_forest": op05_projection_forest.SQL,
     "op8_relative_lz": op08_relative_lz.SQL,
     "op9_source_schedule": op09_source_schedule.SQL,
 }
