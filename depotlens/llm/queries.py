@@ -1,7 +1,7 @@
 """Registered queries of the subpackage, with their DuckDB SQL where there is one."""
 from __future__ import annotations
 
-from . import op01_token_counts, op02_tree_merge, op03_prefix_free, op04_toxicity, op05_projection_forest, op06_sentencepiece, op07_lattice_lm, op08_relative_lz, op09_source_schedule
+from . import op01_token_counts, op02_tree_merge, op03_prefix_free, op04_toxicity, op05_projection_forest, op06_sentencepiece, op07_lattice_lm, op08_relative_lz, op09_source_schedule, op10_parity_sketch
 
 QUERIES = {
     "op1_token_counts": op01_token_counts.op1_token_counts,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_lattice_lm": op07_lattice_lm.op7_lattice_lm,
     "op8_relative_lz": op08_relative_lz.op8_relative_lz,
     "op9_source_schedule": op09_source_schedule.op9_source_schedule,
+    "op10_parity_sketch": op10_parity_sketch.op10_parity_sketch,
 }
 
 ORACLE = {
@@ -20,4 +21,5 @@ ORACLE = {
     "op5_projection_forest": op05_projection_forest.SQL,
     "op8_relative_lz": op08_relative_lz.SQL,
     "op9_source_schedule": op09_source_schedule.SQL,
+    "op10_parity_sketch": op10_parity_sketch.SQL,
 }
