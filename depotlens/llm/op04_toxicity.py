@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import textnum as X
 from .scratch import small_batches, table
@@ -269,6 +270,19 @@ def toxicity(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def with_scores(docs: DataFrame, model: Model | None, text_col: str = "text", name: str = "toxic_score") -> DataFrame:
+    """``docs`` with one column more, the score of its text; no row moves."""
+    small_batches(docs.sparkSession)
+    rows = docs.drop(name)
+
+    def run(batches):
+        for b in batches:
+            parts = [model.score(margins(buf, off, model.weight)) if model else np.zeros(hi - lo) for lo, hi, buf, off in X.chunks(X.text_column(b, text_col))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate([np.zeros(0), *parts]))], [*b.schema.names, name])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(name, DoubleType())]))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity(docs, train(docs, table(spark, sf_dir, "labels")))

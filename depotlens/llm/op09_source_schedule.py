@@ -58,11 +58,11 @@ def targets(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: int =
 def source_schedule(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: int = 2, block: int | None = None, seed: str = "mix",
                     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per row of ``docs``: doc_id, source, size, source_size, target,
-    taken.  ``block`` defaults to total / 2**17 words, within 16..1024."""
+    taken, text_key (xxhash64 of the text).  ``block`` defaults to total / 2**17 words, within 16..1024."""
     spark = docs.sparkSession
     rows = cut(docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))).alias("h")), "sizes")
+        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))).alias("h")), "sizes")
     src = cut(targets(rows, weights, share, most), "targets")
     total, goal = src.agg(F.sum("source_size"), F.sum("target")).first()
     block = block or max(16, min(1024, int((total or 0) // 2 ** 17)))
@@ -92,11 +92,11 @@ def source_schedule(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most
     part = F.expr(f"least(at + size, (k + 1) * {block}) - greatest(at, k * {block})")
     taken = piece.join(slot, ["src", "k"]).groupBy("src", "start").agg(F.sum(part).alias("taken"))
     return rows.join(taken, ["src", "start"], "left").select(
-        "doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long").alias("taken"))
+        "doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long").alias("taken"), "text_key")
 
 
 def op9_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_schedule(table(spark, sf_dir, "documents"))
+    return source_schedule(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 SQL = r"""
