@@ -76,9 +76,9 @@ def text_column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return pc.fill_null(col.cast(pa.large_string()), "")
 
 
-def chunks(col: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(col: pa.Array, limit: int = CHUNK, rows: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of groups of whole texts of at
-    most ``limit`` bytes; a longer text is a group of its own."""
+    most ``limit`` bytes and ``rows`` rows; a longer text is a group of its own."""
     n = len(col)
     if n == 0:
         return
@@ -87,7 +87,7 @@ def chunks(col: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.nda
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     lo = 0
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + limit, side="right")) - 1)
+        hi = min(lo + rows, max(lo + 1, int(np.searchsorted(off, off[lo] + limit, side="right")) - 1))
         yield lo, hi, data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo]
         lo = hi
 
