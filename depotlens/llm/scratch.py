@@ -7,6 +7,7 @@ the tables of a session once its results are written.
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,9 +34,17 @@ def cut(df: DataFrame, name: str = "t", frees: tuple[DataFrame, ...] = ()) -> Da
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     for old in frees:
         _drop(spark, {f.rsplit("/", 1)[0] for f in old.inputFiles()})
+    _collect_garbage(spark)
+    return spark.read.schema(schema).parquet(path)
+
+
+def _collect_garbage(spark: SparkSession) -> None:
+    """Twice, with a pause: the first run lets go of the finished query, whose
+    end the listeners report a moment later."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    time.sleep(0.2)
+    spark.sparkContext._jvm.System.gc()
 
 
 def _drop(spark: SparkSession, paths) -> None:
