@@ -81,7 +81,7 @@ def source_schedule(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most
 
     # the shuffled stream of every source
     ids = src.select("source", "src", "source_size", "target")
-    rows = rows.join(ids, rows["source"].eqNullSafe(ids["source"])).drop(ids["source"]).withColumn("b", F.substring("h", 1, 4))
+    rows = rows.join(ids, rows["source"].eqNullSafe(ids["source"])).drop(ids["source"]).withColumn("b", F.substring("h", 1, 3))
     sums = rows.groupBy("src", "b").agg(F.sum("size").alias("n")).withColumn(
         "ahead", F.coalesce(F.sum("n").over(Window.partitionBy("src").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = F.coalesce(F.sum("size").over(Window.partitionBy("src", "b").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
