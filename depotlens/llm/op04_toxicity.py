@@ -136,7 +136,7 @@ def _windows(words: list[bytes], context: list[tuple[bytes, bytes]]) -> np.ndarr
     return out
 
 
-def _stems(stems: list[set[bytes]], seen: list[dict[bytes, int]], bad: np.ndarray, clean: np.ndarray) -> set[bytes]:
+def _stems(stems: dict[int, set[bytes]], seen: list[dict[bytes, int]], bad: np.ndarray, clean: np.ndarray) -> set[bytes]:
     """A small set of stems that covers the toxic documents: again and again
     the one that most of the documents not yet covered hold."""
     need = max(3, SHARE * len(bad))
@@ -163,26 +163,36 @@ def fit(texts: list[bytes], toxic: np.ndarray, seed: int = 7) -> Model | None:
     bad, clean = np.flatnonzero(toxic == 1), np.flatnonzero(toxic == 0)
     if not len(bad) or not len(clean):
         return None
-    lowered = [X.LOWER[np.frombuffer(t, np.uint8)].tobytes().split() for t in texts]
     edge = b".,;:!?\"'()*[]|-_"
-    stems = [{w[:k] for w in {x.strip(edge) for x in words} for k in STEM if len(w) >= k} for words in lowered]
+
+    def split(i: int) -> list[bytes]:
+        return X.LOWER[np.frombuffer(texts[i], np.uint8)].tobytes().split()
+
+    def stems_of(i: int) -> set[bytes]:
+        return {w[:k] for w in {x.strip(edge) for x in split(i)} for k in STEM if len(w) >= k}
+
+    lowered = {int(i): split(i) for i in bad}
+    stems = {int(i): stems_of(i) for i in bad}
     seen: list[dict[bytes, int]] = [{}, {}]
-    for i, own in enumerate(stems):
-        d = seen[int(toxic[i])]
+    for own in stems.values():
         for w in own:
-            d[w] = d.get(w, 0) + 1
+            seen[1][w] = seen[1].get(w, 0) + 1
+    often = {w for w, k in seen[1].items() if k >= max(3, SHARE * len(bad))}
+    for i in clean:
+        for w in stems_of(i) & often:
+            seen[0][w] = seen[0].get(w, 0) + 1
     marked = _stems(stems, seen, bad, clean)
 
     def sample(docs, n):
         out, ctx = [], []
         for _ in range(n):
-            ws = lowered[rng.choice(docs)] or [b" "]
+            ws = split(rng.choice(docs)) or [b" "]
             j = int(rng.integers(len(ws)))
             out.append(ws[j])
             ctx.append((b" ", b" ".join(ws[j + 1:j + 4])))
         return out, ctx
 
-    places = [(i, j) for i in bad for j, w in enumerate(lowered[i]) if any(w.strip(edge)[:k] in marked for k in STEM)]
+    places = [(i, j) for i in bad.tolist() for j, w in enumerate(lowered[i]) if any(w.strip(edge)[:k] in marked for k in STEM)]
     places = [places[k] for k in rng.permutation(len(places))[:3000]]
     words, ctx = [lowered[i][j].strip(edge) for i, j in places], [(b" ", b" ".join(lowered[i][j + 1:j + 4])) for i, j in places]
     for i in range(0, len(words), 6):  # some with inserted characters
@@ -224,7 +234,7 @@ def fit(texts: list[bytes], toxic: np.ndarray, seed: int = 7) -> Model | None:
     return Model(weight, bias, slope / scale, offset)
 
 
-def _kernel(symbols: np.ndarray, fz: np.ndarray, step: int = 512) -> np.ndarray:
+def _kernel(symbols: np.ndarray, fz: np.ndarray, step: int = 128) -> np.ndarray:
     return np.concatenate([features(symbols[a:a + step]) @ fz.T for a in range(0, len(symbols), step)]).astype(np.float64)
 
 
@@ -246,11 +256,17 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
     """Fit on a bounded sample of the rows of ``docs`` that ``labels`` marks
     and whose crc32(id) mod 3 is not 1."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter((F.crc32(F.col("id").cast("string")) % 3 != 1) & (F.octet_length("text") <= SAMPLE_BYTES))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), F.octet_length(text).alias("size")).filter((F.crc32(F.col("id").cast("string")) % 3 != 1) & (F.col("size") <= SAMPLE_BYTES))
     marks = labels.filter("toxic is not null").groupBy(F.col(id_col).alias("id")).agg(F.max("toxic").alias("toxic"))
     rows = rows.join(marks, "id").withColumn("h", F.xxhash64("id"))
-    got = [r for k in (0, 1) for r in rows.filter(F.col("toxic") == k).orderBy("h", "id").limit(per_class).collect()]
-    return fit([r.text.encode() for r in got], np.array([r.toxic for r in got], np.int64))
+    # first the ids of the sample, then their texts, so that no other text moves
+    chosen = {r.id: int(r.toxic) for k in (0, 1) for r in rows.filter(F.col("toxic") == k).select("id", "toxic", "h").orderBy("h", "id").limit(per_class).collect()}
+    if not chosen:
+        return None
+    got = docs.filter(F.col(id_col).isin(list(chosen)) & (F.octet_length(text) <= SAMPLE_BYTES)).select(F.col(id_col).alias("id"), text.alias("text")).collect()
+    got = [(chosen[r.id], r.text) for r in sorted(got, key=lambda r: (r.id, r.text))]
+    return fit([t.encode() for _, t in got], np.array([k for k, _ in got], np.int64))
 
 
 def _scored(model: Model | None):

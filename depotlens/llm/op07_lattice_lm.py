@@ -151,11 +151,24 @@ def _words():
     return run
 
 
+def _gathered(batches, rows: int = 1 << 16):
+    """The same rows in larger batches: the recursions run over many words at once."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if n:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _expect(path: str, weight: np.ndarray):
     def run(batches):
         lat = lattice(path)
         total = np.zeros(len(weight))
-        for b in batches:
+        for b in _gathered(batches):
             words = b.column(0).to_pylist()
             total += lat.expected(words, np.ones(len(words)), weight)
         at = np.flatnonzero(total)
@@ -167,7 +180,7 @@ def _marginal(path: str, weight: np.ndarray, total: int, kinds: int):
     def run(batches):
         lat = lattice(path)
         rest = math.log(DISCOUNT * kinds / total) if total and kinds else 0.0
-        for b in batches:
+        for b in _gathered(batches):
             seen = np.maximum(b.column(1).to_numpy(zero_copy_only=False) - DISCOUNT, 1e-300) / max(total, 1)
             words = b.column(0).to_pylist()
             flat = np.frombuffer(b"".join(words), np.uint8)
