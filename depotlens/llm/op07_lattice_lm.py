@@ -96,13 +96,13 @@ class Lattice:
                 yield part, n + 1, X.Hasher(flat, 0), np.arange(len(part)) * (n + 1)
 
     def arcs(self, n: int, h: X.Hasher, start: np.ndarray):
-        """(end, size, piece ids, mask) of every span that is a piece somewhere."""
+        """(end, size, words, piece ids) of every span that is a piece in some words."""
         for e in range(1, n + 1):
             for size in range(1, min(self.longest, e) + 1):
                 i = self.find(h.slices(start + e - size, start + e))
-                ok = i >= 0
-                if ok.any():
-                    yield e, size, i, ok
+                at = np.flatnonzero(i >= 0)
+                if len(at):
+                    yield e, size, at, i[at]
 
     def log_probability(self, words: list[bytes], weight: np.ndarray) -> np.ndarray:
         """Natural log of the marginal probability of each word."""
@@ -110,8 +110,8 @@ class Lattice:
         for part, n, h, start in self.groups(words):
             forward = np.full((n + 1, len(part)), -np.inf)
             forward[0] = 0
-            for e, size, i, ok in self.arcs(n, h, start):
-                forward[e] = np.logaddexp(forward[e], np.where(ok, forward[e - size] + weight[i], -np.inf))
+            for e, size, at, i in self.arcs(n, h, start):
+                forward[e, at] = np.logaddexp(forward[e, at], forward[e - size, at] + weight[i])
             out[part] = forward[n]
         return out
 
@@ -123,13 +123,13 @@ class Lattice:
             backward = forward.copy()
             forward[0], backward[n] = 0, 0
             arcs = list(self.arcs(n, h, start)) if n <= 64 else None
-            for e, size, i, ok in arcs or self.arcs(n, h, start):
-                forward[e] = np.logaddexp(forward[e], np.where(ok, forward[e - size] + weight[i], -np.inf))
-            for e, size, i, ok in reversed(arcs if arcs is not None else list(self.arcs(n, h, start))):
-                w = np.where(ok, weight[i] + backward[e], -np.inf)
-                share = np.exp(forward[e - size] + w - forward[n]) * count[part]
-                total += np.bincount(np.where(ok, i, 0), np.where(ok, share, 0), len(total))
-                backward[e - size] = np.logaddexp(backward[e - size], w)
+            for e, size, at, i in arcs if arcs is not None else self.arcs(n, h, start):
+                forward[e, at] = np.logaddexp(forward[e, at], forward[e - size, at] + weight[i])
+            for e, size, at, i in reversed(arcs if arcs is not None else list(self.arcs(n, h, start))):
+                w = weight[i] + backward[e, at]
+                share = np.exp(forward[e - size, at] + w - forward[n, at]) * count[part][at]
+                np.add.at(total, i, share)
+                backward[e - size, at] = np.logaddexp(backward[e - size, at], w)
         return total
 
 
