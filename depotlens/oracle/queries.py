@@ -691,7 +691,7 @@ WITH hits AS (
   UNION ALL
   SELECT event_id + 1000000000000, 'ip', 'ip-' || CAST(user_id % 7 AS VARCHAR), CAST(ts AS TIMESTAMP) FROM events),
 l AS (SELECT *, lag(ts) OVER (PARTITION BY kind, key ORDER BY ts, hit_id) AS prev_ts FROM hits),
-s AS (SELECT *, max(CASE WHEN prev_ts IS NULL OR floor(epoch(ts)) - floor(epoch(prev_ts)) > 43200 THEN ts END)
+s AS (SELECT *, max(CASE WHEN prev_ts IS NULL OR floor(epoch(ts)) - floor(epoch(prev_ts)) > 60 THEN ts END)
                   OVER (PARTITION BY kind, key ORDER BY ts, hit_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
                   AS session_start FROM l)
 SELECT hit_id, kind, key, ts, session_start,
@@ -903,7 +903,7 @@ ORACLE["invoice_lines"] = _rewrite_round(R6(with_tables("batches", "invoices", "
 RECEIPTS = ("receipts", f"""
     SELECT b.depot_id, l.product_id, b.batch_number,
            CASE WHEN l.line_no % 2 = 1 THEN b.expiry_date ELSE {AS_OF} + 365 END AS expiry_date, l.quantity
-    FROM lines l JOIN (SELECT id FROM invoices WHERE invoice_date > {AS_OF} - 30) i ON i.id = l.invoice_id
+    FROM lines l JOIN invoices i ON i.id = l.invoice_id
     JOIN batches b ON b.batch_id = l.batch_id""")
 ORACLE["apply_stock_in"] = with_tables("batches", "invoices", "supplier_depot", extra=[LINES, RECEIPTS, (
     "r", "SELECT depot_id, product_id, batch_number, expiry_date, sum(quantity) AS add FROM receipts GROUP BY ALL")]) + \
@@ -941,7 +941,7 @@ ORACLE["confirm_invoice"] = with_tables("invoices", "batches", "supplier_depot",
     SELECT i.id, CASE WHEN c.invoice_id IS NOT NULL THEN 'SETTLED' ELSE i.status END AS status
     FROM invoices i LEFT JOIN (
         SELECT DISTINCT l.invoice_id FROM lines l
-        JOIN (SELECT id FROM invoices WHERE invoice_date > {AS_OF} - 30) r ON r.id = l.invoice_id
+        JOIN (SELECT id FROM invoices) r ON r.id = l.invoice_id
         JOIN batches b ON b.batch_id = l.batch_id) c ON c.invoice_id = i.id"""
 ORACLE["category_codes"] = with_tables("products", "depots", "stock_movements", extra=SALES_CTES) + """
     SELECT kind, value, CAST(row_number() OVER (PARTITION BY kind ORDER BY value) - 1 AS INTEGER) AS code

@@ -445,8 +445,7 @@ def _hits(c: Catalog):
 
 @register("request_bursts")
 def q_request_bursts(spark, sf_dir):
-    # the driver's events are sparse (few gaps ≤ 60 s), so sessions use a 12 h gap here
-    return sessions.request_bursts(_hits(Catalog(spark, sf_dir)), gap_seconds=12 * 3600)
+    return sessions.request_bursts(_hits(Catalog(spark, sf_dir)), gap_seconds=60)
 
 
 # ---------------------------------------------------------------- quality and ingest
@@ -734,11 +733,10 @@ def q_invoice_lines(spark, sf_dir):
 
 
 def _receipts(c: Catalog):
-    """Stock receipts from the order lines of the last 30 days: odd lines
+    """Stock receipts from all order lines: odd lines
     top up the existing batch (same key), even lines carry a new expiry."""
     from pyspark.sql import functions as F
-    i = c.invoices.where(F.col("invoice_date") > F.date_sub(F.lit(c.as_of).cast("date"), 30)) \
-                  .select(F.col("id").alias("invoice_id"))
+    i = c.invoices.select(F.col("id").alias("invoice_id"))
     l = c.invoice_lines.join(i, "invoice_id").join(
         c.batches.select("batch_id", "depot_id", "batch_number", "expiry_date"), "batch_id")
     exp = F.when(F.col("line_no") % 2 == 1, F.col("expiry_date")).otherwise(
@@ -782,8 +780,7 @@ def q_compliance_snapshot(spark, sf_dir):
 def q_confirm_invoice(spark, sf_dir):
     from pyspark.sql import functions as F
     c = Catalog(spark, sf_dir)
-    i = c.invoices.where(F.col("invoice_date") > F.date_sub(F.lit(c.as_of).cast("date"), 30)) \
-                  .select(F.col("id").alias("invoice_id"))
+    i = c.invoices.select(F.col("id").alias("invoice_id"))
     l = c.invoice_lines.join(i, "invoice_id").join(
         c.batches.select("batch_id", "depot_id", "batch_number", "expiry_date"), "batch_id")
     receipts = l.select("invoice_id", "depot_id", "product_id", "batch_number", "expiry_date", "quantity")

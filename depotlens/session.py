@@ -42,19 +42,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the folder is set by the deployment (a shared file system);
-    only when it is unset (unit tests, laptops) do we create a scratch one.
+    only when it is unset on a local master (unit tests, laptops) do we create
+    a scratch one; elsewhere a machine's own folder would be lost with it.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="depotlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     sc.setCheckpointDir(path)
     return path
 
-
-def scratch_table_path(spark: SparkSession, name: str) -> str:
-    """Location for an intermediate table that cuts lineage (under the shared
-    checkpoint folder, so it survives the loss of an executor)."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "tables", name)
