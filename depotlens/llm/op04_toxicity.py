@@ -209,9 +209,6 @@ def fit(texts: list[bytes], toxic: np.ndarray, seed: int = 7) -> Model | None:
             words[i] = w[:j] + w[j - 1:j] + w[j:]
     good = _windows(words, ctx)
     rest = _windows(*sample(clean, 3000))
-    buffers = [np.frombuffer(texts[i], np.uint8) for i in clean]
-    off = np.concatenate([[0], np.cumsum([len(b) for b in buffers])])
-    joined = np.concatenate(buffers) if buffers else np.zeros(0, np.uint8)
     for _ in range(ROUNDS):
         z = np.concatenate([good[rng.choice(len(good), min(len(good), LANDMARKS // 2), replace=False)], rest[-2000:][rng.choice(min(len(rest), 2000), LANDMARKS // 2, replace=False)]])
         fz = features(z)
@@ -222,18 +219,27 @@ def fit(texts: list[bytes], toxic: np.ndarray, seed: int = 7) -> Model | None:
         y = np.concatenate([np.ones(len(good)), -np.ones(len(rest))])
         w, bias = _squared_hinge(x, y)
         weight = (root @ w @ fz).astype(np.float32)
-        best, at, c = margins(joined, off, weight, where=True)
-        hard = np.argsort(-best)[:600]
-        rest = np.concatenate([rest, np.stack([c[a:a + WINDOW + SPAN] for a in at[hard]])])
+        best, window = _swept([texts[i] for i in clean], weight)
+        rest = np.concatenate([rest, window[np.argsort(-best)[:600]]])
     # logistic curve over the margins of the training documents
-    every = [np.frombuffer(t, np.uint8) for t in texts]
-    off = np.concatenate([[0], np.cumsum([len(b) for b in every])])
-    m = margins(np.concatenate(every), off, weight) + bias
+    m = _swept(texts, weight)[0] + bias
     scale = float(np.std(m)) or 1.0
     slope, offset = _logistic(m / scale, toxic)
     return Model(weight, bias, slope / scale, offset)
 
 
+def _swept(texts: list[bytes], weight: np.ndarray, step: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Margin and best window of every text, a few texts at a time."""
+    best, window = [], []
+    for a in range(0, len(texts), step):
+        part = texts[a:a + step]
+        off = np.concatenate([[0], np.cumsum([len(t) for t in part])])
+        m, at, c = margins(np.frombuffer(b"".join(part), np.uint8), off, weight, where=True)
+        best.append(m)
+        window.append(np.stack([c[i:i + WINDOW + SPAN] for i in at]))
+    return np.concatenate(best), np.concatenate(window)
+
+
 def _kernel(symbols: np.ndarray, fz: np.ndarray, step: int = 128) -> np.ndarray:
     return np.concatenate([features(symbols[a:a + step]) @ fz.T for a in range(0, len(symbols), step)]).astype(np.float64)
 
