@@ -40,3 +40,13 @@ def test_held_out_and_hidden_insults(spark):
     assert [r.predicted for r in out] == [0, 1, 1, 1, 1, 1, 0, 0, 0]
     none = train(docs, labels.filter("toxic = 0"))
     assert toxicity(docs, none).agg(F.max("score")).first()[0] == 0 and toxicity(docs.limit(0), model).count() == 0
+
+
+def test_held_out_of_every_language(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    got = op4_toxicity(spark, d).filter("held_out").join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
+    by = {(r.lang, r.toxic): (r.hit, r.n) for r in got.groupBy("lang", "toxic").agg(F.sum("predicted").alias("hit"), F.count("*").alias("n")).collect()}
+    print(by)
+    for lang in ("en", "fr", "de", "es"):
+        assert by[lang, 1][0] >= 0.75 * by[lang, 1][1] and by[lang, 0][0] <= 0.02 * by[lang, 0][1]
