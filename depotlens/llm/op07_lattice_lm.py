@@ -181,13 +181,14 @@ def _marginal(path: str, weight: np.ndarray, total: int, kinds: int):
         lat = lattice(path)
         rest = math.log(DISCOUNT * kinds / total) if total and kinds else 0.0
         for b in _gathered(batches):
-            seen = np.maximum(b.column(1).to_numpy(zero_copy_only=False) - DISCOUNT, 1e-300) / max(total, 1)
+            c = b.column(1).to_numpy(zero_copy_only=False)
+            seen = np.where(c > 0, np.log(np.maximum(c - DISCOUNT, 1 - DISCOUNT) / max(total, 1)), -np.inf)  # no arc of an unseen word
             words = b.column(0).to_pylist()
             flat = np.frombuffer(b"".join(words), np.uint8)
             end = np.cumsum([len(w) for w in words])
             h = X.Hasher(flat, 0).slices(end - np.array([len(w) for w in words]), end)
             yield pa.RecordBatch.from_arrays(
-                [X.signed(h), b.column(1), b.column(2), pa.array(np.logaddexp(np.log(seen), rest + lat.log_probability(words, weight)) / LOG10)], ["h", "c", "n", "lp"])
+                [X.signed(h), b.column(1), b.column(2), pa.array(np.logaddexp(seen, rest + lat.log_probability(words, weight)) / LOG10)], ["h", "c", "n", "lp"])
     return run
 
 

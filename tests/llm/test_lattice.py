@@ -63,3 +63,26 @@ def test_head_and_tail_agree_and_edges(spark):
         assert x[:5] == y[:5] and x[5:] == pytest.approx(y[5:], rel=1e-9)
     assert lattice_scores(df.limit(0), F.lit(True)).count() == 0
     assert all(r.score < 0 for r in lattice_scores(df, F.lit(False)).collect())
+
+
+def test_long_unseen_word_has_its_own_marginal(spark):
+    word = "q7" * 1000
+    rows = [(1, "a b b"), (2, word), (3, "a " + "z" * 600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lattice_scores(df, F.col("doc_id") == 1, rounds=0).collect()}
+    lat = lattice(default_model())
+    weight = dict(zip(lat.pieces, lat.start))
+    size = max(map(len, weight))
+
+    def long_sum(w: bytes) -> float:  # the brute-force sum in log space
+        f = [0.0] + [-math.inf] * len(w)
+        for e in range(1, len(w) + 1):
+            f[e] = np.logaddexp.reduce([f[s] + weight[w[s:e]] for s in range(max(0, e - size), e) if w[s:e] in weight])
+        return f[-1]
+
+    n, kinds, end = 4, 2, math.log(1 / 4)  # training words and ends, distinct words
+    paths = math.log(0.75 * kinds / n)
+    a = np.logaddexp(math.log(0.25 / n), paths + long_sum(b" a"))
+    assert got[2] == pytest.approx((paths + long_sum(b" " + word.encode()) + end) / math.log(10), rel=1e-9)
+    assert got[3] == pytest.approx((a + paths + long_sum(b" " + b"z" * 600) + end) / math.log(10), rel=1e-9)
+    assert got[2] < -1000  # no floor
