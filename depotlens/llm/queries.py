@@ -1,7 +1,7 @@
 """Registered queries of the subpackage, with their DuckDB SQL where there is one."""
 from __future__ import annotations
 
-from . import op01_token_counts, op02_tree_merge, op03_prefix_free, op04_toxicity, op05_projection_forest, op06_sentencepiece, op07_lattice_lm, op08_relative_lz, op09_source_schedule, op10_parity_sketch
+from . import op01_token_counts, op02_tree_merge, op03_prefix_free, op04_toxicity, op05_projection_forest, op06_sentencepiece, op07_lattice_lm, op08_relative_lz, op09_source_schedule, op10_parity_sketch, op11_filter_audit
 
 QUERIES = {
     "op1_token_counts": op01_token_counts.op1_token_counts,
@@ -14,6 +14,7 @@ QUERIES = {
     "op8_relative_lz": op08_relative_lz.op8_relative_lz,
     "op9_source_schedule": op09_source_schedule.op9_source_schedule,
     "op10_parity_sketch": op10_parity_sketch.op10_parity_sketch,
+    "op11_filter_audit": op11_filter_audit.op11_filter_audit,
 }
 
 ORACLE = {
@@ -22,4 +23,5 @@ ORACLE = {
     "op8_relative_lz": op08_relative_lz.SQL,
     "op9_source_schedule": op09_source_schedule.SQL,
     "op10_parity_sketch": op10_parity_sketch.SQL,
+    "op11_filter_audit": op11_filter_audit.SQL,
 }
