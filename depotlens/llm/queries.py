@@ -1,7 +1,7 @@
 """Registered queries of the subpackage, with their DuckDB SQL where there is one."""
 from __future__ import annotations
 
-from . import op01_token_counts, op02_tree_merge, op03_prefix_free, op04_toxicity, op05_projection_forest, op06_sentencepiece, op07_lattice_lm, op08_relative_lz, op09_source_schedule, op10_parity_sketch, op11_filter_audit
+from . import op01_token_counts, op02_tree_merge, op03_prefix_free, op04_toxicity, op05_projection_forest, op06_sentencepiece, op07_lattice_lm, op08_relative_lz, op09_source_schedule, op10_parity_sketch, op11_filter_audit, op12_prefix_trie
 
 QUERIES = {
     "op1_token_counts": op01_token_counts.op1_token_counts,
@@ -15,6 +15,7 @@ QUERIES = {
     "op9_source_schedule": op09_source_schedule.op9_source_schedule,
     "op10_parity_sketch": op10_parity_sketch.op10_parity_sketch,
     "op11_filter_audit": op11_filter_audit.op11_filter_audit,
+    "op12_prefix_trie": op12_prefix_trie.op12_prefix_trie,
 }
 
 ORACLE = {
@@ -24,4 +25,5 @@ ORACLE = {
     "op9_source_schedule": op09_source_schedule.SQL,
     "op10_parity_sketch": op10_parity_sketch.SQL,
     "op11_filter_audit": op11_filter_audit.SQL,
+    "op12_prefix_trie": op12_prefix_trie.SQL,
 }
