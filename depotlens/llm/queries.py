@@ -1,7 +1,7 @@
 """Registered queries of the subpackage, with their DuckDB SQL where there is one."""
 from __future__ import annotations
 
-from . import op01_token_counts, op02_tree_merge, op03_prefix_free, op04_toxicity, op05_projection_forest, op06_sentencepiece, op07_lattice_lm, op08_relative_lz, op09_source_schedule, op10_parity_sketch, op11_filter_audit, op12_prefix_trie
+from . import op01_token_counts, op02_tree_merge, op03_prefix_free, op04_toxicity, op05_projection_forest, op06_sentencepiece, op07_lattice_lm, op08_relative_lz, op09_source_schedule, op10_parity_sketch, op11_filter_audit, op12_prefix_trie, op13_token_files
 
 QUERIES = {
     "op1_token_counts": op01_token_counts.op1_token_counts,
@@ -16,6 +16,7 @@ QUERIES = {
     "op10_parity_sketch": op10_parity_sketch.op10_parity_sketch,
     "op11_filter_audit": op11_filter_audit.op11_filter_audit,
     "op12_prefix_trie": op12_prefix_trie.op12_prefix_trie,
+    "op13_token_files": op13_token_files.op13_token_files,
 }
 
 ORACLE = {

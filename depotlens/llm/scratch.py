@@ -38,6 +38,12 @@ def cut(df: DataFrame, name: str = "t", frees: tuple[DataFrame, ...] = ()) -> Da
     return spark.read.schema(schema).parquet(path)
 
 
+def keep(spark: SparkSession, path: str) -> str:
+    """Note ``path`` as a scratch table, so that ``drop_scratch`` removes it."""
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def _collect_garbage(spark: SparkSession) -> None:
     """Twice, with a pause: the first run lets go of the finished query, whose
     end the listeners report a moment later."""
