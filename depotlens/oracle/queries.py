@@ -508,14 +508,14 @@ ORACLE["open_invoices"] = with_tables("invoices", extra=[("open", OPEN)]) + \
     "SELECT * REPLACE (CAST(total_amount AS DOUBLE) AS total_amount) FROM open"
 EXACT = """SELECT p.id AS payment_id, arg_min(o.id, o.pos) AS invoice_id, min(o.pos) AS pos
            FROM payments p JOIN open o ON o.retailer_id = p.retailer_id
-           WHERE o.total_amount > 0 AND p.amount_paid > 0
-             AND abs(p.amount_paid - o.total_amount) <= 0.01 * o.total_amount
+           WHERE o.total_amount < 0 OR o.total_amount > 0 AND abs(p.amount_paid - o.total_amount) <= 0.01 * o.total_amount
            GROUP BY p.id"""
 PARTIAL = """SELECT p.id AS payment_id, arg_min(o.id, o.pos) AS invoice_id,
                     arg_min(o.total_amount, o.pos) AS total_amount, min(o.pos) AS pos
              FROM payments p JOIN open o ON o.retailer_id = p.retailer_id
-             WHERE o.total_amount > 0 AND p.amount_paid > 0
-               AND 0.10 * o.total_amount <= p.amount_paid AND p.amount_paid < o.total_amount
+             WHERE o.total_amount <> 0
+               AND CASE WHEN o.total_amount > 0 THEN 0.10 * o.total_amount <= p.amount_paid AND p.amount_paid < o.total_amount
+                        ELSE 0.10 * o.total_amount >= p.amount_paid AND p.amount_paid > o.total_amount END
              GROUP BY p.id"""
 REC_CTES = [("open", OPEN), ("exact", EXACT), ("partial", PARTIAL)]
 ORACLE["match_exact"] = with_tables("invoices", "payments", extra=REC_CTES) + "SELECT * FROM exact"
@@ -527,11 +527,11 @@ def _bundles(n: int, pay_source: str) -> str:
     cols = ", ".join(f"o{i}.pos" for i in range(1, n + 1))
     ids = ", ".join(f"CAST(o{i}.id AS VARCHAR)" for i in range(1, n + 1))
     total = " + ".join(f"o{i}.total_amount" for i in range(1, n + 1))
-    joins = " ".join(f"JOIN open o{i} ON o{i}.retailer_id = p.retailer_id AND o{i}.total_amount > 0"
+    joins = " ".join(f"JOIN open o{i} ON o{i}.retailer_id = p.retailer_id"
                      + (f" AND o{i}.pos > o{i-1}.pos" if i > 1 else "") for i in range(1, n + 1))
     return f"""SELECT p.id AS payment_id, {n} AS n, [{n}, {cols}] AS ord, [{ids}] AS ids
                FROM {pay_source} p {joins}
-               WHERE p.amount_paid > 0 AND abs(p.amount_paid - ({total})) <= 0.02 * ({total})"""
+               WHERE {total} < 0 OR {total} > 0 AND abs(p.amount_paid - ({total})) <= 0.02 * ({total})"""
 
 
 REST = ("rest", "SELECT * FROM payments WHERE id NOT IN (SELECT payment_id FROM exact) "
@@ -567,6 +567,35 @@ ORACLE["apply_scheme"] = with_tables("invoices", "payments", "discount_schemes",
                  CAST(CAST(c.balance_remaining AS DOUBLE) * CAST(json_extract_string(s.terms, '$.value') AS DOUBLE) / 100
                       AS DECIMAL(14,4)) AS ded
           FROM cascade c LEFT JOIN discount_schemes s ON s.depot_id = c.depot_id)"""
+# One payment of every retailer per step; ``gone`` holds the positions settled so far.
+SEQUENTIAL = """
+    SELECT retailer_id, 0 AS k, CAST([] AS INTEGER[]) AS gone, CAST(NULL AS VARCHAR) AS payment_id, CAST(NULL AS VARCHAR) AS rule,
+           CAST([] AS INTEGER[]) AS used FROM (SELECT DISTINCT retailer_id FROM payments)
+    UNION ALL
+    SELECT retailer_id, k, CASE WHEN rule IN ('exact_match', 'consolidated_payment') THEN list_concat(gone, used) ELSE gone END, payment_id, rule, used
+    FROM (SELECT retailer_id, k, gone, payment_id,
+                 CASE WHEN e IS NOT NULL THEN 'exact_match' WHEN pa IS NOT NULL THEN 'partial_payment'
+                      WHEN b IS NOT NULL THEN 'consolidated_payment' ELSE 'advance_payment' END AS rule,
+                 CASE WHEN e IS NOT NULL THEN [e] WHEN pa IS NOT NULL THEN [pa] WHEN b IS NOT NULL THEN b[2:] ELSE [] END AS used
+          FROM (SELECT s.retailer_id, s.k + 1 AS k, s.gone, p.id AS payment_id,
+                       list_min(list_filter(c.exact_pos, lambda x: NOT list_contains(s.gone, x))) AS e,
+                       list_min(list_filter(c.partial_pos, lambda x: NOT list_contains(s.gone, x))) AS pa,
+                       list_min(list_filter(c.bundles, lambda x: NOT list_has_any(s.gone, x[2:]))) AS b
+                FROM seq s JOIN ordered p ON p.retailer_id = s.retailer_id AND p.ord = s.k + 1 JOIN choices c ON c.id = p.id))"""
+ORDERED = ("ordered", "SELECT *, row_number() OVER (PARTITION BY retailer_id ORDER BY collected_at, id) AS ord FROM payments")
+CHOICES = ("choices", """SELECT p.id, exact_pos, partial_pos, bundles FROM payments p
+    LEFT JOIN (SELECT p.id, list(o.pos) FILTER (o.total_amount < 0 OR o.total_amount > 0 AND abs(p.amount_paid - o.total_amount) <= 0.01 * o.total_amount) AS exact_pos,
+                      list(o.pos) FILTER (CASE WHEN o.total_amount > 0 THEN 0.10 * o.total_amount <= p.amount_paid AND p.amount_paid < o.total_amount
+                        WHEN o.total_amount < 0 THEN 0.10 * o.total_amount >= p.amount_paid AND p.amount_paid > o.total_amount ELSE false END) AS partial_pos
+               FROM payments p JOIN open o ON o.retailer_id = p.retailer_id GROUP BY p.id) USING (id)
+    LEFT JOIN (SELECT payment_id AS id, list(ord) AS bundles FROM (""" + " UNION ALL ".join(_bundles(n, "payments") for n in range(2, 6)) + ") GROUP BY 1) USING (id)")
+ORACLE["match_sequential"] = with_tables("invoices", "payments", extra=[("open", OPEN), ORDERED, CHOICES, ("seq", SEQUENTIAL)]).replace("WITH ", "WITH RECURSIVE ", 1) + """
+    SELECT s.payment_id, s.retailer_id, CASE rule WHEN 'partial_payment' THEN 'PARTIAL' WHEN 'advance_payment' THEN 'ADVANCE' ELSE 'SETTLED' END AS reconciliation_status,
+           rule, CASE rule WHEN 'exact_match' THEN 100 WHEN 'partial_payment' THEN 85 WHEN 'consolidated_payment' THEN 90 ELSE 70 END AS confidence,
+           coalesce((SELECT string_agg(CAST(o.id AS VARCHAR), ',' ORDER BY o.pos) FROM open o WHERE o.retailer_id = s.retailer_id AND list_contains(s.used, o.pos)), '') AS matched_invoices,
+           CASE rule WHEN 'partial_payment' THEN CAST((SELECT o.total_amount FROM open o WHERE o.retailer_id = s.retailer_id AND o.pos = s.used[1]) - p.amount_paid AS DOUBLE)
+                ELSE 0.0 END AS balance_remaining
+    FROM seq s JOIN payments p ON p.id = s.payment_id WHERE s.k > 0"""
 PAID = ("paid", "SELECT invoice_id, sum(amount_paid) AS paid FROM payments WHERE invoice_id IS NOT NULL "
                 "GROUP BY invoice_id")
 ORACLE["retailer_statement"] = R6(with_tables("invoices", "payments", "retailers", extra=[PAID]) + f"""

@@ -258,8 +258,9 @@ def q_apply_scheme(spark, sf_dir):
 
 @register("match_sequential")
 def q_match_sequential(spark, sf_dir):
+    from pyspark.sql import functions as F
     c = Catalog(spark, sf_dir)
-    return reconcile.match_sequential(c.payments, c.invoices)
+    return reconcile.match_sequential(c.payments, c.invoices).withColumn("balance_remaining", F.col("balance_remaining").cast("double"))
 
 
 @register("retailer_statement")
