@@ -589,7 +589,8 @@ CHOICES = ("choices", """SELECT p.id, exact_pos, partial_pos, bundles FROM payme
                         WHEN o.total_amount < 0 THEN 0.10 * o.total_amount >= p.amount_paid AND p.amount_paid > o.total_amount ELSE false END) AS partial_pos
                FROM payments p JOIN open o ON o.retailer_id = p.retailer_id GROUP BY p.id) USING (id)
     LEFT JOIN (SELECT payment_id AS id, list(ord) AS bundles FROM (""" + " UNION ALL ".join(_bundles(n, "payments") for n in range(2, 6)) + ") GROUP BY 1) USING (id)")
-ORACLE["match_sequential"] = with_tables("invoices", "payments", extra=[("open", OPEN), ORDERED, CHOICES, ("seq", SEQUENTIAL)]).replace("WITH ", "WITH RECURSIVE ", 1) + """
+ORACLE["match_sequential"] = with_tables("invoices", "payments", extra=[("open", OPEN), ORDERED, CHOICES, ("seq", SEQUENTIAL)]).replace("WITH ", "WITH RECURSIVE ", 1).replace(
+    "ordered AS (", "ordered AS MATERIALIZED (").replace("choices AS (", "choices AS MATERIALIZED (") + """
     SELECT s.payment_id, s.retailer_id, CASE rule WHEN 'partial_payment' THEN 'PARTIAL' WHEN 'advance_payment' THEN 'ADVANCE' ELSE 'SETTLED' END AS reconciliation_status,
            rule, CASE rule WHEN 'exact_match' THEN 100 WHEN 'partial_payment' THEN 85 WHEN 'consolidated_payment' THEN 90 ELSE 70 END AS confidence,
            coalesce((SELECT string_agg(CAST(o.id AS VARCHAR), ',' ORDER BY o.pos) FROM open o WHERE o.retailer_id = s.retailer_id AND list_contains(s.used, o.pos)), '') AS matched_invoices,
