@@ -121,32 +121,6 @@ def apply_stock_in(batches: DataFrame, receipts: DataFrame, as_of: str) -> tuple
     return merged, moves
 
 
-def apply_stock_out(movements: DataFrame) -> DataFrame:
-    """L-7: per batch, movements in time order; IN/RETURN add stock; an OUT
-    or WRITE_OFF is accepted only if the current stock covers it – a
-    rejected one consumes nothing, so a later smaller one can succeed.  An
-    order-dependent fold (a running SUM is wrong here), computed per batch by
-    the JVM higher-order ``aggregate`` over the batch's sorted movements; the
-    fold is sequential within one batch by nature."""
-    ev = F.struct(F.col("created_at").alias("t"), F.col("movement_id").alias("id"),
-                  F.col("movement_type").alias("type"), F.col("quantity").cast("double").alias("q"))
-    g = movements.groupBy("batch_id").agg(F.array_sort(F.collect_list(ev)).alias("evs"))
-    init = F.struct(F.lit(0.0).alias("stock"),
-                    F.array().cast("array<struct<id:string,accepted:boolean,stock_after:double>>").alias("out"))
-
-    def step(acc, e):
-        is_in = e["type"].isin("IN", "RETURN")
-        is_take = e["type"].isin("OUT", "WRITE_OFF")
-        ok = is_in | ~is_take | (acc["stock"] >= e["q"])
-        new_stock = F.when(is_in, acc["stock"] + e["q"]).when(is_take & ok, acc["stock"] - e["q"]) \
-                     .otherwise(acc["stock"])
-        rec = F.struct(e["id"].alias("id"), ok.alias("accepted"), new_stock.alias("stock_after"))
-        return F.struct(new_stock.alias("stock"), F.concat(acc["out"], F.array(rec)).alias("out"))
-    folded = g.select("batch_id", F.aggregate("evs", init, step)["out"].alias("out"))
-    res = folded.select("batch_id", F.inline("out"))
-    return res.withColumnRenamed("id", "movement_id")
-
-
 def enrich_aliases(products: DataFrame, raw_names: DataFrame) -> DataFrame:
     """L-9: lower(trim(raw name)) appended to the product's aliases when not
     present; a null alias array stays null (three-valued logic of the

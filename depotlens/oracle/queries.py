@@ -567,6 +567,20 @@ ORACLE["apply_scheme"] = with_tables("invoices", "payments", "discount_schemes",
                  CAST(CAST(c.balance_remaining AS DOUBLE) * CAST(json_extract_string(s.terms, '$.value') AS DOUBLE) / 100
                       AS DECIMAL(14,4)) AS ded
           FROM cascade c LEFT JOIN discount_schemes s ON s.depot_id = c.depot_id)"""
+# One movement of every batch per step.
+ORACLE["apply_stock_out"] = R6(with_tables("stock_movements", extra=[
+    ("moves", """SELECT batch_id, movement_id, movement_type, quantity,
+                        row_number() OVER (PARTITION BY batch_id ORDER BY created_at, movement_id) AS k FROM stock_movements"""),
+    ("folded", """
+        SELECT batch_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS movement_id, true AS accepted, CAST(0 AS DOUBLE) AS stock_after
+        FROM (SELECT DISTINCT batch_id FROM moves)
+        UNION ALL
+        SELECT m.batch_id, m.k, m.movement_id, m.movement_type NOT IN ('OUT', 'WRITE_OFF') OR f.stock_after >= m.quantity,
+               f.stock_after + CASE WHEN m.movement_type IN ('IN', 'RETURN') THEN m.quantity
+                                    WHEN m.movement_type IN ('OUT', 'WRITE_OFF') AND f.stock_after >= m.quantity THEN -m.quantity ELSE 0 END
+        FROM folded f JOIN moves m ON m.batch_id = f.batch_id AND m.k = f.k + 1""")]).replace(
+    "WITH ", "WITH RECURSIVE ", 1).replace("moves AS (", "moves AS MATERIALIZED (") + """
+    SELECT batch_id, movement_id, accepted, stock_after FROM folded WHERE k > 0""", ["stock_after"])
 # One payment of every retailer per step; ``gone`` holds the positions settled so far.
 SEQUENTIAL = """
     SELECT retailer_id, 0 AS k, CAST([] AS INTEGER[]) AS gone, CAST(NULL AS VARCHAR) AS payment_id, CAST(NULL AS VARCHAR) AS rule,

@@ -754,7 +754,8 @@ def q_apply_stock_in(spark, sf_dir):
 
 @register("apply_stock_out")
 def q_apply_stock_out(spark, sf_dir):
-    return rounded(ledger.apply_stock_out(Catalog(spark, sf_dir).movements))
+    from ..operators import stock_fold
+    return rounded(stock_fold.apply_stock_out(Catalog(spark, sf_dir).movements))
 
 
 @register("enrich_aliases")

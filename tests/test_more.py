@@ -45,16 +45,6 @@ def test_match_products_equals_full_cross_product(spark):
         assert got.get(r) == ((best[1], best[2]) if best else None), r
 
 
-def test_stock_out_fold(spark):
-    t = dt.datetime(2025, 1, 1)
-    mv = spark.createDataFrame(
-        [("B", "m1", "IN", 10.0, t), ("B", "m2", "OUT", 8.0, t + dt.timedelta(hours=1)),
-         ("B", "m3", "OUT", 5.0, t + dt.timedelta(hours=2)), ("B", "m4", "OUT", 2.0, t + dt.timedelta(hours=3))],
-        "batch_id string, movement_id string, movement_type string, quantity double, created_at timestamp")
-    r = {x.movement_id: (x.accepted, x.stock_after) for x in ledger.apply_stock_out(mv).collect()}
-    assert r == {"m1": (True, 10.0), "m2": (True, 2.0), "m3": (False, 2.0), "m4": (True, 0.0)}
-
-
 def test_upsert_and_replace_partition(spark):
     base = tempfile.mkdtemp(prefix="dl-sink-")
     path = os.path.join(base, "t")
