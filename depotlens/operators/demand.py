@@ -26,16 +26,17 @@ FEATURE_COLS = [
 
 
 def daily_demand(movements: DataFrame, products: DataFrame, depots: DataFrame,
-                 as_of: str, days: int = 60, depot_filter: DataFrame | None = None) -> DataFrame:
-    """SRC-8: OUT units per (product, depot, day) over the last ``days`` days.
+                 as_of: str, days: int | None = 60, depot_filter: DataFrame | None = None) -> DataFrame:
+    """SRC-8: OUT units per (product, depot, day) over the last ``days`` days,
+    or over the whole history (``days=None``).
 
     The movement filter reaches the scan; the aggregate is partial/final so
     map-side combining shrinks the shuffle to one row per key and task.
     """
-    m = movements.where(
-        (F.col("movement_type") == "OUT")
-        & (F.col("created_at") >= as_of_ts(as_of) - F.expr(f"INTERVAL {days} DAYS"))
-        & (F.col("created_at") <= as_of_ts(as_of)))
+    m = movements.where(F.col("movement_type") == "OUT")
+    if days is not None:
+        m = m.where((F.col("created_at") >= as_of_ts(as_of) - F.expr(f"INTERVAL {days} DAYS"))
+                    & (F.col("created_at") <= as_of_ts(as_of)))
     if depot_filter is not None:
         m = m.join(depot_filter, "depot_id", "left_semi")
     daily = m.groupBy("product_id", "depot_id", F.to_date("created_at").alias("date")).agg(

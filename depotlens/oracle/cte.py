@@ -111,3 +111,14 @@ def with_tables(*names: str, extra: list[tuple[str, str]] | None = None) -> str:
     parts = [f"{n} AS ({CTES[n][1]}\n)" for n in order]
     parts += [f"{n} AS ({sql}\n)" for n, sql in (extra or [])]
     return "WITH " + ",\n".join(parts) + "\n" if parts else ""
+
+
+#: Conditions that hide facts created after AS_OF in the tables above.
+BOUNDS = [f"        WHERE l_shipdate <= {AS_OF_TS}", f"        WHERE o_orderdate <= {AS_OF_TS}", f"        WHERE collected_at <= {AS_OF_TS}"]
+
+
+def unbounded(sql: str) -> str:
+    """The statement over facts of all dates."""
+    for b in BOUNDS:
+        sql = sql.replace(b, "")
+    return sql

@@ -4,7 +4,7 @@ from __future__ import annotations
 import re
 
 from ..functions.numeric import sql_py_round
-from .cte import AS_OF, AS_OF_TS, CTES, with_tables
+from .cte import AS_OF, AS_OF_TS, CTES, unbounded, with_tables
 
 CTES_DEPOTS = CTES["depots"][1]
 
@@ -994,3 +994,18 @@ ORACLE["category_codes"] = with_tables("products", "depots", "stock_movements",
           UNION SELECT DISTINCT 'depot_region', depot_region FROM sales WHERE depot_region IS NOT NULL)"""
 ORACLE["scope_to_depot"] = _rewrite_round(R6(with_tables("stock_movements") +
                                              "SELECT * FROM stock_movements WHERE depot_id = 'ASIA'", ["quantity"]))
+
+# Operators without a "now" take all facts, and those that learn from or check
+# a history take all of it.
+WHOLE = """current_stock batch_stock stock_ledger stock_by_product batch_timeline apply_stock_in apply_stock_out confirm_invoice
+    invoice_lines line_confidence invoice_confidence retailer_statement open_invoices match_exact match_partial match_consolidated
+    match_cascade match_sequential apply_scheme duplicate_invoices collapse_duplicates positive_sales_filter ingest_frame
+    unpivot_drug_sales synthesise_batches synthesise_movements scope_to_depot time_series_folds extract_invoice_fields""".split()
+HISTORY = {"validate_sales": 60, "chronological_split": 60, "category_codes": 60, "walk_forward_folds": 1095, "training_sufficiency": 365,
+           "union_sources": 365}
+for _k in [*WHOLE, *HISTORY]:
+    ORACLE[_k] = unbounded(ORACLE[_k])
+for _k, _days in HISTORY.items():
+    _window = f" AND sm.created_at >= {AS_OF_TS} - INTERVAL {_days} DAY\n      AND sm.created_at <= {AS_OF_TS}"
+    assert _window in ORACLE[_k], _k
+    ORACLE[_k] = ORACLE[_k].replace(_window, "")

@@ -13,12 +13,14 @@ class Catalog:
     """Lazily built canonical tables (plain lazy DataFrames: nothing is
     computed until an action runs, and Catalyst prunes unused columns)."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, as_of: str = AS_OF_DEFAULT, materialize: bool = False):
-        """``materialize``: tables read by several stages of one plan
+    def __init__(self, spark: SparkSession, sf_dir: str, as_of: str = AS_OF_DEFAULT, materialize: bool = False, bounded: bool = True):
+        """``bounded``: facts created after ``as_of`` are not visible.
+
+        ``materialize``: tables read by several stages of one plan
         (batches) are written once to the shared checkpoint folder
         (``checkpoint``: reliable, lineage cut) instead of being recomputed
         from the movements by every consumer."""
-        self.spark, self.sf_dir, self.as_of, self.materialize = spark, sf_dir, as_of, materialize
+        self.spark, self.sf_dir, self.as_of, self.materialize, self.bounded = spark, sf_dir, as_of, materialize, bounded
 
     def raw(self, name: str) -> DataFrame:
         return tpch.read(self.spark, self.sf_dir, name)
@@ -33,7 +35,7 @@ class Catalog:
 
     @cached_property
     def movements(self) -> DataFrame:
-        return tpch.stock_movements(self.spark, self.sf_dir, self.as_of)
+        return tpch.stock_movements(self.spark, self.sf_dir, self.as_of, self.bounded)
 
     @cached_property
     def batches(self) -> DataFrame:
@@ -42,11 +44,11 @@ class Catalog:
 
     @cached_property
     def invoices(self) -> DataFrame:
-        return tpch.invoices(self.spark, self.sf_dir, self.as_of)
+        return tpch.invoices(self.spark, self.sf_dir, self.as_of, self.bounded)
 
     @cached_property
     def payments(self) -> DataFrame:
-        return tpch.payments(self.spark, self.sf_dir, self.as_of, self.invoices)
+        return tpch.payments(self.spark, self.sf_dir, self.as_of, self.invoices, self.bounded)
 
     @cached_property
     def payment_transactions(self) -> DataFrame:

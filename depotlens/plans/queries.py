@@ -37,6 +37,17 @@ def rounded(df: DataFrame, decimals: int = 6) -> DataFrame:
     return py_round_cols(df, specs) if specs else df
 
 
+class Whole(Catalog):
+    """All facts, whatever their date: for operators that have no "now"."""
+
+    def __init__(self, spark, sf_dir, **options):
+        super().__init__(spark, sf_dir, bounded=False, **options)
+
+
+def _history(c: Catalog) -> DataFrame:
+    return demand.daily_demand(c.movements, c.products, c.depots, c.as_of, days=None)
+
+
 def _sales(c: Catalog) -> DataFrame:
     return demand.daily_demand(c.movements, c.products, c.depots, c.as_of)
 
@@ -94,23 +105,23 @@ from ..sources import tpch  # noqa: E402
 
 @register("current_stock")
 def q_current_stock(spark, sf_dir):
-    return ledger.current_stock(Catalog(spark, sf_dir).movements)
+    return ledger.current_stock(Whole(spark, sf_dir).movements)
 
 
 @register("batch_stock")
 def q_batch_stock(spark, sf_dir):
-    return ledger.batch_stock(Catalog(spark, sf_dir).movements)
+    return ledger.batch_stock(Whole(spark, sf_dir).movements)
 
 
 @register("stock_ledger")
 def q_stock_ledger(spark, sf_dir):
-    c = Catalog(spark, sf_dir)
+    c = Whole(spark, sf_dir)
     return rounded(ledger.stock_ledger(c.batches, c.products, c.movements, c.as_of, sort=True))
 
 
 @register("stock_by_product")
 def q_stock_by_product(spark, sf_dir):
-    c = Catalog(spark, sf_dir)
+    c = Whole(spark, sf_dir)
     # the ledger feeds both the rows and the per-product totals: write it once
     led = ledger.stock_ledger(c.batches, c.products, c.movements, c.as_of).checkpoint(eager=True)
     return rounded(ledger.stock_by_product(led))
@@ -118,7 +129,7 @@ def q_stock_by_product(spark, sf_dir):
 
 @register("batch_timeline")
 def q_batch_timeline(spark, sf_dir):
-    c = Catalog(spark, sf_dir)
+    c = Whole(spark, sf_dir)
     return rounded(ledger.batch_timeline(c.batches, c.products, c.movements))
 
 
@@ -209,20 +220,20 @@ from ..operators import cashflow, invoices as invoice_ops, reconcile  # noqa: E4
 @register("open_invoices")
 def q_open_invoices(spark, sf_dir):
     from pyspark.sql import functions as F
-    return reconcile.open_invoices(Catalog(spark, sf_dir).invoices).withColumn(
+    return reconcile.open_invoices(Whole(spark, sf_dir).invoices).withColumn(
         "total_amount", F.col("total_amount").cast("double"))
 
 
 @register("match_exact")
 def q_match_exact(spark, sf_dir):
-    c = Catalog(spark, sf_dir)
+    c = Whole(spark, sf_dir)
     return reconcile.match_exact(c.payments, reconcile.open_invoices(c.invoices))
 
 
 @register("match_partial")
 def q_match_partial(spark, sf_dir):
     from pyspark.sql import functions as F
-    c = Catalog(spark, sf_dir)
+    c = Whole(spark, sf_dir)
     return reconcile.match_partial(c.payments, reconcile.open_invoices(c.invoices)).withColumn(
         "total_amount", F.col("total_amount").cast("double"))
 
@@ -230,7 +241,7 @@ def q_match_partial(spark, sf_dir):
 @register("match_consolidated")
 def q_match_consolidated(spark, sf_dir):
     from pyspark.sql import functions as F
-    c = Catalog(spark, sf_dir)
+    c = Whole(spark, sf_dir)
     oi = reconcile.open_invoices(c.invoices)
     rest = reconcile.unmatched(c.payments, reconcile.match_exact(c.payments, oi), reconcile.match_partial(c.payments, oi))
     m = reconcile.match_consolidated(rest, oi)
@@ -244,13 +255,13 @@ def _cascade(c: Catalog) -> DataFrame:
 @register("match_cascade")
 def q_match_cascade(spark, sf_dir):
     from pyspark.sql import functions as F
-    return _cascade(Catalog(spark, sf_dir)).withColumn("balance_remaining", F.col("balance_remaining").cast("double"))
+    return _cascade(Whole(spark, sf_dir)).withColumn("balance_remaining", F.col("balance_remaining").cast("double"))
 
 
 @register("apply_scheme")
 def q_apply_scheme(spark, sf_dir):
     from pyspark.sql import functions as F
-    c = Catalog(spark, sf_dir)
+    c = Whole(spark, sf_dir)
     return reconcile.apply_scheme(_cascade(c), c.discount_schemes).select(
         "payment_id", "reconciliation_status", F.col("balance_remaining").cast("double").alias("balance_remaining"),
         F.col("scheme_deduction").cast("double").alias("scheme_deduction"))
@@ -259,13 +270,13 @@ def q_apply_scheme(spark, sf_dir):
 @register("match_sequential")
 def q_match_sequential(spark, sf_dir):
     from pyspark.sql import functions as F
-    c = Catalog(spark, sf_dir)
+    c = Whole(spark, sf_dir)
     return reconcile.match_sequential(c.payments, c.invoices).withColumn("balance_remaining", F.col("balance_remaining").cast("double"))
 
 
 @register("retailer_statement")
 def q_retailer_statement(spark, sf_dir):
-    c = Catalog(spark, sf_dir)
+    c = Whole(spark, sf_dir)
     return rounded(reconcile.retailer_statement(c.invoices, c.payments, c.retailers, c.as_of))
 
 
@@ -283,7 +294,7 @@ def q_dso(spark, sf_dir):
 
 @register("duplicate_invoices")
 def q_duplicate_invoices(spark, sf_dir):
-    return invoice_ops.duplicate_invoices(Catalog(spark, sf_dir).invoices)
+    return invoice_ops.duplicate_invoices(Whole(spark, sf_dir).invoices)
 
 
 @register("net_cashflow")
@@ -454,10 +465,6 @@ from ..operators import quality  # noqa: E402
 from ..sources import ingest  # noqa: E402
 
 
-def _client_sales(c: Catalog):
-    return demand.daily_demand(c.movements, c.products, c.depots, c.as_of, days=365)
-
-
 @register("client_demand_12m")
 def q_client_demand_12m(spark, sf_dir):
     from pyspark.sql import functions as F
@@ -469,8 +476,8 @@ def q_client_demand_12m(spark, sf_dir):
 
 @register("validate_sales")
 def q_validate_sales(spark, sf_dir):
-    c = Catalog(spark, sf_dir)
-    return quality.validate_sales(_sales(c), c.as_of)
+    c = Whole(spark, sf_dir)
+    return quality.validate_sales(_history(c), c.as_of)
 
 
 @register("validate_batches")
@@ -481,8 +488,8 @@ def q_validate_batches(spark, sf_dir):
 
 @register("training_sufficiency")
 def q_training_sufficiency(spark, sf_dir):
-    c = Catalog(spark, sf_dir)
-    return quality.training_sufficiency(_client_sales(c), c.batches, c.depots, c.as_of)
+    c = Whole(spark, sf_dir)
+    return quality.training_sufficiency(_history(c), c.batches, c.depots, c.as_of)
 
 
 @register("row_constraints")
@@ -503,21 +510,21 @@ def _raw_out_rows(c: Catalog):
 
 @register("collapse_duplicates")
 def q_collapse_duplicates(spark, sf_dir):
-    return rounded(quality.collapse_duplicates(_raw_out_rows(Catalog(spark, sf_dir))))
+    return rounded(quality.collapse_duplicates(_raw_out_rows(Whole(spark, sf_dir))))
 
 
 @register("positive_sales_filter")
 def q_positive_sales_filter(spark, sf_dir):
     from pyspark.sql import functions as F
-    c = Catalog(spark, sf_dir)
+    c = Whole(spark, sf_dir)
     rows = _raw_out_rows(c).withColumn("units_sold", F.col("units_sold") - 5)
     return rounded(quality.positive_sales_filter(rows))
 
 
 @register("union_sources")
 def q_union_sources(spark, sf_dir):
-    c = Catalog(spark, sf_dir)
-    _, stats = quality.union_sources({"recent": _sales(c), "client": _client_sales(c)},
+    c = Whole(spark, sf_dir)
+    _, stats = quality.union_sources({"recent": _sales(c), "client": _history(c)},
                                      ["product_id", "depot_id", "date", "units_sold"])
     return stats
 
@@ -537,7 +544,7 @@ def _client_export(c: Catalog):
 
 @register("ingest_frame")
 def q_ingest_frame(spark, sf_dir):
-    c = Catalog(spark, sf_dir)
+    c = Whole(spark, sf_dir)
     mapped, _ = ingest.map_schema(ingest.ingest_frame(_client_export(c)), client_id="CLIENT-0")
     return rounded(mapped)
 
@@ -545,7 +552,7 @@ def q_ingest_frame(spark, sf_dir):
 @register("unpivot_drug_sales")
 def q_unpivot_drug_sales(spark, sf_dir):
     from pyspark.sql import functions as F
-    c = Catalog(spark, sf_dir)
+    c = Whole(spark, sf_dir)
     out = c.movements.where(F.col("movement_type") == "OUT").select(
         F.to_date("created_at").alias("date"), "product_id", "quantity")
     products = sorted(r[0] for r in c.products.select("product_id").collect())  # column names only (brand domain)
@@ -559,15 +566,14 @@ from ..operators import training  # noqa: E402
 
 @register("chronological_split")
 def q_chronological_split(spark, sf_dir):
-    return rounded(training.chronological_split(_sales(Catalog(spark, sf_dir))))
+    return rounded(training.chronological_split(_history(Whole(spark, sf_dir))))
 
 
 @register("walk_forward_folds")
 def q_walk_forward_folds(spark, sf_dir):
     from pyspark.sql import functions as F
-    c = Catalog(spark, sf_dir)
-    s = demand.daily_demand(c.movements, c.products, c.depots, c.as_of, days=3 * 365)
-    return rounded(training.walk_forward_folds(s, training.quarterly_folds(c.as_of),
+    c = Whole(spark, sf_dir)
+    return rounded(training.walk_forward_folds(_history(c), training.quarterly_folds(c.as_of),
                                                supplementary=F.col("depot_id") == "MIDDLE EAST"))
 
 
@@ -579,19 +585,19 @@ def _daily_by_product(c: Catalog):
 
 @register("synthesise_batches")
 def q_synthesise_batches(spark, sf_dir):
-    b, _ = training.synthesise_batches(_daily_by_product(Catalog(spark, sf_dir)))
+    b, _ = training.synthesise_batches(_daily_by_product(Whole(spark, sf_dir)))
     return rounded(b)
 
 
 @register("synthesise_movements")
 def q_synthesise_movements(spark, sf_dir):
-    _, m = training.synthesise_batches(_daily_by_product(Catalog(spark, sf_dir)))
+    _, m = training.synthesise_batches(_daily_by_product(Whole(spark, sf_dir)))
     return rounded(m)
 
 
 @register("time_series_folds")
 def q_time_series_folds(spark, sf_dir):
-    c = Catalog(spark, sf_dir)
+    c = Whole(spark, sf_dir)
     b = c.batches.select("batch_id", "created_at")
     return training.time_series_folds(b, ["created_at", "batch_id"], k=5)
 
@@ -674,7 +680,7 @@ def _invoice_texts(c: Catalog):
 
 @register("extract_invoice_fields")
 def q_extract_invoice_fields(spark, sf_dir):
-    r = invoice_ops.extract_invoice_fields(_invoice_texts(Catalog(spark, sf_dir)))
+    r = invoice_ops.extract_invoice_fields(_invoice_texts(Whole(spark, sf_dir)))
     return rounded(r.drop("text"))
 
 
@@ -711,7 +717,7 @@ def q_match_products(spark, sf_dir):
 @register("line_confidence")
 def q_line_confidence(spark, sf_dir):
     from pyspark.sql import functions as F
-    c = Catalog(spark, sf_dir)
+    c = Whole(spark, sf_dir)
     lines = c.invoice_lines.join(c.batches.select("batch_id", "batch_number", "expiry_date"), "batch_id", "left") \
         .withColumn("match_score", F.lit(100.0))
     return rounded(invoice_ops.line_confidence(lines).select("invoice_id", "line_no", "confidence",
@@ -721,7 +727,7 @@ def q_line_confidence(spark, sf_dir):
 @register("invoice_confidence")
 def q_invoice_confidence(spark, sf_dir):
     from pyspark.sql import functions as F
-    c = Catalog(spark, sf_dir)
+    c = Whole(spark, sf_dir)
     lines = c.invoice_lines.join(c.batches.select("batch_id", "batch_number", "expiry_date"), "batch_id", "left") \
         .withColumn("match_score", F.lit(100.0))
     return rounded(invoice_ops.invoice_confidence(invoice_ops.line_confidence(lines), c.invoices))
@@ -729,7 +735,7 @@ def q_invoice_confidence(spark, sf_dir):
 
 @register("invoice_lines")
 def q_invoice_lines(spark, sf_dir):
-    c = Catalog(spark, sf_dir)
+    c = Whole(spark, sf_dir)
     return rounded(ledger.invoice_lines(c.invoice_lines, c.invoices, c.products, c.batches))
 
 
@@ -747,7 +753,7 @@ def _receipts(c: Catalog):
 
 @register("apply_stock_in")
 def q_apply_stock_in(spark, sf_dir):
-    c = Catalog(spark, sf_dir)
+    c = Whole(spark, sf_dir)
     merged, _ = ledger.apply_stock_in(c.batches, _receipts(c), c.as_of)
     return merged
 
@@ -755,7 +761,7 @@ def q_apply_stock_in(spark, sf_dir):
 @register("apply_stock_out")
 def q_apply_stock_out(spark, sf_dir):
     from ..operators import stock_fold
-    return rounded(stock_fold.apply_stock_out(Catalog(spark, sf_dir).movements))
+    return rounded(stock_fold.apply_stock_out(Whole(spark, sf_dir).movements))
 
 
 @register("enrich_aliases")
@@ -781,7 +787,7 @@ def q_compliance_snapshot(spark, sf_dir):
 @register("confirm_invoice")
 def q_confirm_invoice(spark, sf_dir):
     from pyspark.sql import functions as F
-    c = Catalog(spark, sf_dir)
+    c = Whole(spark, sf_dir)
     i = c.invoices.select(F.col("id").alias("invoice_id"))
     l = c.invoice_lines.join(i, "invoice_id").join(
         c.batches.select("batch_id", "depot_id", "batch_number", "expiry_date"), "batch_id")
@@ -792,10 +798,10 @@ def q_confirm_invoice(spark, sf_dir):
 
 @register("category_codes")
 def q_category_codes(spark, sf_dir):
-    c = Catalog(spark, sf_dir)
-    return demand.category_codes(demand.fill_missing_dates(_sales(c)))
+    c = Whole(spark, sf_dir)
+    return demand.category_codes(_history(c))
 
 
 @register("scope_to_depot")
 def q_scope_to_depot(spark, sf_dir):
-    return rounded(quality.scope_to_depot(Catalog(spark, sf_dir).movements, "ASIA"))
+    return rounded(quality.scope_to_depot(Whole(spark, sf_dir).movements, "ASIA"))

@@ -9,7 +9,8 @@ Mapping (kept identical in the DuckDB oracle, ``depotlens/oracle/cte.py``):
 * invoices        orders ⋈ customer; payments derived from invoices
 * readings        events as cold-chain sensor readings
 
-Facts are bounded by ``as_of`` (rows created later are not yet visible).
+With ``bounded`` facts created after ``as_of`` are not visible, for operators
+that look at the state on a date; operators without a date take all facts.
 Only the fixed-size dimensions (region: 5 rows, nation: 25 rows) are
 broadcast explicitly; every other join is left to the planner and AQE,
 which converts a join to broadcast only after measuring the built side.
@@ -128,10 +129,11 @@ def batches(spark: SparkSession, sf_dir: str, as_of: str = AS_OF_DEFAULT,
     )
 
 
-def invoices(spark: SparkSession, sf_dir: str, as_of: str = AS_OF_DEFAULT) -> DataFrame:
+def invoices(spark: SparkSession, sf_dir: str, as_of: str = AS_OF_DEFAULT, bounded: bool = True) -> DataFrame:
     o = read(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
-    o = o.where(F.col("o_orderdate") <= F.lit(as_of).cast("timestamp_ntz"))
+    if bounded:
+        o = o.where(F.col("o_orderdate") <= F.lit(as_of).cast("timestamp_ntz"))
     c = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     n = read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     r = read(spark, sf_dir, "region").select("r_regionkey", "r_name")
