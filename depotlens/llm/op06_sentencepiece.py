@@ -26,6 +26,7 @@ from .scratch import small_batches, table
 from .unigram import MARK, Vocabulary, default_model, marked_words, vocabulary, worker_cache
 
 NONE = -float("inf")
+CHUNK = 1 << 19  # bytes of text worked on at once
 END = ""  # key of a piece's id in its trie node
 
 
@@ -135,7 +136,7 @@ def _encode(path: str, check: bool):
         cache, surface = worker_cache("encode", path, solver), _Surface(vocabulary(path))
         for b in batches:
             ident = b.column(b.schema.get_field_index("doc_id"))
-            for lo, hi, buf, off in X.chunks(X.text_column(b, "text")):
+            for lo, hi, buf, off in X.chunks(X.text_column(b, "text"), CHUNK):
                 ids, counts = _encode_chunk(cache, buf, off)
                 cols = [ident.slice(lo, hi - lo), pa.array(counts), X.lists(pa.array(ids), counts)]
                 if check:

@@ -38,7 +38,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     have = _POWERS.get(seed)
     if have is None or len(have[0]) < n + 1:
-        size = max(n + 1, CHUNK + 1)
+        size = 1 << max(16, n.bit_length())  # grows with the longest chunk seen
         base = _BASES[seed]
         out = []
         for b in (base, pow(base, -1, 2 ** 64)):

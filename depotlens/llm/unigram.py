@@ -28,7 +28,7 @@ def default_model() -> str:
 class Vocabulary:
     def __init__(self, path: str):
         from sentencepiece import sentencepiece_model_pb2 as pb
-        proto = pb.ModelProto()
+        proto = pb.ModelProto()  # goes when the columns below are taken
         with open(path, "rb") as f:
             proto.ParseFromString(f.read())
         self.pieces = [p.piece for p in proto.pieces]
@@ -78,13 +78,14 @@ def marked_words(buf: np.ndarray, off: np.ndarray):
 
 
 class WordCache:
-    """Results of distinct words, by hash: at most ``limit`` words, then anew.
+    """Results of distinct words, by hash: at most ``limit`` words and
+    ``most_ids`` ids, then anew.
 
     ``solve(words)`` returns one tuple of numbers per word and, optionally, a
     list of ids per word; a batch never evicts its own words."""
 
-    def __init__(self, solve: Callable[[list[bytes]], tuple[np.ndarray, list[list[int]] | None]], limit: int = 1 << 20):
-        self.solve, self.limit = solve, limit
+    def __init__(self, solve: Callable[[list[bytes]], tuple[np.ndarray, list[list[int]] | None]], limit: int = 1 << 18, most_ids: int = 1 << 22):
+        self.solve, self.limit, self.most_ids = solve, limit, most_ids
         self.clear()
 
     def clear(self) -> None:
@@ -96,7 +97,7 @@ class WordCache:
         """(distinct hash index of each word, cache slot of each distinct word)."""
         h = X.Hasher(buf, 0).slices(start, end)
         uniq, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.slot) > self.limit:
+        if len(self.slot) > self.limit or len(self.flat) > self.most_ids:
             self.clear()
         keys = uniq.tolist()
         get = self.slot.get
