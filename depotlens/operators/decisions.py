@@ -5,8 +5,6 @@ all depots at once.  Thresholds come from an explicit ``Config`` (H-6).
 """
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import ACTION_PRIORITY, RULE_ORDER, Config
@@ -186,22 +184,6 @@ def resolve_decisions(decisions: list[DataFrame]) -> DataFrame:
                        name="seq")
 
 
-def insert_ignore(new: DataFrame, existing: DataFrame | None, day_col: str = "run_date") -> DataFrame:
-    """SNK-3: one decision per (depot, conflict_key, day) – the first by
-    (priority, seq) – and none whose key already exists."""
-    from pyspark.sql import Window
-    w = Window.partitionBy("depot_id", "conflict_key", day_col).orderBy("priority", "seq")
-    first = new.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
-    if existing is None:
-        return first
-    return first.join(existing.select("depot_id", "conflict_key", day_col), ["depot_id", "conflict_key", day_col],
-                      "left_anti")
-
-
-# G-12: run a single rule by name over the decision state.
-RULES: dict[str, Callable] = {}
-
-
 def run_rule(name: str, state: dict, config: Config) -> DataFrame:
     """Run one rule by name; unknown name → ValueError."""
     rules = {
@@ -228,6 +210,11 @@ def run_status(outcomes: DataFrame) -> DataFrame:
                     .otherwise("SUCCESS").alias("status"))
 
 
+def run_summary(status: DataFrame) -> DataFrame:
+    """G-9: one row with the number of depots and of each run status."""
+    return status.agg(F.count("*").alias("total"), *[F.count_if(F.col("status") == x).alias(x.lower()) for x in ("SUCCESS", "PARTIAL", "FAILED")])
+
+
 def notify_queue(status: DataFrame, excursion_alerts: DataFrame | None, run_date: str) -> DataFrame:
     """G-10: queued alert rows – one per depot whose run FAILED and one per
     temperature excursion – with a JSON payload."""

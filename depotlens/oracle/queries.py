@@ -493,7 +493,6 @@ ORACLE["resolve_decisions"] = _NIGHT + f"""
 ORACLE["run_status"] = _NIGHT + """
     SELECT d.depot_id, CASE WHEN NOT EXISTS (SELECT 1 FROM dem x WHERE x.depot_id = d.depot_id) THEN 'FAILED'
                             WHEN NOT EXISTS (SELECT 1 FROM exp x WHERE x.depot_id = d.depot_id)
-                              OR NOT EXISTS (SELECT 1 FROM stockout x WHERE x.depot_id = d.depot_id)
                               OR NOT EXISTS (SELECT 1 FROM fefo x WHERE x.depot_id = d.depot_id) THEN 'PARTIAL'
                             ELSE 'SUCCESS' END AS status
     FROM depots d WHERE d.is_active"""
@@ -815,7 +814,8 @@ ORACLE["ingest_frame"] = _rewrite_round(R6(with_tables("stock_movements") + """
            'unknown' AS depot_region
     FROM stock_movements WHERE movement_type = 'OUT'""", ["units_sold"]))
 ORACLE["unpivot_drug_sales"] = _rewrite_round(R6(with_tables("products", "stock_movements") + """
-    SELECT d.date, p.product_id, coalesce(s.u, 0.0) AS units_sold, substr(p.product_id, 1, 3) AS product_category
+    SELECT d.date, p.product_id, coalesce(s.u, 0.0) AS units_sold, 'pharma_default' AS depot_id, substr(p.product_id, 1, 3) AS product_category,
+           false AS is_cold_chain
     FROM (SELECT DISTINCT CAST(created_at AS DATE) AS date FROM stock_movements WHERE movement_type = 'OUT') d
     CROSS JOIN (SELECT product_id FROM products) p
     LEFT JOIN (SELECT CAST(created_at AS DATE) AS date, product_id, sum(quantity) AS u FROM stock_movements
@@ -995,6 +995,38 @@ ORACLE["category_codes"] = with_tables("products", "depots", "stock_movements",
 ORACLE["scope_to_depot"] = _rewrite_round(R6(with_tables("stock_movements") +
                                              "SELECT * FROM stock_movements WHERE depot_id = 'ASIA'", ["quantity"]))
 
+ORACLE["store_sales"] = R6("""
+    SELECT CAST(s.store AS VARCHAR) AS depot_id, s.date, s.units_sold, CASE WHEN n_nationkey < 20 THEN substr(n_name, 1, 1) END AS product_category,
+           CASE WHEN n_nationkey < 20 THEN n_name END AS depot_region, CAST(s.store AS VARCHAR) || '_generic' AS product_id, false AS is_cold_chain
+    FROM (SELECT c_nationkey AS store, CAST(o_orderdate AS DATE) AS date, CAST(sum(CAST(o_totalprice AS DECIMAL(12,2))) AS DOUBLE) AS units_sold,
+                 max(CAST(o_custkey % 7 <> 0 AS INTEGER)) AS is_open
+          FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL) s JOIN nation ON n_nationkey = s.store
+    WHERE is_open = 1 AND units_sold > 0""", ["units_sold"])
+ORACLE["wide_daily_sales"] = R6(unbounded(with_tables("stock_movements")) + """
+    SELECT d.date, p.product_id, coalesce(s.u, 0.0) AS units_sold, 'pharma_default' AS depot_id, substr(p.product_id, 1, 3) AS product_category, false AS is_cold_chain
+    FROM (SELECT DISTINCT CAST(created_at AS DATE) AS date FROM stock_movements) d
+    CROSS JOIN (VALUES ('IN01', 'IN'), ('OUT1', 'OUT'), ('RET1', 'RETURN')) p(product_id, movement_type)
+    LEFT JOIN (SELECT CAST(created_at AS DATE) AS date, movement_type, sum(quantity) AS u FROM stock_movements GROUP BY ALL) s
+      ON s.date = d.date AND s.movement_type = p.movement_type""", ["units_sold"])
+ORACLE["otc_sales"] = R6(unbounded(with_tables("stock_movements")) + """
+    SELECT CAST(strftime(created_at, '%d-%m-%Y') AS VARCHAR) AS date, product_id, quantity AS units_sold, depot_id, batch_id AS batch_number,
+           movement_id AS invoice_number, 'unknown' AS product_category, false AS is_cold_chain, 'unknown' AS depot_region
+    FROM stock_movements WHERE movement_type = 'OUT'""", ["units_sold"])
+_SINK = with_tables("stock_movements", "depots", extra=[("sink", f"""
+    SELECT depot_id, product_id, CAST(created_at AS DATE) AS run_date, sum(quantity) AS units FROM stock_movements
+    WHERE movement_type = 'OUT' AND CAST(created_at AS DATE) > {AS_OF} - 3 GROUP BY ALL""")])
+ORACLE["sink_upsert"] = R6(_SINK + "SELECT * REPLACE (CASE WHEN run_date > DATE '2001-07-30' AND depot_id <> 'ASIA' THEN 2 * units ELSE units END AS units) FROM sink", ["units"])
+ORACLE["sink_replace_partition"] = R6(_SINK + f"""
+    SELECT * REPLACE (CASE WHEN run_date = {AS_OF} AND depot_id = 'EUROPE' THEN units + 1 ELSE units END AS units) FROM sink
+    WHERE NOT (run_date = {AS_OF} AND depot_id = 'ASIA')""", ["units"])
+ORACLE["sink_insert_ignore"] = R6(_SINK + """
+    SELECT * REPLACE (CASE WHEN depot_id IN ('ASIA', 'EUROPE') THEN units ELSE units + 1 END AS units),
+           CASE WHEN depot_id IN ('ASIA', 'EUROPE') THEN 'APPROVED' ELSE 'PENDING' END AS status FROM sink""", ["units"])
+ORACLE["sink_append_log"] = R6(_SINK + f"SELECT s.* FROM sink s, (VALUES (1), (2)) v(n) WHERE run_date = {AS_OF}", ["units"])
+ORACLE["run_status_fallback"] = with_tables("depots") + """
+    SELECT depot_id, stage, CASE WHEN depot_id <> 'ASIA' THEN 'SUCCESS' WHEN stage = 'stockout' THEN 'SKIPPED' ELSE 'FALLBACK' END AS outcome
+    FROM depots, (VALUES ('demand'), ('expiry'), ('stockout'), ('fefo')) s(stage) WHERE is_active"""
+
 # Operators without a "now" take all facts, and those that learn from or check
 # a history take all of it.
 WHOLE = """current_stock batch_stock stock_ledger stock_by_product batch_timeline apply_stock_in apply_stock_out confirm_invoice

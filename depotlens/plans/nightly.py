@@ -8,6 +8,7 @@ executor loss.
 """
 from __future__ import annotations
 
+from datetime import date, timedelta
 from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
@@ -22,10 +23,24 @@ class Scores:
     """Score stages for all active depots, built on first use.  With
     ``c.materialize`` a stage read by several consumers (demand, active
     batches, expiry) is checkpointed to the shared folder when first built,
-    so a query that needs only one view does not compute the others."""
+    so a query that needs only one view does not compute the others.
 
-    def __init__(self, c: Catalog, config: Config):
-        self.c, self.config, self.rd = c, config, c.as_of
+    ``history``: folder of earlier runs.  A depot for which demand, expiry or
+    FEFO gives no rows goes on with its rows of the day before (SRC-11); the
+    ``*_today`` stages are what this run itself found and what it writes."""
+
+    def __init__(self, c: Catalog, config: Config, history: str | None = None):
+        self.c, self.config, self.rd, self.history = c, config, c.as_of, history
+
+    def _or_before(self, today: DataFrame, name: str) -> DataFrame:
+        if self.history is None:
+            return today
+        from .sinks import DatedTable
+        day = str(date.fromisoformat(self.rd) - timedelta(days=1))
+        before = DatedTable(self.c.spark, f"{self.history}/{name}").read(today.schema, [day])
+        found = previous_run_fallback(today, before, self.c.depots.where("is_active"), self.rd)
+        # the rules look at one run date
+        return found.drop("source").withColumn("run_date", F.lit(self.rd).cast("date"))
 
     def _mat(self, df: DataFrame) -> DataFrame:
         return df.checkpoint(eager=True) if self.c.materialize else df
@@ -36,6 +51,10 @@ class Scores:
 
     @cached_property
     def demand(self) -> DataFrame:
+        return self._or_before(self.demand_today, "demand_predictions")
+
+    @cached_property
+    def demand_today(self) -> DataFrame:
         c = self.c
         return self._mat(_dated(demand.forecast_fallback(
             demand.daily_demand(c.movements, c.products, c.depots.where("is_active"), self.rd)), self.rd))
@@ -51,6 +70,10 @@ class Scores:
 
     @cached_property
     def expiry(self) -> DataFrame:
+        return self._or_before(self.expiry_today, "expiry_predictions")
+
+    @cached_property
+    def expiry_today(self) -> DataFrame:
         return self._active_only(self.expiry_all)
 
     @cached_property
@@ -61,6 +84,10 @@ class Scores:
 
     @cached_property
     def fefo(self) -> DataFrame:
+        return self._or_before(self.fefo_today, "fefo_rankings")
+
+    @cached_property
+    def fefo_today(self) -> DataFrame:
         return self._active_only(_dated(fefo.fefo_rank(
             self.active, self.expiry_all, self.rd, float(self.config.get("fefo_override_threshold"))), self.rd))
 
@@ -127,18 +154,22 @@ def nightly_decisions(c: Catalog, config: Config | None = None) -> DataFrame:
 
 
 def stage_outcomes(c: Catalog, s: Scores) -> DataFrame:
-    """(depot, stage, outcome) for every active depot: SUCCESS when the
-    stage produced rows for the depot, else FALLBACK (SRC-11 would then use
-    the previous run's rows); a depot without demand rows is FAILED."""
+    """(depot, stage, outcome) for every active depot.  SUCCESS: the run found
+    rows; FALLBACK: it goes on with those of the day before.  Without either,
+    demand is FAILED, stock-out SKIPPED, and expiry and FEFO go on empty, which
+    the run log also calls FALLBACK."""
     dep = c.depots.where("is_active").select("depot_id")
-    frames = {"demand": s.demand, "expiry": s.expiry, "stockout": s.stockout, "fefo": s.fefo}
+    frames = {"demand": (s.demand_today, s.demand), "expiry": (s.expiry_today, s.expiry), "stockout": (s.stockout, s.stockout), "fefo": (s.fefo_today, s.fefo)}
+    without = {"demand": "FAILED", "stockout": "SKIPPED"}
     out = None
-    for stage, df in frames.items():
-        has = df.select("depot_id").distinct().withColumn("_has", F.lit(True))
-        o = dep.join(has, "depot_id", "left").select(
-            "depot_id", F.lit(stage).alias("stage"),
-            F.when(F.col("_has"), "SUCCESS").otherwise("FAILED" if stage == "demand" else "FALLBACK")
-             .alias("outcome"))
+    for stage, (today, used) in frames.items():
+        o = dep.join(today.select("depot_id").distinct().withColumn("_has", F.lit(True)), "depot_id", "left")
+        if s.history is not None and used is not today:
+            o = o.join(used.select("depot_id").distinct().withColumn("_used", F.lit(True)), "depot_id", "left")
+        else:
+            o = o.withColumn("_used", F.lit(None).cast("boolean"))
+        o = o.select("depot_id", F.lit(stage).alias("stage"),
+                     F.when(F.col("_has"), "SUCCESS").when(F.col("_used"), "FALLBACK").otherwise(without.get(stage, "FALLBACK")).alias("outcome"))
         out = o if out is None else out.unionByName(o)
     return out
 
@@ -154,31 +185,26 @@ def previous_run_fallback(today: DataFrame, yesterday: DataFrame, depots: DataFr
 
 
 def run_nightly(c: Catalog, out_dir: str, config: Config | None = None) -> DataFrame:
-    """The nightly run for all active depots: score stages, decisions and
-    the run log written to ``out_dir`` (parquet tables partitioned by
-    ``run_date``).  Keyed upserts for demand / expiry / stock-out (SNK-1),
-    partition replace for FEFO and anomaly flags (SNK-2), insert-ignore for
-    decisions (SNK-3).  Re-running for the same date gives the same tables.
-    Returns the per-depot run status."""
+    """The nightly run for all active depots: score stages, decisions and the
+    run log written to the tables in ``out_dir``.  Keyed upserts for demand,
+    expiry and stock-out (SNK-1), partition replace for FEFO and anomaly flags
+    (SNK-2), insert-ignore for decisions (SNK-3): a second run of a date gives
+    the same tables and leaves decided actions as they are.  Returns the
+    per-depot run status; ``decisions.run_summary`` adds it up."""
     from . import sinks
     config = config or Config()
-    s = score_all(c, config)
+    s = Scores(c, config, history=out_dir)
     st = decision_state(c, s)
     rules = [decisions.run_rule(n, st, config) for n in ("anomaly", "expiry", "reorder", "dispatch")]
-    dec = decisions.resolve_decisions(rules).withColumn("run_date", F.lit(c.as_of).cast("date"))
-    sinks.upsert_by_key(s.demand, f"{out_dir}/demand_predictions", ["depot_id", "product_id", "run_date"])
-    sinks.upsert_by_key(s.expiry, f"{out_dir}/expiry_predictions", ["depot_id", "batch_id", "run_date"])
+    dec = decisions.resolve_decisions(rules).withColumn("run_date", F.lit(c.as_of).cast("date")).withColumn("status", F.lit("PENDING"))
+    dec = dec.checkpoint()
+    status = decisions.run_status(stage_outcomes(c, s)).withColumn("run_date", F.lit(c.as_of).cast("date")).checkpoint()
+    sinks.upsert_by_key(s.demand_today, f"{out_dir}/demand_predictions", ["depot_id", "product_id", "run_date"])
+    sinks.upsert_by_key(s.expiry_today, f"{out_dir}/expiry_predictions", ["depot_id", "batch_id", "run_date"])
     sinks.upsert_by_key(s.stockout, f"{out_dir}/stockout_calculations", ["depot_id", "product_id", "run_date"])
     targets = c.depots.where("is_active").select("depot_id", F.lit(c.as_of).cast("date").alias("run_date"))
-    sinks.replace_partition(s.fefo, f"{out_dir}/fefo_rankings", targets)
+    sinks.replace_partition(s.fefo_today, f"{out_dir}/fefo_rankings", targets)
     sinks.replace_partition(s.anomaly, f"{out_dir}/anomaly_flags", targets)
-    try:
-        existing = c.spark.read.schema(dec.schema).parquet(f"{out_dir}/agent_actions") \
-                    .where(F.col("run_date") != F.lit(c.as_of))
-    except Exception:  # noqa: BLE001 - first run
-        existing = None
-    fresh = decisions.insert_ignore(dec, existing)
-    sinks.replace_partition(fresh, f"{out_dir}/agent_actions", targets)
-    status = decisions.run_status(stage_outcomes(c, s)).withColumn("run_date", F.lit(c.as_of).cast("date"))
+    sinks.insert_ignore(dec, f"{out_dir}/agent_actions", ["depot_id", "conflict_key", "run_date"], ["priority", "seq"])
     sinks.upsert_by_key(status, f"{out_dir}/pipeline_run_logs", ["depot_id", "run_date"])
     return status

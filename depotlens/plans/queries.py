@@ -560,6 +560,118 @@ def q_unpivot_drug_sales(spark, sf_dir):
     return rounded(ingest.unpivot_drug_sales(wide))
 
 
+@register("store_sales")
+def q_store_sales(spark, sf_dir):
+    """SRC-5, PRJ-8: orders as daily store sales, nations as stores."""
+    from pyspark.sql import functions as F
+    c = Whole(spark, sf_dir)
+    sales = c.raw("orders").join(c.raw("customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy(
+        F.col("c_nationkey").alias("Store"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("Date")).agg(
+        F.sum(F.col("o_totalprice").cast("decimal(12,2)")).cast("double").alias("Sales"), F.max((F.col("o_custkey") % 7 != 0).cast("int")).alias("Open"))
+    stores = c.raw("nation").where("n_nationkey < 20").select(F.col("n_nationkey").alias("Store"), F.substring("n_name", 1, 1).alias("StoreType"), F.col("n_name").alias("Assortment"))
+    return rounded(ingest.map_store_sales(ingest.load_store_sales(sales, stores)))
+
+
+@register("wide_daily_sales")
+def q_wide_daily_sales(spark, sf_dir):
+    """SRC-6, PRJ-7: sales per day and movement type as a wide CSV with calendar columns, read back and unpivoted."""
+    from pyspark.sql import functions as F
+    m = Whole(spark, sf_dir).movements
+    wide = m.groupBy(F.to_date("created_at").alias("day")).pivot("movement_type", ["IN", "OUT", "RETURN"]).agg(F.sum("quantity"))
+    path = _sink_path(spark)
+    wide.select(F.date_format("day", "d/M/yyyy").alias("datum"), F.col("IN").alias("IN01"), F.col("OUT").alias("OUT1"), F.col("RETURN").alias("RET1"),
+                F.year("day").alias("Year"), F.date_format("day", "EEEE").alias("weekday_name")).write.option("header", True).csv(path)
+    return rounded(ingest.unpivot_drug_sales(ingest.load_wide_daily_sales(spark, path)))
+
+
+@register("otc_sales")
+def q_otc_sales(spark, sf_dir):
+    """SRC-1, SRC-7, PRJ-9: a client export written as semicolon CSV files, the first of them read and mapped."""
+    path = _sink_path(spark)
+    _client_export(Whole(spark, sf_dir)).coalesce(1).write.option("header", True).option("sep", ";").option("quoteAll", True).option(
+        "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return rounded(ingest.map_otc_sales(ingest.strip_strings(ingest.load_otc(spark, path)))[0])
+
+
+# ---------------------------------------------------------------- sinks
+def _sink_rows(c: Catalog) -> DataFrame:
+    """OUT units per depot, product and day of the last three days."""
+    from pyspark.sql import functions as F
+    m = c.movements.where((F.col("movement_type") == "OUT") & (F.to_date("created_at") > F.date_sub(F.lit(c.as_of).cast("date"), 3)))
+    return m.groupBy("depot_id", "product_id", F.to_date("created_at").alias("run_date")).agg(F.sum("quantity").alias("units")).checkpoint()
+
+
+def _sink_path(spark) -> str:
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/sink-{uuid.uuid4().hex[:12]}"
+
+
+@register("sink_upsert")
+def q_sink_upsert(spark, sf_dir):
+    """SNK-1: all rows, then a second run of the last two days that doubles all but one depot."""
+    from . import sinks
+    rows, path, key = _sink_rows(Catalog(spark, sf_dir)), _sink_path(spark), ["depot_id", "product_id", "run_date"]
+    sinks.upsert_by_key(rows, path, key)
+    sinks.upsert_by_key(rows.where("run_date > DATE '2001-07-30' AND depot_id <> 'ASIA'").withColumn("units", 2 * rows["units"]), path, key)
+    return rounded(sinks.DatedTable(spark, path).read(rows.schema))
+
+
+@register("sink_replace_partition")
+def q_sink_replace_partition(spark, sf_dir):
+    """SNK-2: two depots' rows of the last day are replaced, one of them by nothing."""
+    from pyspark.sql import functions as F
+
+    from . import sinks
+    c = Catalog(spark, sf_dir)
+    rows, path = _sink_rows(c), _sink_path(spark)
+    sinks.replace_partition(rows, path, rows)
+    targets = c.depots.where("depot_id IN ('ASIA', 'EUROPE')").select("depot_id", F.lit(c.as_of).cast("date").alias("run_date"))
+    sinks.replace_partition(rows.where("depot_id = 'EUROPE'").withColumn("units", rows["units"] + 1), path, targets)
+    return rounded(sinks.DatedTable(spark, path).read(rows.schema))
+
+
+@register("sink_insert_ignore")
+def q_sink_insert_ignore(spark, sf_dir):
+    """SNK-3: actions of two depots exist; a second run proposes all, several per key."""
+    from pyspark.sql import functions as F
+
+    from . import sinks
+    rows, path, key = _sink_rows(Catalog(spark, sf_dir)), _sink_path(spark), ["depot_id", "product_id", "run_date"]
+    sinks.insert_ignore(rows.where("depot_id IN ('ASIA', 'EUROPE')").withColumn("status", F.lit("APPROVED")), path, key, ["units"])
+    more = rows.withColumn("units", F.explode(F.array(rows["units"] + 2, rows["units"] + 1))).withColumn("status", F.lit("PENDING"))
+    sinks.insert_ignore(more, path, key, ["units"])
+    return rounded(sinks.DatedTable(spark, path).read(more.schema))
+
+
+@register("sink_append_log")
+def q_sink_append_log(spark, sf_dir):
+    """SNK-4: the same rows appended twice, read back for the last day only."""
+    from . import sinks
+    rows, path = _sink_rows(Catalog(spark, sf_dir)), _sink_path(spark)
+    sinks.append_log(rows, path)
+    sinks.append_log(rows, path)
+    return rounded(sinks.DatedTable(spark, path).read(rows.schema, ["2001-08-01"]))
+
+
+@register("run_status_fallback")
+def q_run_status_fallback(spark, sf_dir):
+    """SRC-11, G-9: one depot has no movements today and goes on with the tables of the day before."""
+    from . import sinks
+
+    class Shut(Catalog):
+        @property
+        def movements(self):
+            return super().movements.where("depot_id <> 'ASIA'")
+    home = _sink_path(spark)
+    before = nightly.Scores(Catalog(spark, sf_dir, as_of="2001-07-31", materialize=True), DECISION_CONFIG)
+    sinks.upsert_by_key(before.demand_today, f"{home}/demand_predictions", ["depot_id", "product_id", "run_date"])
+    sinks.upsert_by_key(before.expiry_today, f"{home}/expiry_predictions", ["depot_id", "batch_id", "run_date"])
+    c = Shut(spark, sf_dir, materialize=True)
+    return nightly.stage_outcomes(c, nightly.Scores(c, DECISION_CONFIG, history=home))
+
+
 # ---------------------------------------------------------------- training
 from ..operators import training  # noqa: E402
 
