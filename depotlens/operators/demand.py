@@ -138,19 +138,19 @@ def exact_medians(df: DataFrame, cols: list[str]) -> DataFrame:
     """Exact median of each column (nulls skipped; mean of the two middle
     values for an even count) as rows ``(feature, median)``.
 
-    Distributed: the columns are unpivoted to (feature, value), ranked with
-    the skew-safe ``rank_within`` (each feature is one huge group), and only
-    the one or two middle ranks are kept – no value list is ever gathered
-    into a single task, unlike an exact ``percentile`` aggregate."""
-    from .ranking import rank_within
+    Distributed: the columns are unpivoted to (feature, value) and counted by
+    value, so that ties collapse before they are ordered; the one or two
+    values at the middle positions are read off the cumulated counts."""
+    from .ranking import histogram
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
                                          for c in cols])).alias("kv")).select("kv.*") \
              .where(F.col("value").isNotNull() & ~F.isnan("value"))
-    ranked = rank_within(long, ["feature"], ["value"], name="r")
-    n = long.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
-    mid = ranked.join(n, "feature").where(
-        (F.col("r") == F.floor((F.col("n") + 1) / 2)) | (F.col("r") == F.floor(F.col("n") / 2) + 1))
-    return mid.groupBy("feature").agg(F.avg("value").alias("median"))
+    h = histogram(long, ["feature"], "value", {"n": F.count(F.lit(1))})
+
+    def holds(place):  # the value at this position (from 1) is this one
+        return ((F.col("n_before") < place) & (place <= F.col("n_before") + F.col("n"))).cast("int")
+    times = holds(F.floor((F.col("n_all") + 1) / 2)) + holds(F.floor(F.col("n_all") / 2) + 1)
+    return h.withColumn("_t", times).where("_t > 0").groupBy("feature").agg((F.sum(F.col("value") * F.col("_t")) / 2).alias("median"))
 
 
 def inference_median_fill(features: DataFrame) -> DataFrame:

@@ -78,3 +78,26 @@ def lag_within(df: DataFrame, keys: list[str], order: list, cols: list[str], pre
                    *[F.when(F.col("_lr") == 1, F.col(f"_prev.{c}")).otherwise(F.col(f"{prefix}{c}"))
                      .alias(f"{prefix}{c}") for c in cols])
     return out
+
+
+def histogram(df: DataFrame, keys: list[str], value: str, counts: dict, partitions: int | None = None) -> DataFrame:
+    """(keys, value, counts, <count>_before, <count>_all): one row per distinct
+    value of a group, with what lies before it in ascending order and in all.
+
+    Equal values collapse in a partial aggregate, so however many rows share
+    one value (ties, constants), a task sends one row of it; what is left, the
+    distinct values of a group, is range-partitioned (the layout of
+    ``rank_within``), and sums of whole pieces are carried over."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    h = df.groupBy(*keys, value).agg(*[c.alias(k) for k, c in counts.items()])
+    h = h.repartitionByRange(n, *keys, value).withColumn("_pid", F.spark_partition_id()).checkpoint()
+    within = Window.partitionBy("_pid", *keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    piece = h.groupBy("_pid", *keys).agg(*[F.sum(k).alias(k) for k in counts])
+    earlier = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    piece = piece.select("_pid", *keys, *[F.coalesce(F.sum(k).over(earlier), F.lit(0)).alias(f"_{k}") for k in counts],
+                         *[F.sum(k).over(Window.partitionBy(*keys)).alias(f"{k}_all") for k in counts])
+    local = h.withColumns({f"{k}_before": F.coalesce(F.sum(k).over(within), F.lit(0)) for k in counts})
+    piece = piece.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [local["_pid"] == piece["_pid"]] + [local[k].eqNullSafe(piece[f"_k_{k}"]) for k in keys])
+    return local.join(piece, same).drop(*[f"_k_{k}" for k in keys]).withColumns({f"{k}_before": F.col(f"{k}_before") + F.col(f"_{k}") for k in counts}) \
+        .drop("_pid", *[f"_{k}" for k in counts])

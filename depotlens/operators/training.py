@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .ranking import rank_within
+from .ranking import histogram, rank_within
 
 # FIXED VALUES: walk-forward folds (train_start, train_end, test_start, test_end) and holdout.
 FOLDS = [
@@ -126,7 +126,7 @@ def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int
     """M-6 (shuffled stratified): within each label, rows ordered by a seeded
     hash of the key and dealt round-robin into k folds (skew-safe rank: a
     label is half of all rows)."""
-    h = F.xxhash64(F.col(key).cast("string"), F.lit(seed))
+    h = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
     r = rank_within(df.withColumn("_h", h), [label], ["_h", key], name="_r")
     return r.withColumn("fold", ((F.col("_r") - 1) % k).cast("int")).drop("_h", "_r")
 
@@ -136,38 +136,28 @@ def mape(pred: DataFrame, y: str = "y", p: str = "prediction") -> DataFrame:
     return pred.where(F.col(y) > 0).agg(F.avg(F.abs(F.col(y) - F.col(p)) / F.col(y)).alias("mape"))
 
 
+def _score_counts(scored: DataFrame, label: str, score: str) -> DataFrame:
+    """Positives and negatives per distinct score, with those below it and in all."""
+    s = scored.select(F.lit(0).alias("_all"), F.col(label).cast("int").alias("_y"), F.col(score).cast("double").alias("_s"))
+    return histogram(s, ["_all"], "_s", {"pos": F.count_if(F.col("_y") == 1), "neg": F.count_if(F.col("_y") == 0)})
+
+
 def auc(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """M-7: ROC AUC by the rank-sum (Mann–Whitney) formula with average
-    ranks for ties; ranks come from the skew-safe ``rank_within``."""
-    s = scored.select(F.col(label).cast("int").alias("_y"), F.col(score).cast("double").alias("_s"),
-                      F.lit(0).alias("_all"))
-    r = rank_within(s, ["_all"], ["_s", "_y"], name="_r")
-    tie = r.groupBy("_s").agg(((F.min("_r") + F.max("_r")) / 2.0).alias("_avg"))
-    j = r.join(tie, "_s")
-    agg = j.agg(F.sum(F.when(F.col("_y") == 1, F.col("_avg")).otherwise(0.0)).alias("rs"),
-                F.count_if(F.col("_y") == 1).alias("npos"), F.count_if(F.col("_y") == 0).alias("nneg"))
-    return agg.select(((F.col("rs") - F.col("npos") * (F.col("npos") + 1) / 2)
-                       / (F.col("npos") * F.col("nneg"))).alias("auc"), "npos", "nneg")
+    """M-7: ROC AUC, the share of (positive, negative) pairs in which the
+    positive scores higher, ties by half, from counts per distinct score."""
+    h = _score_counts(scored, label, score)
+    wins = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2))
+    return h.agg(wins.alias("w"), F.coalesce(F.sum("pos"), F.lit(0)).alias("npos"), F.coalesce(F.sum("neg"), F.lit(0)).alias("nneg")).select(
+        F.expr("w / nullif(npos * nneg, 0)").alias("auc"), "npos", "nneg")
 
 
 def recall_threshold(scored: DataFrame, target: float = 0.85, label: str = "label", score: str = "score"
                      ) -> DataFrame:
-    """M-7: highest score threshold whose recall (TP at score ≥ t ÷ P) reaches
-    the target, else 0.5.
-
-    That threshold is the K-th largest positive score with K = ⌈target·P⌉
-    (a larger threshold keeps fewer than K positives), so it is found with
-    the skew-safe rank over the positives – no running sum over all
-    distinct scores in one task.  With no positives every threshold
-    qualifies and the largest score is returned."""
-    pos = scored.where(F.col(label) == 1).select(F.col(score).cast("double").alias("_s"), F.lit(0).alias("_all"))
-    P = scored.agg(F.count_if(F.col(label) == 1)).scalar()
-    k = F.ceil(F.lit(float(target)) * P)
-    ranked = rank_within(pos, ["_all"], [F.col("_s").desc()], name="_r")
-    kth = ranked.where(F.col("_r") == k).agg(F.max("_s")).scalar()
-    top = scored.agg(F.max(F.col(score).cast("double"))).scalar()
-    return scored.sparkSession.range(1).select(
-        F.coalesce(F.when(P == 0, top).otherwise(kth), F.lit(0.5)).alias("threshold"))
+    """M-7: highest score threshold whose recall (positives at score >= t, of
+    all) reaches the target, else 0.5; without positives, the largest score."""
+    h = _score_counts(scored, label, score)
+    enough = F.col("pos_all") - F.col("pos_before") >= F.lit(float(target)) * F.col("pos_all")
+    return h.agg(F.coalesce(F.max(F.when(enough, F.col("_s"))), F.lit(0.5)).alias("threshold"))
 
 
 def confusion(scored: DataFrame, threshold: float, label: str = "label", score: str = "score") -> DataFrame:

@@ -876,6 +876,9 @@ ORACLE["time_series_folds"] = with_tables("batches") + """
 _SCORED = ("scored", """SELECT batch_id, label, 1.0 / (1.0 + sales_velocity_weekly) AS score
                         FROM (""" + EXPIRY_FEATURES + ") WHERE label IS NOT NULL")
 _SC_BASE = with_tables("batches", "products", "depots", extra=FORECAST_CTES + [("velocity", VELOCITY), _SCORED])
+ORACLE["stratified_folds"] = _SC_BASE + """
+    SELECT batch_id, label, CAST((row_number() OVER (PARTITION BY label ORDER BY md5(batch_id || ':42'), batch_id) - 1) % 5 AS INTEGER) AS fold
+    FROM scored"""
 ORACLE["model_auc"] = _rewrite_round(R6(_SC_BASE + """
     SELECT (rs - npos * (npos + 1) / 2) / (npos * nneg) AS auc, npos, nneg FROM (
       SELECT sum(CASE WHEN label = 1 THEN rk ELSE 0 END) AS rs, count(*) FILTER (WHERE label = 1) AS npos,
