@@ -7,6 +7,11 @@ mix is near the targets.  The k-th slot of a source takes the k-th block of
 that source's shuffled document stream (order of an md5 of the id), read at
 most ``most`` times.  Slots and stream meet in one join on (source, block).
 
+A source needs ceil(target / block) slots, the last of them cut to what is
+left of the target.  Slots that the points deal to it beyond that are dropped,
+and the few it lacks come at the end of the mix, so that every source, however
+small against a block, takes its target to the word.
+
 Targets: sources in code point order (null last) weigh 3, 1, 2 in turn and
 share ``share`` of all words; a target stops at ``most`` times its source and
 the excess is shared again by weight (solved at once over the sorted caps).
@@ -55,18 +60,18 @@ def targets(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: int =
     return s.select("source", "src", "source_size", "target", "lo", "hi")
 
 
-def source_schedule(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: int = 2, block: int | None = None, seed: str = "mix",
+def source_schedule(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: int = 2, block: int = 256, seed: str = "mix",
                     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per row of ``docs``: doc_id, source, size, source_size, target,
-    taken, text_key (xxhash64 of the text).  ``block`` defaults to total / 2**17 words, within 16..1024."""
+    taken, text_key (xxhash64 of the text)."""
     spark = docs.sparkSession
     rows = cut(docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))).alias("h")), "sizes")
     src = cut(targets(rows, weights, share, most), "targets")
-    total, goal = src.agg(F.sum("source_size"), F.sum("target")).first()
-    block = block or max(16, min(1024, int((total or 0) // 2 ** 17)))
+    goal = src.agg(F.sum("target")).first()[0]
     slots = int(-(-(goal or 0) // block))
+    need = src.select("src", F.floor("target").alias("goal")).filter("goal > 0").withColumn("slots", F.expr(f"(goal + {block - 1}) div {block}"))
 
     # the k-th slot of every source
     x = F.conv(F.reverse(F.lpad(F.bin("i"), BITS, "0")), 2, 10).cast("double") / float(2 ** BITS)
@@ -77,7 +82,10 @@ def source_schedule(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most
     ahead = slot.groupBy("src", "b").agg(F.count("*").alias("n")).withColumn(
         "ahead", F.coalesce(F.sum("n").over(Window.partitionBy("src").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     rank = F.row_number().over(Window.partitionBy("src", "b").orderBy("i")) - 1
+    dealt = slot.groupBy("src").agg(F.count("*").alias("dealt"))
     slot = slot.withColumn("r", rank).join(ahead.drop("n"), ["src", "b"]).select("src", (F.col("ahead") + F.col("r")).alias("k"))
+    lacking = need.join(dealt, "src", "left").withColumn("dealt", F.coalesce("dealt", F.lit(0))).filter("dealt < slots")
+    slot = slot.union(lacking.select("src", F.explode(F.sequence("dealt", F.col("slots") - 1)).alias("k"))).join(need, "src").filter("k < slots").drop("slots")
 
     # the shuffled stream of every source
     ids = src.select("source", "src", "source_size", "target")
@@ -89,7 +97,7 @@ def source_schedule(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most
 
     piece = rows.filter("size > 0").select("src", "start", "size", F.explode(F.expr(f"transform(sequence(0, {most - 1}), e -> start + e * source_size)")).alias("at"))
     piece = piece.withColumn("k", F.explode(F.expr(f"sequence(at div {block}, (at + size - 1) div {block})")))
-    part = F.expr(f"least(at + size, (k + 1) * {block}) - greatest(at, k * {block})")
+    part = F.expr(f"greatest(0, least(at + size, (k + 1) * {block}, goal) - greatest(at, k * {block}))")
     taken = piece.join(slot, ["src", "k"]).groupBy("src", "start").agg(F.sum(part).alias("taken"))
     return rows.join(taken, ["src", "start"], "left").select(
         "doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long").alias("taken"), "text_key")
@@ -109,18 +117,12 @@ s2 AS (SELECT *, sum(w) OVER () AS w_all, coalesce(sum(cap) OVER b, 0) AS cap_be
 s3 AS (SELECT *, (goal - cap_before) * w >= cap * (w_all - w_before) AS is_full FROM s2),
 s4 AS (SELECT *, coalesce(sum(cap) FILTER (is_full) OVER (), 0) AS cap_full, coalesce(sum(w) FILTER (is_full) OVER (), 0) AS w_full FROM s3),
 s5 AS (SELECT source, src, source_size, goal, CASE WHEN is_full THEN cap ELSE w * (goal - cap_full) / nullif(w_all - w_full, 0) END AS target FROM s4),
-s6 AS (SELECT *, sum(target) OVER (ORDER BY src) / nullif(goal, 0) AS hi0 FROM s5),
-s7 AS (SELECT *, coalesce(lag(hi0) OVER (ORDER BY src), 0) AS lo, CASE WHEN src = max(src) OVER () THEN 2.0 ELSE hi0 END AS hi FROM s6),
-p AS (SELECT greatest(16, least(1024, sum(source_size) // 131072))::BIGINT AS b, sum(target) AS goal FROM s7),
-slot AS (SELECT i, list_sum(list_transform(range(40), lambda j: ((i >> j) & 1) * pow(2.0, -(j + 1)))) AS x
-         FROM (SELECT unnest(range(0, ceil(goal / b)::BIGINT)) AS i FROM p)),
-ranked AS (SELECT src, row_number() OVER (PARTITION BY src ORDER BY i) - 1 AS k FROM slot JOIN s7 ON x >= lo AND x < hi),
 stream AS (SELECT d.*, src, source_size, target,
              coalesce(sum(size) OVER (PARTITION BY src ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
-           FROM sizes d JOIN s7 ON d.source IS NOT DISTINCT FROM s7.source),
-piece AS (SELECT src, start, size, a0, b, unnest(range(a0 // b, (a0 + size - 1) // b + 1)) AS k
-          FROM (SELECT src, start, size, unnest([start, start + source_size]) AS a0 FROM stream WHERE size > 0), p),
-got AS (SELECT src, start, sum(least(a0 + size, (k + 1) * b) - greatest(a0, k * b))::BIGINT AS taken FROM piece JOIN ranked USING (src, k) GROUP BY src, start)
-SELECT doc_id, source, size, source_size, target, CASE WHEN size > 0 THEN coalesce(taken, 0) ELSE 0 END::BIGINT AS taken
-FROM stream LEFT JOIN got USING (src, start)
+           FROM sizes d JOIN s5 ON d.source IS NOT DISTINCT FROM s5.source)
+
+-- the slots of a source cover the words before its target, on the first and the second reading
+SELECT doc_id, source, size, source_size, target,
+       (greatest(0, least(size, floor(target) - start)) + greatest(0, least(size, floor(target) - source_size - start)))::BIGINT AS taken
+FROM stream
 """
