@@ -210,12 +210,14 @@ def remove_repeats(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col
 
     def open_rows(rows: DataFrame, step: str) -> DataFrame:
         """(rid, tx, asked): for each distinct fingerprint under a key with
-        several, the representative rows and where they start."""
+        several, the representative rows and where they start.  Where only
+        smaller ids count, every text of the smallest id stands for it."""
         kinds = cut(rows.groupBy(*FOUND).agg(F.min(F.struct("rid", "tx")).alias("rep")), f"{step}-kinds")
         both = F.struct("p0", "p1")
         several = cut(kinds.groupBy("key").agg(F.min(both).alias("x"), F.max(both).alias("y")).filter("x != y").select("key"), f"{step}-several")
         reps = cut(kinds.join(several, "key", "left_semi").select(*FOUND, "rep.rid", "rep.tx"), f"{step}-reps")
-        return rows.join(reps, [*FOUND, "rid", "tx"], "left_semi").groupBy("rid", "tx").agg(F.collect_set("lo").alias("asked"))
+        same = [*FOUND, "rid"] + ([] if rule.earlier else ["tx"])
+        return rows.join(reps.select(*same), same, "left_semi").groupBy("rid", "tx").agg(F.collect_set("lo").alias("asked"))
 
     twice = cut(again(triggers(), "key").select("key"), "twice")
     found = cut(triggers().join(twice, "key", "left_semi").groupBy("rid").agg(F.collect_set("key").alias("keys")), "found", frees=(twice,))

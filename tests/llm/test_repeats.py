@@ -73,3 +73,15 @@ def test_empty_and_kept(spark):
     assert prefix_free_dedup(none).count() == 0 and relative_lz_dedup(none).count() == 0
     got = relative_lz_dedup(spark.createDataFrame(ROWS[:2], SCHEMA)).where(F.col("doc_id") == 2).first()
     assert bytes(got.kept) == b"z q" and got.n_spans == 1
+
+
+def test_words_texts_that_share_an_id(spark):
+    """Every text of an id gives way to a smaller id, also inside a phrase the texts have in common."""
+    core = " ".join(f"core{i}" for i in range(16))
+    common = " ".join(f"left{i}" for i in range(20)) + f" {core} " + " ".join(f"right{i}" for i in range(20))
+    rows = [(1, f"before {core} after", 1, "x")] + [(7, f"own{i} start{i} {common} tail{i}", 1, "x") for i in range(4)] + [(None, common, 1, "x"), (None, f"null {common}", 1, "x")]
+    got = relative_lz_dedup(spark.createDataFrame(rows, SCHEMA)).drop("kept", "n_spans").collect()
+    assert sorted(map(tuple, got), key=str) == brute_words([r[:2] for r in rows], 13)
+    rows = rows[:-2]
+    got = relative_lz_dedup(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(r.n_removed for r in got) == [0, 16, 16, 16, 16]
