@@ -38,6 +38,7 @@ group, and so are the languages without a mark of their own).
 """
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -466,12 +467,21 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col
     chosen = {r.id: (int(r.toxic), r.lang) for g, k in kinds for r in rows.filter((F.col("lang") == g) & (F.col("toxic") == k)).orderBy("h", "id").limit(per_class).collect()}
     if not chosen:
         return None
-    got = docs.filter(F.col(id_col).isin(list(chosen))).select(F.col(id_col).alias("id"), text.alias("text")).collect()
-    got.sort(key=lambda r: (r.id, r.text))
-    kinds = [chosen[r.id] for r in got]
-    texts = [r.text.encode() for r in got]
-    del got, chosen
-    return fit(texts, np.array([k for k, _ in kinds], np.int64), [g for _, g in kinds])
+    small_batches(docs.sparkSession)
+    sample = docs.filter(F.col(id_col).isin(list(chosen))).select(F.col(id_col).cast("string").alias("id"), text.alias("text")).repartition(1)
+    made = sample.mapInArrow(_fitted({str(k): v for k, v in chosen.items()}), "model binary").collect()
+    return pickle.loads(made[0].model) if made else None
+
+
+def _fitted(chosen: dict[str, tuple[int, str]]):
+    """The fit over the bounded sample, in a task: the driver gets the model alone."""
+    def run(batches):
+        got = sorted((int(i), t) if i.lstrip("-").isdigit() else (i, t) for b in batches for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        kinds = [chosen[str(i)] for i, _ in got]
+        model = fit([t.encode() for _, t in got], np.array([k for k, _ in kinds], np.int64), [g for _, g in kinds])
+        if model is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+    return run
 
 
 def _scored(model: Model | None):
