@@ -13,14 +13,16 @@ points they cover:
 
 The sweep range-partitions by (keys, interval, rank), so one interval that
 holds a third of all points is spread over tasks; minima of whole pieces are
-carried over with a window of one row per (partition, interval).  The sorted
-layout is checkpointed in the shared folder, which keeps partition ids stable
-when an executor is lost.
+carried over with a window of one row per (partition, interval).  The layout is
+written to the shared folder with its partition ids, which stay as they are when
+an executor is lost.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import written
+
 LEVELS = 21  # 4**21 exceeds the width of any DECIMAL(12,2) range in cents
 
 
@@ -69,7 +71,7 @@ def best_in_ranges(points: DataFrame, queries: DataFrame, keys: list[str], query
         *keys, "c", "r", F.lit(0).alias("kind"), F.lit(None).cast(points.schema["pos"].dataType).alias("pos"), *ids)
     group, order = [*keys, "level", "cell"], [F.col("r").desc(), F.col("kind")]  # a query comes before points of its own rank
     rows = filed.unionByName(parts).select(*keys, "c.level", "c.cell", "r", "kind", "pos", *ids)
-    rows = rows.repartitionByRange(n, *group, *order).withColumn("_pid", F.spark_partition_id()).checkpoint()
+    rows = rows.repartitionByRange(n, *group, *order).withColumn("_pid", F.spark_partition_id()).transform(written)
     local = F.min("pos").over(Window.partitionBy("_pid", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     piece = rows.groupBy("_pid", *group).agg(F.min("pos").alias("_least"))
     carried = F.min("_least").over(Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))

@@ -3,8 +3,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on: UTC timestamps, adaptive execution (runtime
 # broadcast conversion with Spark's own size check, partition coalescing and
@@ -55,3 +56,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc.setCheckpointDir(path)
     return path
 
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet in the shared folder, read back.
+
+    Cuts the lineage like ``checkpoint`` and leaves the plan with the measured
+    size: a checkpoint hands on the estimate, which joins multiply, so that in
+    a loop its digits double with every round."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/step-{uuid.uuid4().hex[:16]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
