@@ -70,8 +70,9 @@ def match_products(raw: DataFrame, products: DataFrame, raw_col: str = "raw_name
     Exact blocking: a score of 75 needs 2·min(len)/(len a + len b) ≥ 0.75,
     i.e. the shorter token-sorted string is at least 0.6 of the longer.
     Each distinct raw name is joined only to choices whose length is in
-    that range (equi-join on an exploded length list), and the ratio is an
-    Arrow pandas UDF over those candidate pairs.  Work grows with distinct
+    that range (equi-join on an exploded length list).  The ratio is an Arrow
+    pandas UDF over those candidate pairs, which drops those whose letter
+    counts rule out the threshold and scores the others a chunk at a time.  Work grows with distinct
     raw names × length-compatible choices, never with raw rows."""
     from ..functions.similarity import token_sort_ratio_udf
     ch = product_choices(products).withColumn("clen", _norm_len(F.col("choice")))
@@ -81,7 +82,7 @@ def match_products(raw: DataFrame, products: DataFrame, raw_col: str = "raw_name
     hi = F.floor(F.col("rlen") / 0.6).cast("int")
     probe = names.select("raw_name", F.explode(F.sequence(F.greatest(lo, F.lit(0)), F.greatest(hi, F.lit(0))))
                          .alias("clen"))
-    cand = probe.join(ch, "clen").withColumn("score", token_sort_ratio_udf(F.col("raw_name"), F.col("choice")))
+    cand = probe.join(ch, "clen").withColumn("score", token_sort_ratio_udf(threshold)(F.col("raw_name"), F.col("choice")))
     cand = cand.where(F.col("score") >= threshold)
     best = cand.groupBy("raw_name").agg(
         F.min_by(F.struct("choice", "product_id", "score"), F.struct((-F.col("score")).alias("s"), "pos")).alias("b"))
