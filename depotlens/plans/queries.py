@@ -586,10 +586,10 @@ def q_wide_daily_sales(spark, sf_dir):
 
 @register("otc_sales")
 def q_otc_sales(spark, sf_dir):
-    """SRC-1, SRC-7, PRJ-9: a client export written as semicolon CSV files, the first of them read and mapped."""
+    """SRC-1, SRC-7, PRJ-9: a client export written as one semicolon CSV (of part files), the first of its folder read and mapped."""
     path = _sink_path(spark)
-    _client_export(Whole(spark, sf_dir)).coalesce(1).write.option("header", True).option("sep", ";").option("quoteAll", True).option(
-        "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    _client_export(Whole(spark, sf_dir)).write.option("header", True).option("sep", ";").option("quoteAll", True).option(
+        "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{path}/export.csv")
     return rounded(ingest.map_otc_sales(ingest.strip_strings(ingest.load_otc(spark, path)))[0])
 
 
