@@ -119,7 +119,7 @@ def expiry_features(batches: DataFrame, products: DataFrame, movements: DataFram
     if category_avg is None:
         category_avg = (b.where(F.col("product_category").isNotNull()).groupBy("product_category")
                         .agg(F.avg("sales_velocity_weekly").alias("avg_cat_velocity")))
-    b = b.join(category_avg, "product_category", "left") \
+    b = b.join(F.broadcast(category_avg), "product_category", "left") \
          .withColumn("avg_cat_velocity", F.coalesce("avg_cat_velocity", F.lit(1.0)))
     b = (b.withColumn("velocity_ratio", F.least(
             F.col("sales_velocity_weekly") / F.greatest(F.col("avg_cat_velocity"), F.lit(0.1)), F.lit(5.0)))

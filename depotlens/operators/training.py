@@ -235,7 +235,8 @@ def train_expiry(features: DataFrame, feature_cols: list[str], num_trees: int =
     lab = features.where(F.col("label").isNotNull()).withColumn("label", F.col("label").cast("double"))
     counts = lab.groupBy("label").agg(F.count(F.lit(1)).alias("n_c"))
     n = lab.agg(F.count(F.lit(1))).scalar()
-    w = lab.join(counts, "label").withColumn("weight", n / (2.0 * F.col("n_c"))).checkpoint(eager=True)
+    # a row per class: by hash, a class would be one task's rows in every pass of the fit
+    w = lab.join(F.broadcast(counts), "label").withColumn("weight", n / (2.0 * F.col("n_c"))).checkpoint(eager=True)
     va = VectorAssembler(inputCols=feature_cols, outputCol="features", handleInvalid="keep")
     rf = RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="weight", numTrees=num_trees,
                                 maxDepth=8, minInstancesPerNode=5, seed=seed)

@@ -114,3 +114,21 @@ def test_onboard_client_from_csv(spark):
     r = training.onboard_client(spark, path, "CLIENT-X", gmodel, c.as_of)
     assert r["decision"] in ("SUFFICIENT_FOR_DEMAND", "SUFFICIENT_FOR_BOTH")
     assert isinstance(r["demand_deployed"], bool) and r["expiry_deployed"] is False
+
+
+def test_expiry_fit_is_not_dealt_by_class(spark, monkeypatch):
+    """Two classes dealt by hash over many partitions would leave two tasks;
+    the rows weighted for the fit stay where they were."""
+    from pyspark.sql import DataFrame
+    rows = [(float(i), float(i % 7), i % 2) for i in range(2000)]
+    df = spark.createDataFrame(rows, "a double, b double, label int").repartition(8).localCheckpoint()
+    parts, keep = [], DataFrame.checkpoint
+    monkeypatch.setattr(type(df), "checkpoint", lambda self, *a, **k: parts.append(self.groupBy(F.spark_partition_id()).count().count()) or self.localCheckpoint())
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "24")
+        training.train_expiry(df, ["a", "b"], num_trees=2)
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert parts == [8]
