@@ -22,17 +22,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 INFLOW, TAKE, OTHER = 1, -1, 0
+SHORT = 64  # batches up to this many movements are folded side by side
 PIECES = "pid int, batch_id string, only boolean, total double, lowest double, exit double"
 RESULT = "batch_id string, movement_id string, accepted boolean, stock_after double"
 
 
-def _segments(ids: np.ndarray) -> list[tuple[int, int]]:
-    """Runs of equal batch ids."""
-    cut = np.flatnonzero(ids[1:] != ids[:-1]) + 1
-    return list(zip([0, *cut.tolist()], [*cut.tolist(), len(ids)]))
+def _starts(ids: pa.Array) -> np.ndarray:
+    """Where runs of equal batch ids begin; null is an id of its own."""
+    code = pc.dictionary_encode(ids, null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.flatnonzero(code[1:] != code[:-1]) + 1])
 
 
 def fold(kind: np.ndarray, quantity: np.ndarray, stock: float) -> tuple[np.ndarray, np.ndarray]:
@@ -61,15 +63,50 @@ def fold(kind: np.ndarray, quantity: np.ndarray, stock: float) -> tuple[np.ndarr
     return accepted, after
 
 
+def fold_many(kind: np.ndarray, quantity: np.ndarray, starts: np.ndarray, stock: float) -> tuple[np.ndarray, np.ndarray]:
+    """(accepted, stock after) of the batches that begin at ``starts``, the first
+    with ``stock``, the others with none.  The k-th movements of all short
+    batches are taken together; long ones are folded one by one."""
+    n = len(kind)
+    accepted, after = np.ones(n, bool), np.empty(n)
+    size = np.diff(np.append(starts, n))
+    odd = np.zeros(len(starts), bool)
+    odd[np.searchsorted(starts, np.flatnonzero(~np.isfinite(quantity)), "right") - 1] = True
+    alone = odd | (size > SHORT)
+    for k in np.flatnonzero(alone):
+        lo, hi = starts[k], starts[k] + size[k]
+        accepted[lo:hi], after[lo:hi] = fold(kind[lo:hi], quantity[lo:hi], stock if k == 0 else 0.0)
+    have = np.zeros(len(starts))
+    have[0] = stock
+    rest = np.flatnonzero(~alone)
+    rest = rest[np.argsort(-size[rest], kind="stable")]
+    first, have, size = starts[rest], have[rest], size[rest]
+    # a stretch without refusals is summed by itself, as in ``fold``
+    effect, base, part = kind * quantity, have.copy(), np.zeros(len(rest))
+    for k in range(int(size[0]) if len(size) else 0):
+        m = int(np.searchsorted(-size, -k, "left"))  # batches with more than k movements
+        at = first[:m] + k
+        take = kind[at] == TAKE
+        short = take & (base[:m] + (part[:m] + effect[at]) < 0)
+        base[:m], part[:m] = np.where(short, have[:m], base[:m]), np.where(short, 0.0, part[:m])
+        new = base[:m] + (part[:m] + effect[at])
+        passes = ~take | (new >= 0)
+        part[:m] += np.where(passes, effect[at], 0.0)
+        have[:m] = np.where(passes, new, have[:m])
+        accepted[at], after[at] = passes, have[:m]
+    return accepted, after
+
+
 def _columns(batch: pa.RecordBatch):
     get = lambda c: batch.column(batch.schema.get_field_index(c))
-    return get("pid"), np.asarray(get("batch_id").to_pylist(), object), get("kind").to_numpy(zero_copy_only=False), get("quantity").to_numpy(zero_copy_only=False)
+    return get("pid"), get("batch_id"), get("kind").to_numpy(zero_copy_only=False), get("quantity").to_numpy(zero_copy_only=False)
 
 
 def _pieces(entries: dict[int, float], folded: set[int] | None):
     """One row per partition for its first and its last batch (``only``: they are
     the same): total effect, lowest running balance, exit for the entry given.
-    ``folded``: partitions to look at (None: all)."""
+    ``folded``: partitions to look at (None: all).  The batches between begin
+    and end here, so nothing is asked of them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begun = False
         for b in batches:
@@ -80,12 +117,13 @@ def _pieces(entries: dict[int, float], folded: set[int] | None):
                 p, begun = pid[0].as_py(), True
                 if folded is not None and p not in folded:
                     return
-                first, name, stock, total, lowest, saved = ids[0], ids[0], entries.get(p, 0.0), 0.0, 0.0, None
-            for lo, hi in _segments(ids):
-                if ids[lo] != name:
+                first, name, stock, total, lowest, saved = ids[0].as_py(), ids[0].as_py(), entries.get(p, 0.0), 0.0, 0.0, None
+            starts = _starts(ids)
+            for lo, hi in {(0, int([*starts, len(ids)][1])): 0, (int(starts[-1]), len(ids)): 0}:
+                if (at := ids[lo].as_py()) != name or lo:
                     if name == first and saved is None:
                         saved = (total, lowest, stock)
-                    name, stock, total, lowest = ids[lo], 0.0, 0.0, 0.0
+                    name, stock, total, lowest = at, 0.0, 0.0, 0.0
                 running = total + np.cumsum(kind[lo:hi] * quantity[lo:hi])
                 takes = kind[lo:hi] == TAKE
                 lowest = min(lowest, float(running[takes].min()) if takes.any() else 0.0)
@@ -108,15 +146,11 @@ def _accept(entries: dict[int, float]):
                 continue
             pid, ids, kind, quantity = _columns(b)
             if start:
-                name, stock, start = ids[0], entries.get(pid[0].as_py(), 0.0), False
-            accepted, after = np.empty(len(ids), bool), np.empty(len(ids))
-            for lo, hi in _segments(ids):
-                if ids[lo] != name:
-                    name, stock = ids[lo], 0.0
-                accepted[lo:hi], after[lo:hi] = fold(kind[lo:hi], quantity[lo:hi], stock)
-                stock = float(after[hi - 1])
+                name, stock, start = ids[0].as_py(), entries.get(pid[0].as_py(), 0.0), False
+            accepted, after = fold_many(kind, quantity, _starts(ids), stock if ids[0].as_py() == name else 0.0)
+            name, stock = ids[-1].as_py(), float(after[-1])
             move = b.column(b.schema.get_field_index("movement_id"))
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("batch_id")), move, pa.array(accepted), pa.array(after)],
+            yield pa.RecordBatch.from_arrays([ids, move, pa.array(accepted), pa.array(after)],
                                              ["batch_id", "movement_id", "accepted", "stock_after"])
     return run
 
@@ -154,8 +188,11 @@ def apply_stock_out(movements: DataFrame, partitions: int | None = None, log: li
     lasts: dict[int, tuple] = {}
     unknown: set[int] | None = None
     while unknown is None or unknown:
-        # at most two rows a partition
-        for r in rows.mapInArrow(_pieces(dict(entries), unknown), PIECES).collect():
+        # at most two rows a partition; where nothing is unknown, nothing is read
+        asked = rows.select("pid", "batch_id", "kind", "quantity")
+        if unknown is not None:
+            asked = asked.where(F.col("pid").isin(sorted(unknown)))
+        for r in asked.mapInArrow(_pieces(dict(entries), unknown), PIECES).collect():
             known = firsts if r.pid not in firsts or r.batch_id == firsts[r.pid][0] else lasts
             known[r.pid] = (r.batch_id, r.only, r.total, r.lowest, r.exit)
         want, unknown = _entries(firsts, lasts, entries)
@@ -163,4 +200,4 @@ def apply_stock_out(movements: DataFrame, partitions: int | None = None, log: li
         entries = {**entries, **want}
         if log is not None:
             log.append(len(unknown))
-    return rows.mapInArrow(_accept({**entries, **want}), RESULT)
+    return rows.drop("created_at").mapInArrow(_accept({**entries, **want}), RESULT)

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from depotlens.operators import stock_fold
 from depotlens.operators.stock_fold import apply_stock_out, fold
 
 SCHEMA = "batch_id string, movement_id string, movement_type string, quantity double, created_at timestamp"
@@ -73,3 +74,20 @@ def test_fold_of_one_batch():
             ok = kind[k] != -1 or s >= quantity[k]
             s += kind[k] * quantity[k] if ok else 0
             assert (accepted[k], after[k]) == (ok, s)
+
+
+def test_short_batches_are_folded_together(monkeypatch):
+    """Many small batches, a long one and one with an infinite quantity: as one
+    by one, and only the last two are folded alone."""
+    r = np.random.default_rng(5)
+    sizes = [*r.integers(1, 20, 500).tolist(), 300, 7]
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    kind, quantity = r.integers(-1, 2, sum(sizes)), r.integers(0, 9, sum(sizes)) / 10
+    quantity[-3] = np.inf
+    want = [fold(kind[lo:lo + n], quantity[lo:lo + n], 4.0 if k == 0 else 0.0) for k, (lo, n) in enumerate(zip(starts, sizes))]
+    alone = []
+    monkeypatch.setattr(stock_fold, "fold", lambda *a: alone.append(1) or fold(*a))
+    accepted, after = stock_fold.fold_many(kind, quantity, starts, 4.0)
+    assert np.array_equal(accepted, np.concatenate([w[0] for w in want]))
+    assert np.array_equal(after, np.concatenate([w[1] for w in want]), equal_nan=True)
+    assert len(alone) == 2
